@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, mpegts, packing, sharding
+from . import minhash, mixing, mpegts, packing, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"), temperature=0.5, epochs=1.0, seed=2)
 
 
+def op3_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.media_digest(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, end_id=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_poisson_mixing, op4_transport_stream, op5_feistel_shards, op10_swap_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_poisson_mixing, op3_minhash_components, op4_transport_stream, op5_feistel_shards, op10_swap_packing)}
 
 _OP2 = """
 WITH d AS (
