@@ -87,14 +87,10 @@ def _short(words: np.ndarray) -> np.ndarray:
     return mix((words * _PLACE[:n]).sum(dtype=_U, keepdims=True) + _SHORT[n : n + 1]) if n else words
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text.
-
-    Letters A-Z are lower-cased, words are runs of other bytes than space and 9-13. A text of under
-    five words has its whole sequence as one shingle, one without words none. Texts are hashed
-    together in blocks of about a megabyte; a longer text is cut at spaces into such blocks.
-    """
-    out: list[np.ndarray] = []
+def hashed_words(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The word hashes of each text. Letters A-Z are lower-cased, words are runs of other bytes than
+    space and 9-13. Texts are hashed together in blocks of about a megabyte; a longer text is cut
+    at spaces into such blocks, so temporary arrays stay small."""
     at = 0
     while at < len(texts):
         end, size = at, 0
@@ -102,25 +98,27 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
             size += len(texts[end]) + 1
             end += 1
         if end == at + 1 and len(texts[at]) > BLOCK:
-            words, pos = [], 0
-            text = texts[at]
+            words, pos, text = [], 0, texts[at]
             while pos < len(text):
                 stop = min(len(text), pos + BLOCK)
                 while stop < len(text) and not _SPACE[text[stop]]:
                     stop += 1
                 words.append(_words(_LOWER[np.frombuffer(text, np.uint8, stop - pos, pos)])[1])
                 pos = stop
-            w = np.concatenate(words)
-            out.append(np.unique(_shingle_hashes(w)) if len(w) > 4 else _short(w))
+            yield np.concatenate(words)
         else:
             data = _LOWER[np.frombuffer(b" ".join(texts[at:end]), np.uint8)]
             starts, words = _words(data)
             edges = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts[at:end])]))
-            hashes = _shingle_hashes(words) if len(words) > 4 else words[:0]
             for a, b in zip(edges, edges[1:], strict=False):
-                out.append(np.unique(hashes[a : b - 4]) if b - a > 4 else _short(words[a:b]))
+                yield words[a:b]
         at = end
-    return out
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text: those of its runs of five words; of under
+    five words the whole sequence is one, of none the set is empty."""
+    return [np.unique(_shingle_hashes(w)) if len(w) > 4 else _short(w) for w in hashed_words(texts)]
 
 
 def fast_sketch(items: np.ndarray, t: int = COORDINATES) -> np.ndarray:
@@ -163,7 +161,7 @@ def fingerprint(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
-def _chunks(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) of parts of a batch of about ``size`` bytes."""
     texts, at, total = [], 0, 0
     for i, x in enumerate(batch.column(column)):
@@ -183,7 +181,7 @@ SKETCHES = "doc_id bigint, text_key bigint, n_shingles bigint, fp binary, bands
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, texts in _chunks(batch, 2):
+        for at, texts in chunks(batch, 2):
             n, fps, bands, marks = [], [], [], []
             for items in shingle_sets(texts):
                 n.append(len(items))
@@ -211,7 +209,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(wanted, text) where the text's set has the wanted fingerprint."""
     for batch in batches:
         keep = []
-        for at, texts in _chunks(batch, 1):
+        for at, texts in chunks(batch, 1):
             for i, items in enumerate(shingle_sets(texts)):
                 if len(items) and fingerprint(items) == batch.column(0)[at + i].as_py():
                     keep.append(at + i)

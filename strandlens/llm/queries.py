@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, mpegts, packing, sharding
+from . import minhash, mixing, mpegts, packing, quality, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,11 +34,15 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16, seed=20)
 
 
+def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), threshold=0.5, sample=4096)
+
+
 def op10_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, end_id=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_poisson_mixing, op3_minhash_components, op4_transport_stream, op5_feistel_shards, op10_swap_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_poisson_mixing, op3_minhash_components, op4_transport_stream, op5_feistel_shards, op7_weak_label_quality, op10_swap_packing)}
 
 _OP2 = """
 WITH d AS (
