@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, mpegts, packing, quality, sharding
+from . import minhash, mixing, mpegts, packing, pii, quality, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents"), key="strandlens-surrogates-1")
+
+
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"), temperature=0.5, epochs=1.0, seed=2)
 
@@ -42,7 +46,7 @@ def op10_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, end_id=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_poisson_mixing, op3_minhash_components, op4_transport_stream, op5_feistel_shards, op7_weak_label_quality, op10_swap_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_surrogates, op2_poisson_mixing, op3_minhash_components, op4_transport_stream, op5_feistel_shards, op7_weak_label_quality, op10_swap_packing)}
 
 _OP2 = """
 WITH d AS (
