@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, mixing, mpegts, packing, pii, quality, sharding
+from . import html, minhash, mixing, mpegts, packing, pii, quality, sharding, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,15 +39,23 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16, seed=20)
 
 
+def op6_term_at_a_time_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), threshold=0.5, sample=4096)
 
 
+def op9_text_to_tag_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, end_id=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_surrogates, op2_poisson_mixing, op3_minhash_components, op4_transport_stream, op5_feistel_shards, op7_weak_label_quality, op10_swap_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_surrogates, op2_poisson_mixing, op3_minhash_components, op4_transport_stream, op5_feistel_shards, op6_term_at_a_time_top_k, op7_weak_label_quality, op9_text_to_tag_pages, op10_swap_packing)}
 
 _OP2 = """
 WITH d AS (
