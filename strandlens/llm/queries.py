@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, minhash, mixing, mpegts, packing, pii, quality, sharding, topk
+from . import html, minhash, mixing, mpegts, packing, pii, quality, sharding, suffix, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), threshold=0.5, sample=4096)
 
 
+def op8_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def op9_text_to_tag_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -55,7 +59,7 @@ def op10_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, end_id=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_surrogates, op2_poisson_mixing, op3_minhash_components, op4_transport_stream, op5_feistel_shards, op6_term_at_a_time_top_k, op7_weak_label_quality, op9_text_to_tag_pages, op10_swap_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_surrogates, op2_poisson_mixing, op3_minhash_components, op4_transport_stream, op5_feistel_shards, op6_term_at_a_time_top_k, op7_weak_label_quality, op8_run_length_index, op9_text_to_tag_pages, op10_swap_packing)}
 
 _OP2 = """
 WITH d AS (
