@@ -21,6 +21,8 @@ BANDS = COORDINATES // ROWS
 #: Pairs that agree in fewer coordinates than this are not verified in the second round; a pair of
 #: similarity 0.75 agrees in 96 on average, in fewer than 68 with probability under 1e-7.
 AGREE = 68
+#: Shingles whose texts a tile holds at most, a document's own apart.
+TILE_SHINGLES = 1 << 20
 BLOCK = 1 << 20
 
 _U = np.uint64
@@ -243,42 +245,56 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link)], names=["a", "b", "link"])
 
 
-def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of members of a bucket's two tiles in different components whose sketches are near.
+def _close_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of members of a bucket's two tiles that link and are in different components.
 
-    Rows (bucket, tile_a, tile_b, tile, fp, label, marks) come sorted by the first three.
+    Rows (bucket, tile_a, tile_b, tile, fp, label, bands, marks, text) come sorted by the first
+    three. A pair is compared only in the first bucket that it shares, by sketch and, if near, on
+    the full sets; nothing but links leaves the task.
     """
-    names = ("a", "b")
 
-    def pairs(group: list[tuple]) -> pa.RecordBatch:
-        marks = np.frombuffer(b"".join(g[6] for g in group), np.uint8).reshape(len(group), -1)
-        fps = [g[4] for g in group]
+    def links(group: list[tuple]) -> pa.RecordBatch:
+        marks = np.frombuffer(b"".join(g[7] for g in group), np.uint8).reshape(len(group), -1)
+        bands = np.stack([g[6] for g in group])
         label = np.unique([g[5].hex() for g in group], return_inverse=True)[1]
         tile = np.array([g[3] for g in group])
-        across = group[0][1] != group[0][2]
+        bucket, across = group[0][0], group[0][1] != group[0][2]
+        sets: dict[int, np.ndarray] = {}
         a, b = [], []
         step = max(1, (1 << 23) // (len(group) * marks.shape[1]))
         for i in range(0, len(group), step):
-            same = (marks[i : i + step, None, :] == marks[None, :, :]).sum(axis=2)
-            near = (same >= AGREE) & (label[i : i + step, None] != label[None, :]) & (np.arange(i, min(len(group), i + step))[:, None] < np.arange(len(group))[None, :])
+            near = (label[i : i + step, None] != label[None, :]) & (np.arange(i, min(len(group), i + step))[:, None] < np.arange(len(group))[None, :])
             if across:
                 near &= tile[i : i + step, None] != tile[None, :]
-            for x, y in zip(*near.nonzero(), strict=True):
-                u, v = fps[i + x], fps[y]
-                a.append(max(u, v))
-                b.append(min(u, v))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=list(names))
+            if not near.any():
+                continue
+            near &= (marks[i : i + step, None, :] == marks[None, :, :]).sum(axis=2) >= AGREE
+            x, y = near.nonzero()
+            first = bands[i + x, (bands[i + x] == bands[y]).argmax(axis=1)] == bucket
+            for u, v in zip((i + x[first]).tolist(), y[first].tolist(), strict=True):
+                for k in (u, v):
+                    if k not in sets:
+                        sets[k] = shingle_sets([group[k][8]])[0]
+                if label[u] != label[v] and linked(sets[u], sets[v]):
+                    a.append(max(group[u][4], group[v][4]))
+                    b.append(min(group[u][4], group[v][4]))
+                    label[label == label[v]] = label[u]
+            if sum(map(len, sets.values())) > TILE_SHINGLES:
+                sets.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     key, group = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:3] != key:
-                if group:
-                    yield pairs(group)
-                key, group = row[:3], []
-            group.append(row)
-    if group:
-        yield pairs(group)
+        keys = list(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True))
+        for i, (*where, tile) in enumerate(keys):
+            if where != key:
+                if len(group) > 1:
+                    yield links(group)
+                key, group = where, []
+            fp, label, bands, marks, text = (c[i] for c in batch.columns[4:])
+            group.append((*where, tile, fp.as_py(), label.as_py(), bands.values.to_numpy(), marks.as_py(), text.as_buffer().to_pybytes()))
+    if len(group) > 1:
+        yield links(group)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -298,7 +314,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document.
+    """doc_id, n_shingles, component_id, kept and text_key (a hash of the text) for every document.
 
     Documents link if their sets of five-word shingles have a similarity of 0.75 or more; a
     component is what links connect, component_id its smallest doc_id, kept whether it is the
@@ -311,8 +327,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Classes that share a band form a bucket. Each bucket proposes links to two centres, the
        class with most copies and one chosen by hash: pairs grow with the members, not their
        square. Exact verification on the full sets, then components.
-    3. Members of a bucket that are still in different components are compared by sketch, in tiles
-       of bounded size, and every near pair not seen before is verified: no link is lost to step 2.
+    3. Members of a bucket that are still in different components are compared in tiles of bounded
+       size, each pair in the first bucket it shares: by sketch and, if near, on the full sets. Only
+       links leave a tile, and no link is lost to step 2.
     """
     docs = docs.withColumn("doc_id", F.col(id_col).cast("long"))
     rows = docs.select("doc_id", _text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -320,13 +337,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(
         sketches.where("fp is not null")
         .groupBy("fp")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
-        .select("fp", "rep.doc_id", "rep.text_key", "copies", "bands", "marks"),
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+        .select("fp", "rep.doc_id", "rep.text_key", "copies", "n_shingles", "bands", "marks"),
         "classes",
     )
-    members = classes.select(F.explode("bands").alias("bucket"), "fp", "copies")
+    members = classes.select(F.explode("bands").alias("bucket"), "fp", "copies", "n_shingles")
     hashed = F.xxhash64("fp", "bucket")
-    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max_by("fp", F.struct("copies", "fp")).alias("center"), F.min_by("fp", F.struct(hashed, F.col("fp"))).alias("other")).where("size > 1")
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles"), F.max_by("fp", F.struct("copies", "fp")).alias("center"), F.min_by("fp", F.struct(hashed, F.col("fp"))).alias("other")).where("size > 1")
     members = written(members.select("bucket", "fp").join(buckets, "bucket"), "members")
     star = members.select("fp", F.explode(F.array_distinct(F.array("center", "other"))).alias("to")).where("fp <> to")
     pairs = star.select(F.greatest("fp", "to").alias("a"), F.least("fp", "to").alias("b")).distinct()
@@ -336,32 +353,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = _verified(pairs, texts)
     links = components(first.where("link"))
 
-    label = members.where("size > 2").join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").select("bucket", "fp", "size", F.coalesce("root", "fp").alias("label"))
+    label = members.where("size > 2").join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").select("bucket", "fp", "size", "shingles", F.coalesce("root", "fp").alias("label"))
     split = label.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    tiles = F.ceil(F.col("size") / tile).cast("int")
+    tiles = F.greatest(F.ceil(F.col("size") / tile), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
     open_rows = label.join(split, "bucket").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles").cast("long")).cast("int"))
-    open_rows = open_rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).join(classes.select("fp", "marks"), "fp")
-    tiled = open_rows.select("bucket", F.least("tile", "to").alias("tile_a"), F.greatest("tile", "to").alias("tile_b"), "tile", "fp", "label", "marks")
+    open_rows = open_rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).join(classes.select("fp", "bands", "marks"), "fp").join(texts, "fp")
+    tiled = open_rows.select("bucket", F.least("tile", "to").alias("tile_a"), F.greatest("tile", "to").alias("tile_b"), "tile", "fp", "label", "bands", "marks", "text")
     dealt = tiled.repartition("bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
-    more = dealt.mapInArrow(_close_pairs, "a binary, b binary").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _verified(written(more, "pairs"), texts)
-    if second.where("link").limit(1).count():
+    more = written(dealt.mapInArrow(_close_links, "a binary, b binary"), "links")
+    if more.limit(1).count():
         known = links.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        links = components(known.unionByName(second.where("link").select("a", "b")))
+        links = components(known.unionByName(more))
 
     roots = classes.select("fp", "doc_id").join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = roots.join(smallest, "root").select("fp", "component_id")
-    found = sketches.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
+    found = sketches.select("doc_id", "n_shingles", "fp", "text_key").join(named, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    kept = F.coalesce(F.col("doc_id") == component, component.isNull())
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_key")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one document of each component. Rows of one id stay only if the id
-    names its component; of rows repeated under such an id with equal text, one stays."""
+    """docs without all but one document of each component: rows stay if their id names the
+    component, rows of null id if no id of the component is known. Of rows repeated with equal id
+    and text one stays. Texts are shuffled only if more than 200,000 rows go or rows repeat."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = written(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= 200_000 else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("_gone"), "text_key").distinct(), "gone")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (_text_key(text_col) == F.col("text_key"))
+    kept = docs.join(F.broadcast(gone) if gone.count() <= 200_000 else gone, same, "left_anti")
     twice = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
     return kept.dropDuplicates([id_col, text_col]) if twice else kept
