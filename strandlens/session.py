@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -25,6 +25,18 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder of spark.checkpoint.dir, which survives lost
+    executors. Where it is unset a temporary folder serves local mode; a cluster must name one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        given = context.getConf().get("spark.checkpoint.dir")
+        if not given and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="strandlens-checkpoint-"))
+    return df.checkpoint()
+
+
 def session(cores: int = 8, shuffle_partitions: int = 8, app: str = "strandlens") -> SparkSession:
     """A local session as the tests and the bench use it."""
     spark = (
