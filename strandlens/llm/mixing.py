@@ -74,7 +74,8 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     kept = [c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
     rates = source_rates(docs, weights, temperature, epochs, source_col).select(F.col(source_col).alias("_source"), F.col("rate").alias("_rate"), F.col("cdf").alias("_cdf"))
     who = [F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
-    base = docs.select(*kept)
+    # drawn below the join, which keeps the optimizer from repeating the text's hash in what follows
+    base = docs.select(*kept, F.concat_ws("|", *who).alias("_who")).withColumn("_u", hashed_uniform(F.col("_who")))
     on = F.col(source_col).eqNullSafe(F.col("_source"))
     if rates.count() <= BROADCAST_ROWS:
         joined = base.join(F.broadcast(rates), on)
@@ -84,11 +85,10 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
         joined = base.withColumn("_own", F.pmod(F.xxhash64(id_col, "text"), F.lit(salts)).cast("int")).join(spread, on & (F.col("_own") == F.col("_salt")))
     count = F.size(F.filter("_cdf", lambda p: p < F.col("_u")))
     copies = (
-        joined.withColumn("_u", hashed_uniform(*who))
-        .withColumn("_count", F.least(count, F.size("_cdf") - 1))
+        joined.withColumn("_count", F.least(count, F.size("_cdf") - 1))
         .where("_count > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-        .withColumn("shuffle_key", hashed_uniform(F.lit("order"), *who, F.col("copy").cast("string")))
+        .withColumn("shuffle_key", hashed_uniform(F.lit("order"), F.col("_who"), F.col("copy").cast("string")))
         .withColumn("rate", F.col("_rate"))
         .select(*kept, "copy", "rate", "shuffle_key")
     )
