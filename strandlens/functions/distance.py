@@ -30,20 +30,21 @@ def slices(barcode: Column, threshold: int, length: Column | None = None) -> Col
     ])
 
 
-def near_pairs(df: DataFrame, keys: list[str], barcode: str = "umi", threshold: int = 1, length: int | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+def near_pairs(df: DataFrame, keys: list[str], barcode: str = "umi", threshold: int = 1, length: int | None = None, extra: tuple[str, ...] = (), names: tuple[str, str] = ("a", "b")) -> DataFrame:
     """keys, a, b, distance and extra_a, extra_b of all pairs a < b within the threshold that agree
-    in the keys. An equi-join on slices, so no bundle is compared all against all; each pair is
-    reported by the first slice it shares."""
-    columns = [F.col(barcode).alias("x"), *[F.col(c).alias(f"{c}_x") for c in extra]]
-    cut = df.select(*keys, *columns, F.explode(slices(F.col(barcode), threshold)).alias("s")).select(*keys, "x", *[f"{c}_x" for c in extra], "s.slice", "s.part", F.length("x").alias("_n"))
-    a = cut.withColumnsRenamed({"x": "a", **{f"{c}_x": f"{c}_a" for c in extra}})
-    b = cut.withColumnsRenamed({"x": "b", **{f"{c}_x": f"{c}_b" for c in extra}})
-    joined = a.join(b, [*keys, "slice", "part", "_n"]).where("a < b")
-    shared = F.array_position(F.zip_with(slices(F.col("a"), threshold), slices(F.col("b"), threshold), lambda x, y: x["part"] == y["part"]), True) - 1
-    found = joined.withColumn("distance", hamming(F.col("a"), F.col("b"), length)).where(F.col("distance") <= threshold)
+    in the keys; names other than a and b can be given. An equi-join on slices, so no bundle is
+    compared all against all; each pair is reported by the first slice it shares."""
+    columns = [F.col(barcode).alias("_x"), *[F.col(c).alias(f"_x_{c}") for c in extra]]
+    cut = df.select(*keys, *columns, F.explode(slices(F.col(barcode), threshold)).alias("_s"))
+    cut = cut.select(*keys, "_x", *[f"_x_{c}" for c in extra], F.col("_s.slice").alias("_slice"), F.col("_s.part").alias("_part"), F.length("_x").alias("_n"))
+    one, two = (cut.withColumnsRenamed({"_x": x, **{f"_x_{c}": f"{c}_{x}" for c in extra}}) for x in names)
+    joined = one.join(two, [*keys, "_slice", "_part", "_n"]).where(F.col(names[0]) < F.col(names[1]))
+    first, second = (slices(F.col(x), threshold) for x in names)
+    shared = F.array_position(F.zip_with(first, second, lambda x, y: x["part"] == y["part"]), True) - 1
+    found = joined.withColumn("distance", hamming(F.col(names[0]), F.col(names[1]), length)).where(F.col("distance") <= threshold)
     if threshold:
-        found = found.where(shared == F.col("slice"))
-    return found.select(*keys, "a", "b", *[c for x in extra for c in (f"{x}_a", f"{x}_b")], "distance")
+        found = found.where(shared == F.col("_slice"))
+    return found.select(*keys, *names, *[f"{c}_{x}" for c in extra for x in names], "distance")
 
 
 def matches_prefix(barcode: Column, target: Column, errors: int) -> Column:

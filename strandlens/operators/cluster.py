@@ -203,11 +203,11 @@ def _relational(counts: DataFrame, keys: list[str], method: str, threshold: int)
     if method == "percentile":
         per = counts.groupBy(*keys).agg(F.median("n").alias("_median"), F.count(F.lit(1)).alias("_size"))
         return counts.join(per, keys).where("n > _median / 100 or _size = 1").drop("_median", "_size").withColumn("rep", F.col("umi"))
-    pairs = near_pairs(counts, keys, "umi", threshold, extra=("n",))
-    one = pairs.select(*keys, F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n_a").alias("ns"), F.col("n_b").alias("nd"))
-    both = one.unionByName(pairs.select(*keys, F.col("b").alias("src"), F.col("a").alias("dst"), F.col("n_b").alias("ns"), F.col("n_a").alias("nd")))
+    pairs = near_pairs(counts, keys, "umi", threshold, extra=("n",), names=("src", "dst"))
+    back = pairs.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("n_dst").alias("n_src"), F.col("n_src").alias("n_dst"), "distance")
+    both = pairs.unionByName(back)
     if method == "directional":
-        return _labelled(counts, both.where("ns >= 2 * nd - 1").select(*keys, "src", "dst"), keys)
+        return _labelled(counts, both.where("n_src >= 2 * n_dst - 1").select(*keys, "src", "dst"), keys)
     both = checkpointed(both)
     found = _labelled(counts, both.select(*keys, "src", "dst"), keys)
     if method == "cluster":

@@ -74,11 +74,18 @@ def dense_ids(df: DataFrame, order: list, name: str) -> DataFrame:
 def group(reads: DataFrame, options: GroupingOptions, genes: DataFrame | None = None) -> DataFrame:
     """All grouped reads with umi_count, final_umi, final_umi_count, unique_id and the tags UG and
     (by ``umi_group_tag``) BX set. unique_id counts groups from 0 by contig, position and keys, in a
-    bundle by the representatives' counts."""
+    bundle by the representatives' counts, ties by first occurrence if reads have ord."""
     kept, groups, keys = groups_of(reads, options, genes)
     groups = with_group_sizes(groups, keys)
     heads = groups.where("umi = rep").select(*keys, "rep", F.col("n").alias("rep_n"), "group_n")
-    numbered = dense_ids(heads, [*[F.col(k).asc_nulls_first() for k in keys], F.col("rep_n").desc(), "rep"], "unique_id")
+    ties: list[str] = ["rep"]
+    if "ord" in kept.columns:
+        seen = _renamed(kept.groupBy(*keys, "umi").agg(F.min("ord").alias("first_ord")), [*keys, "umi"])
+        top = groups.withColumn("top", F.max("n").over(Window.partitionBy(*keys, "rep"))).where("n = top")
+        first = top.join(seen, _same([*keys, "umi"])).groupBy(*[F.col(k).alias(f"_{k}") for k in [*keys, "rep"]]).agg(F.min("first_ord").alias("first_ord"))
+        heads = heads.join(first, _same([*keys, "rep"])).select(*keys, "rep", "rep_n", "group_n", "first_ord")
+        ties = ["first_ord", "rep"]
+    numbered = dense_ids(heads, [*[F.col(k).asc_nulls_first() for k in keys], F.col("rep_n").desc(), *ties], "unique_id")
     ids = _renamed(numbered.select(*keys, "rep", "unique_id", "group_n"), [*keys, "rep"])
     labels = groups.select(*keys, "umi", "n", "rep").join(ids, _same([*keys, "rep"])).select(*keys, "umi", F.col("n").alias("umi_count"), F.col("rep").alias("final_umi"), F.col("group_n").alias("final_umi_count"), "unique_id")
     found = kept.join(_renamed(labels, [*keys, "umi"]), _same([*keys, "umi"]))

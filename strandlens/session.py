@@ -51,4 +51,5 @@ def session(cores: int = 8, shuffle_partitions: int = 8, app: str = "strandlens"
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
