@@ -379,8 +379,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     component, rows of null id if no id of the component is known. Of rows repeated with equal id
     and text one stays. Texts are shuffled only if more than 200,000 rows go or rows repeat."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = written(found.where("not kept").select(F.col("doc_id").alias("_gone"), "text_key").distinct(), "gone")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (_text_key(text_col) == F.col("text_key"))
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "gone")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (_text_key(text_col) == F.col("__key"))
     kept = docs.join(F.broadcast(gone) if gone.count() <= 200_000 else gone, same, "left_anti")
     twice = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
     return kept.dropDuplicates([id_col, text_col]) if twice else kept

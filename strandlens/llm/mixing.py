@@ -71,25 +71,25 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     20,000 rows or fewer, else joined by shuffle with hot sources split over 64 salts.
     """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
-    rates = source_rates(docs, weights, temperature, epochs, source_col).select(F.col(source_col).alias("_source"), F.col("rate").alias("_rate"), F.col("cdf").alias("_cdf"))
+    kept = [c for c in docs.columns if c.lower() not in ("copy", "rate", "shuffle_key")]
+    rates = source_rates(docs, weights, temperature, epochs, source_col).select(F.col(source_col).alias("__source"), F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf"))
     who = [F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
     # drawn below the join, which keeps the optimizer from repeating the text's hash in what follows
-    base = docs.select(*kept, F.concat_ws("|", *who).alias("_who")).withColumn("_u", hashed_uniform(F.col("_who")))
-    on = F.col(source_col).eqNullSafe(F.col("_source"))
+    base = docs.select(*kept, F.concat_ws("|", *who).alias("__who")).withColumn("__u", hashed_uniform(F.col("__who")))
+    on = F.col(source_col).eqNullSafe(F.col("__source"))
     if rates.count() <= BROADCAST_ROWS:
         joined = base.join(F.broadcast(rates), on)
     else:
         salts = 64
-        spread = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = base.withColumn("_own", F.pmod(F.xxhash64(id_col, "text"), F.lit(salts)).cast("int")).join(spread, on & (F.col("_own") == F.col("_salt")))
-    count = F.size(F.filter("_cdf", lambda p: p < F.col("_u")))
+        spread = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = base.withColumn("__own", F.pmod(F.xxhash64(id_col, "text"), F.lit(salts)).cast("int")).join(spread, on & (F.col("__own") == F.col("__salt")))
+    count = F.size(F.filter("__cdf", lambda p: p < F.col("__u")))
     copies = (
-        joined.withColumn("_count", F.least(count, F.size("_cdf") - 1))
-        .where("_count > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-        .withColumn("shuffle_key", hashed_uniform(F.lit("order"), F.col("_who"), F.col("copy").cast("string")))
-        .withColumn("rate", F.col("_rate"))
+        joined.withColumn("__count", F.least(count, F.size("__cdf") - 1))
+        .where("__count > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
+        .withColumn("shuffle_key", hashed_uniform(F.lit("order"), F.col("__who"), F.col("copy").cast("string")))
+        .withColumn("rate", F.col("__rate"))
         .select(*kept, "copy", "rate", "shuffle_key")
     )
     parts = shuffle_width(spark)

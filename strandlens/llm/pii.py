@@ -272,8 +272,8 @@ def retries(found: DataFrame, key: str) -> DataFrame:
 
     def judged(tried: DataFrame, settled: DataFrame | None) -> DataFrame:
         taken = real if settled is None else real.unionByName(settled.select("type", "surrogate"))
-        marked = tried.join(taken.distinct().withColumn("_taken", F.lit(True)), ["type", "surrogate"], "left")
-        return written(marked.withColumn("ok", F.col("_taken").isNull() & (F.row_number().over(order) == 1)).select("type", "norm", "attempt", "surrogate", "ok"), "surrogates")
+        marked = tried.join(taken.distinct().withColumn("__taken", F.lit(True)), ["type", "surrogate"], "left")
+        return written(marked.withColumn("ok", F.col("__taken").isNull() & (F.row_number().over(order) == 1)).select("type", "norm", "attempt", "surrogate", "ok"), "surrogates")
 
     now = judged(_surrogate(found.withColumn("attempt", F.lit(0)), key), None)
     settled, late = now.where("ok"), None
@@ -301,19 +301,19 @@ def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     """
     text = F.col(text_col)
     row = F.xxhash64(F.col(id_col), text)
-    seen = written(docs.where(text.rlike(HINT)).select(row.alias("_row"), F.explode(mentions(text)).alias("m")).select("_row", "m.type", "m.norm").distinct(), "mentions")
+    seen = written(docs.where(text.rlike(HINT)).select(row.alias("__row"), F.explode(mentions(text)).alias("m")).select("__row", "m.type", "m.norm").distinct(), "mentions")
     again = written(retries(seen.select("type", "norm").distinct(), key), "retries")
-    known = docs.withColumn("_found", F.coalesce(mentions(text), F.array().cast(MENTION)))
+    known = docs.withColumn("__found", F.coalesce(mentions(text), F.array().cast(MENTION)))
     n = again.count()
     if n:
         entry = F.struct(F.concat_ws("|", "type", "norm").alias("k"), F.col("attempt").alias("v"))
-        per_row = seen.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, ["type", "norm"]).groupBy("_row").agg(F.map_from_entries(F.collect_set(entry)).alias("_attempts"))
+        per_row = seen.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, ["type", "norm"]).groupBy("__row").agg(F.map_from_entries(F.collect_set(entry)).alias("__attempts"))
         per_row = written(per_row, "attempts")
-        known = known.withColumn("_own", row).join(F.broadcast(per_row) if per_row.count() <= BROADCAST_ROWS else per_row, F.col("_own") == F.col("_row"), "left")
-        attempt = lambda m: F.coalesce(F.try_element_at(F.col("_attempts"), F.concat_ws("|", m["type"], m["norm"])), F.lit(0))
-        known = known.withColumn("_found", F.transform("_found", lambda m: F.struct(m["e"].alias("e"), m["type"].alias("type"), m["norm"].alias("norm"), attempt(m).alias("attempt"))))
-    put = F.zip_with("_found", canonical(F.col("_found"), key), dressed)
+        known = known.withColumn("__own", row).join(F.broadcast(per_row) if per_row.count() <= BROADCAST_ROWS else per_row, F.col("__own") == F.col("__row"), "left")
+        attempt = lambda m: F.coalesce(F.try_element_at(F.col("__attempts"), F.concat_ws("|", m["type"], m["norm"])), F.lit(0))
+        known = known.withColumn("__found", F.transform("__found", lambda m: F.struct(m["e"].alias("e"), m["type"].alias("type"), m["norm"].alias("norm"), attempt(m).alias("attempt"))))
+    put = F.zip_with("__found", canonical(F.col("__found"), key), dressed)
     pieces = F.zip_with(F.split(text, ENTITY, -1), put, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
-    replaced = F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(text)
+    replaced = F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(text)
     columns = [replaced.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != count_col]
-    return known.select(*columns, *([F.size("_found").alias(count_col)] if count_col else []))
+    return known.select(*columns, *([F.size("__found").alias(count_col)] if count_col else []))
