@@ -22,7 +22,7 @@ from .minhash import mix
 
 #: Bytes of the q-gram; bytes hashed at once; bytes of pieces indexed at once; occurrences of an
 #: anchor from which its pieces are divided by the bytes beside it; rows of a broadcast key set.
-Q, BLOCK, INDEX, HOT, KEYS = 64, 1 << 18, 3 << 20, 10_000, 200_000
+Q, BLOCK, INDEX, HOT, KEYS = 64, 1 << 18, 2_000_000, 10_000, 200_000
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 _U = np.uint64
@@ -138,8 +138,9 @@ def _piece_rows(length: int):
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by prefix doubling from seven bytes on; only suffixes that still tie are
-    sorted again. A byte counts as 1..256 and what lies past the end as 0."""
+    """Suffixes in order, by prefix multiplying from seven bytes on: as many ranks as 63 bits hold,
+    three for up to two million bytes, make a sort key. Only suffixes that still tie are sorted
+    again. A byte counts as 1..256 and what lies past the end as 0."""
     n = len(data)
     padded = np.concatenate((data.astype(_U) + _U(1), np.zeros(7, _U)))
     key = np.zeros(n, _U)
@@ -150,24 +151,28 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     rank = np.zeros(n + 1, np.int64)
     rank[order] = head + 1  # 0 is the end of the data
-    h = 7
+    h, width = 7, n.bit_length()
+    ranks = min(4, 63 // width)
     tied = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
     while len(tied):
         s = order[tied]
-        pair = rank[s] * (n + 1) + rank[np.minimum(s + h, n)]
-        again = np.argsort(pair)
-        s, pair = s[again], pair[again]
+        key = rank[s]
+        for k in range(1, ranks):
+            key = key << width | rank[np.minimum(s + k * h, n)]
+        again = np.argsort(key)
+        s, key = s[again], key[again]
         order[tied] = s
-        new = np.concatenate(([True], pair[1:] != pair[:-1]))
+        new = np.concatenate(([True], key[1:] != key[:-1]))
         first = np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))
         rank[s] = tied[first] + 1
         tied = tied[~(new & np.append(new[1:], True))]
-        h *= 2
+        h *= ranks
     return order
 
 
-def match_lengths(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Common bytes of the suffixes at a[i] and b[i], by hashes of doubled and halved lengths."""
+def match_lengths(data: np.ndarray, a: np.ndarray, b: np.ndarray, least: int = 0) -> np.ndarray:
+    """Common bytes of the suffixes at a[i] and b[i], by hashes of doubled and halved lengths; 0
+    where they are fewer than ``least``."""
     n = len(data)
     up = _UP if n < len(_UP) else np.cumprod(np.concatenate((np.ones(1, _U), np.full(n, _BASE, _U))))
     down = _DOWN if n < len(_DOWN) else np.cumprod(np.concatenate((np.ones(1, _U), np.full(n, pow(_BASE, -1, 2**64), _U))))
@@ -175,7 +180,7 @@ def match_lengths(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
     found = np.zeros(len(a), np.int64)
     room = n - np.maximum(a, b)
-    todo, step = np.arange(len(a)), 64
+    every, step = np.arange(len(a)), 64
 
     def equal(i: np.ndarray, size: int) -> np.ndarray:
         x, y = a[i] + found[i], b[i] + found[i]
@@ -184,13 +189,16 @@ def match_lengths(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         e = np.where(ok, size, 0)
         return ok & ((total[x + e] - total[x]) * down[x] == (total[y + e] - total[y]) * down[y])
 
+    if least:
+        every = every[equal(every, least)]
+        found[every] = least
+    todo = every
     while len(todo):
         same = equal(todo, step)
         found[todo[same]] += step
         todo = todo[same]
         step *= 2
     while step:
-        every = np.arange(len(a))
         same = equal(every, step)
         found[every[same]] += step
         step //= 2
@@ -201,10 +209,11 @@ class RunIndex:
     """A run-length compressed Burrows-Wheeler transform with samples at the ends of its runs.
 
     heads and lengths are the runs; starts and ends the text positions of each run's first and last
-    suffix; before and after how many bytes they share with the suffix sorted before and after.
+    suffix; before and after how many bytes they share with the suffix sorted before and after, 0
+    if fewer than ``least``.
     """
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, least: int = 0) -> None:
         self.n = len(data)
         order = suffix_array(data)
         last = np.where(order > 0, data[order - 1].astype(np.int16), np.int16(256))
@@ -215,11 +224,12 @@ class RunIndex:
         self.before, self.after = np.zeros(len(edge), np.int64), np.zeros(len(edge), np.int64)
         if len(edge) > 1:
             # one run's last suffix and the next one's first are neighbours
-            shared = match_lengths(data, self.ends[:-1], self.starts[1:])
+            shared = match_lengths(data, self.ends[:-1], self.starts[1:], least)
             self.after[:-1], self.before[1:] = shared, shared
 
     def matching_statistics(self) -> np.ndarray:
-        """For every text position the length of the longest match that starts elsewhere.
+        """For every text position the length of the longest match that starts elsewhere, exact
+        where it is ``least`` or more.
 
         Inside a run the match with a neighbouring suffix is that of the position before, less one
         byte, so it streams along the text from the samples; the longer neighbour counts.
@@ -239,7 +249,8 @@ def _span_rows(length: int):
     """Repeated spans (k1, k2, begin, end) of pieces that come by bucket.
 
     A piece that occurs again is repeated as a whole: only its first occurrence is kept, the others
-    leave at once. Buckets of several different pieces are indexed, many small ones together.
+    leave at once. Buckets of several pieces of which one or more came once are indexed, many small
+    buckets together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,11 +261,11 @@ def _span_rows(length: int):
 
         def close_group() -> None:
             nonlocal size
-            alone = len(group) == 1
+            settled = len(group) == 1 or all(g[4] > 1 for g in group.values())
             for piece, (k1, k2, start, starts, copies, _) in group.items():
                 if copies > 1:
                     out.append((k1, k2, start, start + starts - 1 + length))
-                if not alone:
+                if not settled:
                     held.append((k1, k2, start, starts, piece, copies > 1))
                     size += len(piece) + 1
             group.clear()
@@ -262,7 +273,7 @@ def _span_rows(length: int):
         def index() -> None:
             nonlocal size
             data = np.frombuffer(b"".join(h[4] + b"\xff" for h in held), np.uint8)
-            long = RunIndex(data).matching_statistics() >= length
+            long = RunIndex(data, length).matching_statistics() >= length
             at = 0
             for k1, k2, start, starts, piece, repeated in held:
                 if not repeated:
@@ -281,9 +292,9 @@ def _span_rows(length: int):
             head = [batch.column(i).to_pylist() for i in range(6)]
             for i, (key, k1, k2, start, starts, copies) in enumerate(zip(*head, strict=True)):
                 if key != bucket:
-                    close_group()
-                    if size >= INDEX:
+                    if size + sum(map(len, group)) + len(group) >= INDEX and held:
                         index()
+                    close_group()
                     bucket = key
                 piece = batch.column(6)[i].as_py()
                 if piece not in group:
