@@ -1,4 +1,4 @@
-"""SAM and BAM files as alignments, and the SAM writer.
+"""SAM and BAM files as alignments, and their writers.
 
 An alignment has ord, qname, flag, rname, pos (0-based), mapq, cigar, rnext, pnext (0-based), tlen,
 seq, qual, tags (map of text) and tag_types (map of the tags' type letters).
@@ -7,14 +7,17 @@ seq, qual, tags (map of text) and tag_types (map of the tags' type letters).
 from __future__ import annotations
 
 import glob
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "ord bigint, qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags map<string,string>, tag_types map<string,string>"
 
@@ -168,6 +171,97 @@ def bam_records(file) -> Iterator[tuple]:
         number += 1
 
 
+def bgzf_block(data: bytes) -> bytes:
+    """One block of a blocked gzip file; data of at most 65,280 bytes."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def _bin(begin: int, end: int) -> int:
+    """The smallest bin of the binning index that holds the interval."""
+    end -= 1
+    for shift, offset in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+        if begin >> shift == end >> shift:
+            return offset + (begin >> shift)
+    return 0
+
+
+def bam_record(read, place: dict[str, int]) -> bytes:
+    """An alignment as a BAM record; place numbers the contigs."""
+    ref = place.get(read["rname"], -1)
+    nxt = ref if read["rnext"] == "=" else place.get(read["rnext"], -1)
+    name = read["qname"].encode() + b"\0"
+    cigar, n, span = [], "", 0
+    for c in "" if read["cigar"] in (None, "*") else read["cigar"]:
+        if c.isdigit():
+            n += c
+        else:
+            cigar.append(int(n) << 4 | _OPS.index(c))
+            span += int(n) if c in "MDN=X" else 0
+            n = ""
+    seq = "" if read["seq"] in (None, "*") else read["seq"]
+    codes = [_BASES.index(c) if c in _BASES else 15 for c in seq] + [0] * (len(seq) % 2)
+    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+    qual = b"\xff" * len(seq) if read["qual"] in (None, "*") else bytes(ord(q) - 33 for q in read["qual"])
+    tags = b""
+    for k, v in (read["tags"] or {}).items():
+        kind = (read["tag_types"] or {}).get(k, "i" if k == "UG" else "Z")
+        if kind == "B":
+            sub, *items = v.split(",")
+            values = [float(x) if sub == "f" else int(x) for x in items]
+            tags += k.encode() + b"B" + sub.encode() + struct.pack(f"<i{len(values)}{_NUMBER[sub]}", len(values), *values)
+        else:
+            value = {"i": lambda: struct.pack("<i", int(v)), "f": lambda: struct.pack("<f", float(v)), "A": lambda: v.encode()}.get(kind, lambda: v.encode() + b"\0")()
+            tags += k.encode() + kind.encode() + value
+    pos = read["pos"]
+    data = struct.pack("<iiBBHHHiiii", ref, pos, len(name), read["mapq"], _bin(max(0, pos), max(0, pos) + max(1, span)), len(cigar), read["flag"], len(seq), nxt, read["pnext"], read["tlen"])
+    data += name + struct.pack(f"<{len(cigar)}I", *cigar) + packed + qual + tags
+    return struct.pack("<i", len(data)) + data
+
+
+def bam_head(header: list[str]) -> bytes:
+    text = ("\n".join(header) + "\n").encode() if header else b""
+    sizes = {c: next((int(p[3:]) for p in line.split("\t") if p.startswith("LN:")), 0) for c, line in zip(contigs(header), [h for h in header if h.startswith("@SQ")], strict=True)}
+    refs = b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in sizes.items())
+    return b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(sizes)) + refs
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    path: str
+
+
+class _BamWriter(DataSourceWriter):
+    """Every partition becomes a complete file of its own; it gets its name once it is whole, so a
+    repeated task leaves one file."""
+
+    def __init__(self, path: str, header: list[str], overwrite: bool) -> None:
+        self.path, self.header = path, header
+        os.makedirs(path, exist_ok=True)
+        for old in glob.glob(os.path.join(path, "part-*.bam")) if overwrite else ():
+            os.remove(old)
+
+    def write(self, iterator) -> WriterCommitMessage:
+        context = TaskContext.get()
+        final = os.path.join(self.path, f"part-{context.partitionId():05d}.bam")
+        scratch = f"{final}.{context.taskAttemptId()}"
+        place = {c: i for i, c in enumerate(contigs(self.header))}
+        with open(scratch, "wb") as out:
+            buffer = bytearray(bam_head(self.header))
+            for row in iterator:
+                buffer += bam_record(row, place)
+                while len(buffer) >= 65_280:
+                    out.write(bgzf_block(bytes(buffer[:65_280])))
+                    del buffer[:65_280]
+            if buffer:
+                out.write(bgzf_block(bytes(buffer)))
+            out.write(bgzf_block(b""))
+        os.replace(scratch, final)
+        return _Written(final)
+
+
 class _Part(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -200,10 +294,32 @@ class BamSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _BamReader(self.options["path"])
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _BamWriter(self.options["path"], json.loads(self.options.get("header", "[]")), overwrite)
+
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(BamSource)
     return spark.read.format("bam").load(path)
 
 
-__all__ = ["BamSource", "as_sam_lines", "bam_records", "contigs", "from_sam_lines", "read_bam", "read_sam", "sam_header", "sorted_by_coordinate", "write_sam"]
+def bam_header(path: str) -> list[str]:
+    """The header lines of a BAM file, or of the first in a folder."""
+    with open(_BamReader(path).paths[0], "rb") as file:
+        stream = _Bytes(bgzf_blocks(file))
+        stream.take(4)
+        return stream.take(struct.unpack("<i", stream.take(4))[0]).decode().rstrip("\0\n").split("\n")
+
+
+def write_bam(reads: DataFrame, path: str, header: list[str], coordinate_sort: bool = True) -> None:
+    """BAM files under path, one per partition, each with the header; sorted they are ranges of the
+    order that follow each other by name."""
+    reads.sparkSession.dataSource.register(BamSource)
+    rows = sorted_by_coordinate(reads, contigs(header)) if coordinate_sort else reads
+    types = rows["tag_types"] if "tag_types" in rows.columns else F.create_map().cast("map<string,string>")
+    columns = [c.split()[0] for c in SCHEMA.split(", ") if not c.startswith("tag_types")]
+    ordered = rows if "ord" in rows.columns else rows.withColumn("ord", F.monotonically_increasing_id())
+    ordered.select(*columns, types.alias("tag_types")).write.format("bam").option("header", json.dumps(header)).mode("overwrite").save(path)
+
+
+__all__ = ["BamSource", "as_sam_lines", "bam_header", "bam_records", "contigs", "from_sam_lines", "read_bam", "read_sam", "sam_header", "sorted_by_coordinate", "write_bam", "write_sam"]
