@@ -31,7 +31,7 @@ _TITLE = rf"(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})"
 _NAME = r"\p{Lu}\p{Ll}++"
 _LABEL = r"[\p{L}\p{N}\-]++"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+\-])[\p{{L}}\p{{N}}._%+\-]++@{_LABEL}(?:\.{_LABEL})++"
+EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+\-])[\p{{L}}\p{{N}}._%+\-]++@{_LABEL}(?:\.{_LABEL}){{1,12}}+"
 SECRET = r"(?i:token|api[_\-]?key|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-]{12,}+[\"']?"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 IP = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
