@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 from .minhash import mix
 
 #: Bytes of the q-gram; bytes hashed at once; bytes of pieces indexed at once; occurrences of an
-#: anchor from which its pieces are divided by the bytes beside it; rows of a broadcast key set.
-Q, BLOCK, INDEX, HOT, KEYS = 64, 1 << 18, 2_000_000, 10_000, 200_000
+#: anchor from which its pieces are divided by the bytes beside it; rows of a broadcast key set;
+#: pieces that a task remembers having sent.
+Q, BLOCK, INDEX, HOT, KEYS, SENT = 64, 1 << 18, 2_000_000, 10_000, 200_000, 50_000
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 _U = np.uint64
@@ -98,10 +99,16 @@ PIECES = "bucket bigint, k1 bigint, k2 bigint, start bigint, starts int, copies
 
 def _piece_rows(length: int):
     """Pieces of (k1, k2, copies, text, places): the bytes of each run of windows, by anchor; for a
-    hot anchor by the 132 bytes to its left or right end, one of which each window holds."""
+    hot anchor by the 132 bytes to its left or right end, one of which each window holds.
+
+    A piece that this task has already sent twice, or once for a text with copies, is known to be
+    repeated: its further places go without bytes and to any task, so a bucket gets two rows per
+    different piece and task, however common the piece is.
+    """
     side = (length - Q) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[tuple[int, bytes], int] = {}
         for batch in batches:
             rows: list[tuple] = []
             size = 0
@@ -119,7 +126,15 @@ def _piece_rows(length: int):
                                 key = hashlib.blake2b(data[near[0] : near[1]], digest_size=8, salt=b"left" if first == at and left else b"right").digest()
                                 parts.append((int.from_bytes(key, "big", signed=True), first, count))
                     for bucket, first, count in parts:
-                        rows.append((bucket, k1, k2, first, count, copies, data[first : first + count - 1 + length]))
+                        piece = data[first : first + count - 1 + length]
+                        times = sent.get((bucket, piece), 0)
+                        if times > 1:
+                            rows.append((k1 ^ first, k1, k2, first, count, copies, None))
+                            continue
+                        if len(sent) >= SENT:
+                            sent.clear()
+                        sent[bucket, piece] = times + min(2, copies)
+                        rows.append((bucket, k1, k2, first, count, copies, piece))
                         size += count + length
                 if size > 4 << 20:
                     yield _batch(rows)
@@ -291,12 +306,15 @@ def _span_rows(length: int):
         for batch in batches:
             head = [batch.column(i).to_pylist() for i in range(6)]
             for i, (key, k1, k2, start, starts, copies) in enumerate(zip(*head, strict=True)):
+                piece = batch.column(6)[i].as_py()
+                if piece is None:  # repeated for certain
+                    out.append((k1, k2, start, start + starts - 1 + length))
+                    continue
                 if key != bucket:
                     if size + sum(map(len, group)) + len(group) >= INDEX and held:
                         index()
                     close_group()
                     bucket = key
-                piece = batch.column(6)[i].as_py()
                 if piece not in group:
                     group[piece] = [k1, k2, start, starts, copies, {(k1, k2, start)}]
                 else:
@@ -356,7 +374,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text") -
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(text.alias("text")).where(F.octet_length("text") >= length).select(*text_keys(F.col("text")), F.encode("text", "UTF-8").alias("text"))
     found = written(rows.mapInArrow(_anchor_rows(length), "k1 bigint, k2 bigint, anchor bigint, place bigint"), "anchors")
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot"))
+    # written, so that the join deals both sides itself and Spark can divide a hot anchor's rows
+    twice = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")), "twice")
     spots = found.join(twice, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "place", "hot")).alias("places"), F.count(F.lit(1)).alias("n"))
     spots = written(spots.withColumn("copies", F.expr("n div size(places)")).drop("n"), "places")
     keys = spots.select("k1", "k2")
@@ -365,7 +384,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text") -
     pieces = texts.join(spots, ["k1", "k2"]).select("k1", "k2", "copies", "text", "places").mapInArrow(_piece_rows(length), PIECES)
     dealt = pieces.repartition("bucket").sortWithinPartitions("bucket")
     spans = dealt.mapInArrow(_span_rows(length), SPANS)
-    return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans")).mapInArrow(_merge_rows, "k1 bigint, k2 bigint, spans array<struct<begin:bigint,end:bigint>>")
+    by_text = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    out = written(by_text.mapInArrow(_merge_rows, "k1 bigint, k2 bigint, spans array<struct<begin:bigint,end:bigint>>"), "spans")
+    drop_written(found, twice, spots)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
@@ -376,7 +398,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     input. Null and empty texts have nothing to remove; repeated rows and copies remove each other;
     other columns are ignored; an empty table gives an empty result.
     """
-    spans = written(repeated_spans(docs, length, text_col), "spans")
+    spans = repeated_spans(docs, length, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select("doc_id", *text_keys(F.col("text")), F.encode("text", "UTF-8").alias("text"))
     spans = spans.withColumn("n_removed", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"]))
