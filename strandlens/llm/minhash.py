@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 from .components import components
 
 #: Coordinates of a sketch; a power of two, at most 128. Bands of ROWS coordinates: a pair of
@@ -367,7 +367,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     roots = classes.select("fp", "doc_id").join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = roots.join(smallest, "root").select("fp", "component_id")
+    named = written(roots.join(smallest, "root").select("fp", "component_id"), "named")
+    drop_written(classes, members, pairs, texts, first, more)
     found = sketches.select("doc_id", "n_shingles", "fp", "text_key").join(named, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())
