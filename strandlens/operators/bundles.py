@@ -93,7 +93,14 @@ def event_counts(found: DataFrame) -> DataFrame:
 def keyed(found: DataFrame, options: GroupingOptions) -> tuple[DataFrame, list[str]]:
     """The kept reads with their bundle's key columns, and the columns' names. The contig is always
     part of the key; by gene nothing else of the position is."""
-    kept = found.where(F.col("event") == KEPT)
+    # The row number keeps the filter above the expressions it tests: pushed below, it would repeat
+    # all of them, barcodes and tags included. What a scan can use, the quality, is filtered again.
+    if options.mapping_quality:
+        found = found.where(F.col("mapq") >= options.mapping_quality)
+    if found.isStreaming:  # streams have no row numbers
+        kept = found.where(F.col("event") == KEPT)
+    else:
+        kept = found.withColumn("_row", F.monotonically_increasing_id()).where((F.col("event") == KEPT) & (F.col("_row") >= 0)).drop("_row")
     cell = ["cell"] if options.per_cell else []
     if options.per_gene:
         return kept, ["rname", "gene", *cell]

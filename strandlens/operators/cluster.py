@@ -226,9 +226,8 @@ def cluster(counts: DataFrame, keys: list[str], method: str = "directional", thr
     """keys, umi, n, rep of counts (keys, umi, n): each barcode with its group's representative,
     the most frequent one, ties to the first by letters. Barcodes a method drops are left out.
 
-    path: ``grouped``, ``relational``, or ``auto``, which counts barcodes per bundle, as narrow rows,
-    and takes the relational path for bundles of more than hot_bundle. Barcodes of fewer than nine
-    bases can't fill such a bundle, so ``auto`` looks at the longest one first.
+    path: ``grouped``, ``relational``, or ``auto``, which keeps the counts in the shared folder,
+    counts barcodes per bundle and takes the relational path for bundles of more than hot_bundle.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
@@ -237,6 +236,7 @@ def cluster(counts: DataFrame, keys: list[str], method: str = "directional", thr
         return _relational(counts, keys, method, threshold)
     hot = None
     if path == "auto":
+        counts = checkpointed(counts)  # looked at twice; the reads behind it are scanned once
         sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > hot_bundle).select(*keys)
         if sizes.limit(1).count():
             same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
