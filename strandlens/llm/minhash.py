@@ -129,18 +129,21 @@ def fast_sketch(items: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     In rounds 0..t-1 every item falls into a hashed bin; a bin keeps the smallest hash of the first
     round that reaches it. Rounds t..2t-1 put all items into one bin each, so every bin is filled.
     Two sketches agree in each coordinate with the sets' Jaccard similarity as probability. A value
-    is (round, hash), under the bin's number; the rounds stop when all bins are filled.
+    is (round, hash), under the bin's number; the rounds stop when all bins are filled. Small sets
+    take several rounds at once; nothing but the bin stands above the round, so values don't depend
+    on how many.
     """
     shift = _U(64 - (t.bit_length() - 1))
     edges = np.arange(t, dtype=_U) << shift
-    clear = ~(_U(0xFF) << _U(48))
+    low48 = (_U(1) << _U(48)) - _U(1)
+    clear = edges[-1] | low48
     out, empty = np.zeros(t, _U), np.ones(t, bool)
     i = 0
     while i < t and empty.any():
         r = min(t - i, max(1, 4 * t // len(items)))
         keys = mix(items[None, :] ^ _ROUND[i : i + r, None]) & clear
         keys |= np.arange(i, i + r, dtype=_U)[:, None] << _U(48)
-        keys = np.sort(keys, axis=None) if r == 1 else np.sort((keys & (edges[-1] | (_U(1) << shift) - _U(1))).ravel())
+        keys = np.sort(keys, axis=None)
         first = np.searchsorted(keys, edges)
         ok = first < len(keys)
         value = keys[np.minimum(first, len(keys) - 1)]
@@ -150,8 +153,7 @@ def fast_sketch(items: np.ndarray, t: int = COORDINATES) -> np.ndarray:
         empty &= ~fill
         i += r
     for b in np.flatnonzero(empty):
-        low = (mix(items ^ _ROUND[t + b]) & clear & ((_U(1) << shift) - _U(1))).min()
-        out[b] = edges[b] | _U(t + b) << _U(48) | low & ((_U(1) << _U(48)) - _U(1))
+        out[b] = edges[b] | _U(t + b) << _U(48) | (mix(items ^ _ROUND[t + b]) & low48).min()
     return out
 
 

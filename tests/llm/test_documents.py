@@ -79,6 +79,26 @@ def test_sketch_estimates_similarity():
     assert (minhash.fast_sketch(np.array([5], np.uint64)) != 0).all()
 
 
+def test_sketch_does_not_depend_on_batches_of_rounds():
+    rng = np.random.default_rng(5)
+    for n in (100, 128, 170, 256):
+        agree = []
+        for _ in range(60):
+            a = rng.integers(0, 2**63, n + n // 3).astype(np.uint64)
+            agree.append((minhash.fast_sketch(a) == minhash.fast_sketch(a[:n])).mean())
+        assert abs(np.mean(agree) - n / len(a)) < 0.03
+    for n in (1, 7, 100, 300, 600):
+        items = rng.integers(0, 2**63, n).astype(np.uint64)
+        want = {}
+        for i in range(2 * minhash.COORDINATES):
+            hashes = minhash.mix(items ^ minhash._ROUND[i]).tolist()
+            for h in hashes:
+                b = h >> 57 if i < minhash.COORDINATES else i - minhash.COORDINATES
+                value = b << 57 | i << 48 | h & (1 << 48) - 1
+                want[b] = min(want.get(b, value), value)
+        assert minhash.fast_sketch(items).tolist() == [want[b] for b in range(minhash.COORDINATES)]
+
+
 def test_long_text_is_hashed_in_blocks(monkeypatch):
     text = b" ".join(b"w%d" % (i % 977) for i in range(5000))
     want = minhash.shingle_sets([text])[0]
