@@ -138,63 +138,112 @@ def best_fit(counts: dict[int, int], size: int) -> Counter[Pattern]:
     return done
 
 
-def local_search(bins: Counter[Pattern], size: int, limit: int = 512) -> Counter[Pattern]:
-    """Exchange pieces between underfull bins until no exchange increases squared fill.
-
-    The emptiest bins are donors; each tries to move a piece into a fuller bin, to exchange one of
-    its pieces for a smaller one there, or two for one, whenever that leaves the receiver fuller.
-    Every accepted step increases the sum of squared fills, so the search ends; donors that reach
-    zero disappear. Works on up to ``limit`` emptiest bins at a time (a bound on the driver's work,
-    not on the pieces: all other bins are kept as they are).
+def local_search(bins: Counter[Pattern], size: int) -> Counter[Pattern]:
+    """Exchange pieces between underfull bins until no exchange increases squared fill, or the bins
+    are as few as the sum of the pieces allows.
+
+    Works on patterns with their multiplicities, all underfull ones: the emptiest are donors first;
+    each looks among all patterns that are as full, copies of itself included, for a piece to move
+    there, or to exchange one or two of its pieces for a smaller one, and takes the step that leaves
+    the receiver fullest, in as many bins at once as there are of both. Every step increases the sum
+    of squared fills, so the search ends; donors that reach zero disappear.
     """
-    under = sorted((p for p in bins if sum(p) < size), key=sum)
-    pool: list[list[int]] = []
+    used, least = sum(bins.values()), -(-sum(sum(p) * n for p, n in bins.items()) // size)
+    full = Counter({p: n for p, n in bins.items() if sum(p) == size})
+    under = Counter({p: n for p, n in bins.items() if sum(p) < size})
+    receivers = _Receivers(size)
     for p in under:
-        take = min(bins[p], limit - len(pool))
-        pool += [list(p) for _ in range(take)]
-        bins[p] -= take
-        if len(pool) >= limit:
-            break
-    bins += Counter()
+        receivers.add(p)
     improved = True
-    while improved and len(pool) > 1:
+    while improved and used > least:
         improved = False
-        pool.sort(key=sum)
-        for donor in pool[: len(pool) // 2 + 1]:
-            for receiver in reversed(pool):
-                while receiver is not donor and donor and sum(receiver) >= sum(donor) and (step := _exchange(donor, receiver, size)):
-                    give, take = step
-                    for x in give:
-                        donor.remove(x)
-                    for x in take:
-                        receiver.remove(x)
-                    receiver += give
-                    donor += take
-                    improved = True
-        pool = [b for b in pool if b]
-    return bins + Counter(tuple(sorted(b, reverse=True)) for b in pool)
-
-
-def _exchange(donor: list[int], receiver: list[int], size: int) -> tuple[list[int], list[int]] | None:
-    """The step that fills the receiver most: move, one for one or two for one."""
-    room = size - sum(receiver)
-    if not room:
-        return None
-    own, theirs = sorted(set(donor)), sorted(set(receiver))
-    best, step = 0, None
-    for i, a in enumerate(own):
-        if best < a <= room:
-            best, step = a, ([a], [])
-        for b in theirs:
-            if best < a - b <= room:
-                best, step = a - b, ([a], [b])
-        for a2 in own[i + (donor.count(a) < 2) :]:
-            for b in theirs:
-                if best < a + a2 - b <= room:
-                    best, step = a + a2 - b, ([a, a2], [b])
-        if best == room:
-            break
-    return step
+        for donor in sorted(under, key=lambda p: (sum(p), p)):
+            while under[donor] and used > least and (step := receivers.best(donor, under[donor])):
+                receiver, give, take = step
+                n = under[donor] // 2 if receiver == donor else min(under[donor], under[receiver])
+                for p, away, more in ((donor, give, take), (receiver, take, give)):
+                    under[p] -= n
+                    left = list(p)
+                    for x in away:
+                        left.remove(x)
+                    grown = tuple(sorted((*left, *more), reverse=True))
+                    if not grown:
+                        used -= n
+                    elif sum(grown) == size:
+                        full[grown] += n
+                    else:
+                        if not under[grown]:
+                            receivers.add(grown)
+                        under[grown] += n
+                for p in {donor, receiver}:
+                    if not under[p]:
+                        receivers.drop(p)
+                improved = True
+        under += Counter()
+    return full + under
+
+
+class _Receivers:
+    """What underfull patterns take: a row for each (pattern, piece given back, or 0 for none)."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.n = size, 0
+        self.patterns: list[Pattern] = []
+        self.at: dict[Pattern, tuple[int, int]] = {}
+        self.room, self.back = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+
+    def add(self, pattern: Pattern) -> None:
+        if pattern in self.at:
+            return
+        back = [0, *sorted(set(pattern))]
+        if self.n + len(back) > len(self.room):
+            self._compact(len(back))
+        a, b = self.n, self.n + len(back)
+        self.room[a:b], self.back[a:b] = self.size - sum(pattern), back
+        self.patterns += [pattern] * len(back)
+        self.at[pattern] = a, b
+        self.n = b
+
+    def drop(self, pattern: Pattern) -> None:
+        a, b = self.at.pop(pattern)
+        self.room[a:b] = self.size + 1
+
+    def _compact(self, more: int) -> None:
+        live = np.flatnonzero(self.room[: self.n] <= self.size)
+        room, back, patterns = self.room[live], self.back[live], [self.patterns[i] for i in live]
+        n = len(live)
+        self.room, self.back = np.zeros(2 * (n + more), np.int64), np.zeros(2 * (n + more), np.int64)
+        self.room[:n], self.back[:n] = room, back
+        self.n, self.patterns, self.at = n, patterns, {}
+        for i, p in enumerate(patterns):
+            self.at[p] = self.at.get(p, (i, i))[0], i + 1
+
+    def best(self, donor: Pattern, copies: int) -> tuple[Pattern, Pattern, Pattern] | None:
+        """(receiver, pieces it gets, pieces it gives back) of the step that leaves the least room
+        in a receiver at least as full; of those the step that moves most."""
+        sums: dict[int, Pattern] = {}
+        own = sorted(set(donor))
+        for i, x in enumerate(own):
+            for y in own[i + (donor.count(x) < 2) :]:
+                sums[x + y] = (x, y)
+        sums |= {x: (x,) for x in own}
+        ok = self.room[: self.n] <= self.size - sum(donor)
+        if copies < 2:
+            ok[slice(*self.at[donor])] = False
+        rows = np.flatnonzero(ok)
+        # sum that fills the receiver -> least piece given back for it
+        least = np.full(self.size + 1, self.size + 1)
+        np.minimum.at(least, self.room[rows] + self.back[rows], self.back[rows])
+        filling = np.flatnonzero(least <= self.size)
+        s = np.array(sorted(sums, reverse=True))
+        room = filling - s[:, None]
+        cost = np.where((room >= 0) & (least[filling] < s[:, None]), room * (2 * self.size) + least[filling] - s[:, None] + self.size, np.iinfo(np.int64).max)
+        if not cost.size or cost.min() == np.iinfo(np.int64).max:
+            return None
+        i, j = np.unravel_index(cost.argmin(), cost.shape)
+        back = int(least[filling[j]])
+        row = rows[(self.back[rows] == back) & (self.room[rows] == filling[j] - back)][0]
+        return self.patterns[row], sums[int(s[i])], (back,) if back else ()
 
 
 def pack(counts: dict[int, int], size: int) -> Counter[Pattern]:

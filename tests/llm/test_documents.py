@@ -280,6 +280,15 @@ def test_local_search_and_cuts():
     assert sum(better.values()) == 2
 
 
+@pytest.mark.parametrize("times", [600, 600_000])
+def test_local_search_takes_all_underfull_bins(times):
+    # best fit pairs 513 with 258 and leaves room in all those bins
+    counts = {513: times, 258: times, 257: times, 254: 2 * times}
+    bins = packing.pack(counts, 1024)
+    assert 1.2 * sum(bins.values()) < sum(packing.best_fit(counts, 1024).values())
+    assert sum(bins.values()) == -(-sum(k * n for k, n in counts.items()) // 1024)
+
+
 def test_special_strings_follow_the_tokenizer():
     from tokenizers import Tokenizer
 
