@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .common import drop_written, written
 from .minhash import mix
 
-#: Bytes of the q-gram; bytes hashed at once; bytes of pieces indexed at once; occurrences of an
-#: anchor from which its pieces are divided by the bytes beside it; rows of a broadcast key set;
-#: pieces that a task remembers having sent.
+#: Bytes of the q-gram; bytes hashed at once; bytes of pieces indexed at once, and of a bucket that
+#: isn't divided further; occurrences of an anchor from which its pieces are divided before they are
+#: counted; rows of a broadcast key set; pieces that a task remembers having sent.
 Q, BLOCK, INDEX, HOT, KEYS, SENT = 64, 1 << 18, 2_000_000, 10_000, 200_000, 50_000
 SEPARATOR = 0xFF  # no byte of UTF-8
 
@@ -94,21 +94,51 @@ def _anchor_rows(length: int):
     return run
 
 
-PIECES = "bucket bigint, k1 bigint, k2 bigint, start bigint, starts int, copies bigint, piece binary"
+PIECES = "bucket bigint, k1 bigint, k2 bigint, start bigint, starts int, copies bigint, piece binary, offset int, low int, high int"
 
 
-def _piece_rows(length: int):
-    """Pieces of (k1, k2, copies, text, places): the bytes of each run of windows, by anchor; for a
-    hot anchor by the 132 bytes to its left or right end, one of which each window holds.
+def _halves(piece: bytes, offset: int, starts: int, low: int, high: int, length: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(bucket, first, starts, low, high) of the two halves of a piece whose windows have their anchor
+    at offset, offset - 1 and so on, all from low to high. The halves part at an offset that depends
+    on low and high alone, and the bucket is a hash of the bytes that all windows of a half share
+    beside the anchor, so equal windows stay together; a half of one offset has the whole window."""
+    mid = (low + high + 1) // 2
+    left = max(0, min(starts, offset - mid + 1))
+    for first, count, lo, hi in ((0, left, mid, high), (left, starts - left, low, mid - 1)):
+        if count:
+            key = hashlib.blake2b(piece[offset - lo : offset - hi + length], digest_size=8, salt=bytes((lo, hi))).digest()
+            yield int.from_bytes(key, "big", signed=True), first, count, lo, hi
+
 
-    A piece that this task has already sent twice, or once for a text with copies, is known to be
+class _Sent:
+    """A piece that this task has already sent twice, or once for a text with copies, is known to be
     repeated: its further places go without bytes and to any task, so a bucket gets two rows per
-    different piece and task, however common the piece is.
-    """
-    side = (length - Q) // 2
+    different piece and task, however common the piece is."""
+
+    def __init__(self) -> None:
+        self.times: dict[tuple[int, bytes], int] = {}
+
+    def row(self, bucket: int, k1: int, k2: int, start: int, starts: int, copies: int, piece: bytes, *near: int) -> tuple:
+        times = self.times.get((bucket, piece), 0)
+        if times > 1:
+            return k1 ^ start, k1, k2, start, starts, copies, None, *near
+        if len(self.times) >= SENT:
+            self.times.clear()
+        self.times[bucket, piece] = times + min(2, copies)
+        return bucket, k1, k2, start, starts, copies, piece, *near
+
+
+def _pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "k1", "k2", "start", "starts", "copies", "piece", "offset", "low", "high"])
+
+
+def _piece_rows(length: int):
+    """Pieces of (k1, k2, copies, text, places): the bytes of each run of windows, by anchor; for a
+    hot anchor in halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: dict[tuple[int, bytes], int] = {}
+        sent = _Sent()
         for batch in batches:
             rows: list[tuple] = []
             size = 0
@@ -116,39 +146,64 @@ def _piece_rows(length: int):
                 data = text.as_buffer().to_pybytes()
                 for spot in places.as_py():
                     at, n, offset = spot["place"] >> 16, spot["place"] >> 8 & 255, spot["place"] & 255
-                    parts = [(spot["anchor"], at, n)]
+                    parts = [(spot["anchor"], 0, n, 0, length - Q)]
                     if spot["hot"]:
-                        a = at + offset
-                        left = max(0, min(n, a - side - at + 1))
-                        parts = []
-                        for first, count, near in ((at, left, (a - side, a + Q)), (at + left, n - left, (a, a + Q + side))):
-                            if count:
-                                key = hashlib.blake2b(data[near[0] : near[1]], digest_size=8, salt=b"left" if first == at and left else b"right").digest()
-                                parts.append((int.from_bytes(key, "big", signed=True), first, count))
-                    for bucket, first, count in parts:
-                        piece = data[first : first + count - 1 + length]
-                        times = sent.get((bucket, piece), 0)
-                        if times > 1:
-                            rows.append((k1 ^ first, k1, k2, first, count, copies, None))
-                            continue
-                        if len(sent) >= SENT:
-                            sent.clear()
-                        sent[bucket, piece] = times + min(2, copies)
-                        rows.append((bucket, k1, k2, first, count, copies, piece))
-                        size += count + length
+                        parts = list(_halves(data[at : at + n - 1 + length], offset, n, 0, length - Q, length))
+                    for bucket, first, count, low, high in parts:
+                        piece = data[at + first : at + first + count - 1 + length]
+                        rows.append(sent.row(bucket, k1, k2, at + first, count, copies, piece, offset - first, low, high))
+                        size += (count + length) * (rows[-1][6] is not None)
                 if size > 4 << 20:
-                    yield _batch(rows)
+                    yield _pieces_batch(rows)
                     rows, size = [], 0
             if rows:
-                yield _batch(rows)
+                yield _pieces_batch(rows)
 
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "k1", "k2", "start", "starts", "copies", "piece"])
+    return run
+
+
+def _half_rows(length: int):
+    """The halves of pieces; what has no bytes, or one offset alone, stays as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = _Sent()
+        for batch in batches:
+            rows: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, k1, k2, start, starts, copies, piece, offset, low, high = row
+                if piece is None or low == high:
+                    rows.append(row)
+                    continue
+                for bucket, first, count, lo, hi in _halves(piece, offset, starts, low, high, length):
+                    rows.append(sent.row(bucket, k1, k2, start + first, count, copies, piece[first : first + count - 1 + length], offset - first, lo, hi))
+            if rows:
+                yield _pieces_batch(rows)
 
     return run
 
 
+def _divided(pieces: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pieces (written) of which no bucket of several different ones has over INDEX bytes, and the
+    tables that hold them. Larger buckets are halved until none is left, down to single windows,
+    where a bucket has one piece."""
+    done, tables = [], [pieces]
+    while True:
+        found = pieces.where("piece is not null").groupBy("bucket")
+        sizes = found.agg(F.sum(F.octet_length("piece") + 1).alias("bytes"), F.min(F.xxhash64("piece")).alias("least"), F.max(F.xxhash64("piece")).alias("most"), F.max(F.col("high") - F.col("low")).alias("wide"))
+        large = written(sizes.where((F.col("bytes") > INDEX) & (F.col("least") < F.col("most")) & (F.col("wide") > 0)).select("bucket"), "large")
+        tables.append(large)
+        n = large.count()
+        if not n:
+            break
+        keys = F.broadcast(large) if n <= KEYS else large
+        done.append(pieces.join(keys, "bucket", "left_anti"))
+        pieces = written(pieces.join(keys, "bucket").select(*pieces.columns).mapInArrow(_half_rows(length), PIECES), "halves")
+        tables.append(pieces)
+    for rest in done:
+        pieces = pieces.unionByName(rest)
+    return pieces, tables
+
+
 # --- the index --------------------------------------------------------------------------------
 
 
@@ -382,11 +437,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text") -
     wanted = rows.join(F.broadcast(keys), ["k1", "k2"], "left_semi") if spots.count() <= KEYS else rows
     texts = wanted.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     pieces = texts.join(spots, ["k1", "k2"]).select("k1", "k2", "copies", "text", "places").mapInArrow(_piece_rows(length), PIECES)
-    dealt = pieces.repartition("bucket").sortWithinPartitions("bucket")
+    pieces, tables = _divided(written(pieces, "pieces"), length)
+    dealt = pieces.select("bucket", "k1", "k2", "start", "starts", "copies", "piece").repartition("bucket").sortWithinPartitions("bucket")
     spans = dealt.mapInArrow(_span_rows(length), SPANS)
     by_text = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     out = written(by_text.mapInArrow(_merge_rows, "k1 bigint, k2 bigint, spans array<struct<begin:bigint,end:bigint>>"), "spans")
-    drop_written(found, twice, spots)
+    drop_written(found, twice, spots, *tables)
     return out
 
 

@@ -131,6 +131,28 @@ def test_repeats(docs, rows, monkeypatch, hot, keys):
     assert got == brute_repeats(rows)
 
 
+def test_repeats_divide_large_buckets(spark, docs, rows, monkeypatch):
+    # one line in many documents, whose surroundings differ: all its anchors' pieces do too
+    rng = np.random.default_rng(9)
+    line = "".join(rng.choice(list("abcdefgh "), 260))
+    more = [(1000 + i, "".join(rng.choice(list("abcdefgh "), 150)) + line + "".join(rng.choice(list("abcdefgh "), 150))) for i in range(60)]
+    monkeypatch.setattr(suffix, "HOT", 20)
+    monkeypatch.setattr(suffix, "INDEX", 2000)
+    asked = []
+    whole = suffix._divided
+
+    def divided(*args):
+        pieces, tables = whole(*args)
+        asked.append(pieces.where("piece is not null").groupBy("bucket").agg(F.sum(F.octet_length("piece") + 1).alias("bytes"), F.countDistinct("piece").alias("n")).where("n > 1").agg(F.max("bytes")).first()[0])
+        return pieces, tables
+
+    monkeypatch.setattr(suffix, "_divided", divided)
+    table = [(i, t) for i, t, *_ in rows] + more
+    got = collections.Counter(tuple(r) for r in suffix.remove_repeats(spark.createDataFrame(table, "doc_id bigint, text string")).collect())
+    assert got == brute_repeats(table)
+    assert asked[0] <= 2000
+
+
 def test_repeats_odd_tables(empty, clashing, rows):
     assert suffix.remove_repeats(empty).count() == 0
     out = suffix.remove_repeats(clashing, texts=True)
