@@ -75,7 +75,7 @@ def _describe(text: bytes, words: np.ndarray) -> tuple[np.ndarray, dict[str, int
         upper / max(1, upper + lower),
         last[_SYMBOLS].sum() / max(1, n),
         1 - _distinct(trigrams),
-        _distinct(words) if n < 400 else np.mean([_distinct(words[i : i + 200]) for i in range(0, n - 199, 200)]),
+        _distinct(words) if n < 400 else np.mean([_distinct(words[i : i + 200]) for i in (*range(0, n - 199, 200), *([n - 200] if n % 200 else []))]),
         float((words[1:] == words[:-1]).mean()) if n > 1 else 0.0,
         full / max(1, n),
         1 - len(set(lines)) / len(lines) if lines else 0.0,

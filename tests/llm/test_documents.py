@@ -435,6 +435,17 @@ def test_labellers_are_weighed_by_agreement():
     assert abs(table[0, 1, quality.HIGH] - 0.97) < 0.02 and abs(table[3, 1, quality.HIGH] - 0.5) < 0.03 and abs(table[2, 0, quality.LOW] - 0.9) < 0.03
 
 
+def test_distinct_words_see_the_end_of_a_text():
+    def distinct(words):
+        text = " ".join(words).encode()
+        return quality._describe(text, next(minhash.hashed_words([text])))[0][4]
+
+    fresh = [f"w{i}" for i in range(400)]
+    assert distinct(fresh) == 1
+    assert distinct(fresh + ["same"] * 199) == pytest.approx((1 + 1 + 2 / 200) / 3)
+    assert distinct(fresh + ["same"] * 200) == pytest.approx((1 + 1 + 1 / 200) / 3)
+
+
 def test_quality_held_out(spark):
     import os
 
