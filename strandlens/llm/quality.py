@@ -148,10 +148,13 @@ def posteriors(counts: dict[int, int]) -> dict[int, float]:
     return dict(zip(patterns.tolist(), _posterior(vote, prior, table).tolist(), strict=True))
 
 
-def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 300, ridge: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic scorer by accelerated gradient steps on soft labels."""
+def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 300, ridge: float = 1e-4, copies: list[int] | None = None) -> np.ndarray:
+    """Weights of a logistic scorer by accelerated gradient steps on soft labels; a row counts as
+    often as it has copies."""
     x = np.zeros((len(rows), FEATURES), np.float32)
     y = np.array([r[2] for r in rows], np.float32)
+    n = np.array(copies or [1] * len(rows), np.float64)
+    share = (n / n.sum()).astype(np.float32) if len(rows) else n
     for i, (index, value, _) in enumerate(rows):
         x[i, index] = value
     w, before = np.zeros(FEATURES, np.float32), np.zeros(FEATURES, np.float32)
@@ -159,7 +162,7 @@ def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 3
     for k in range(rounds if len(rows) else 0):
         ahead = w + (w - before) * np.float32(k / (k + 3))
         p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        grad = x.T @ (p - y) / np.float32(len(rows)) + np.float32(ridge) * ahead
+        grad = x.T @ ((p - y) * share) + np.float32(ridge) * ahead
         before, w = w, ahead - rate * grad
     return w
 
@@ -178,7 +181,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [(votes(stats, units), *_features(stats, units, words, last)) for _, words, stats, units, last in _described(batch, 0)]
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["pattern", "index", "value"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["copies", "pattern", "index", "value"])
 
 
 @dataclass(frozen=True)
@@ -195,16 +198,19 @@ class QualityModel:
 
 def fit(docs: DataFrame, sample: int = 4096, text_col: str = "text") -> QualityModel:
     """The labellers from the votes of all documents (the driver gets at most 3**8 pattern counts),
-    the scorer from the ``sample`` documents of smallest text hash, or all if there are fewer."""
+    the scorer from the ``sample`` distinct texts of smallest hash, or all if there are fewer, each
+    with its number of copies as weight."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     patterns = docs.select(text.alias("text")).mapInArrow(_vote, "pattern int").groupBy("pattern").count().collect()
     counts = {r["pattern"]: r["count"] for r in patterns}
-    total = sum(counts.values())
     high = posteriors(counts) if counts else {}
-    order = F.shiftrightunsigned(F.xxhash64(text), 11) / float(2**53)
-    taken = docs.select(text.alias("text"), order.alias("_u")).where(F.col("_u") < min(1.0, 1.5 * sample / max(1, total)) + 1e-9).orderBy("_u").limit(sample)
-    rows = taken.select("text").mapInArrow(_featurise, "pattern int, index array<bigint>, value array<double>").collect()
-    return QualityModel(high, fit_scorer([(r["index"], r["value"], high[r["pattern"]]) for r in rows]))
+    spark = docs.sparkSession
+    smallest = docs.select(F.xxhash64(text).alias("_key")).groupBy("_key").count().orderBy(F.shiftrightunsigned("_key", 1), "_key").limit(sample).collect()
+    keys = F.broadcast(spark.createDataFrame([tuple(r) for r in smallest], "_key bigint, copies bigint"))
+    taken = docs.select(text.alias("text")).withColumn("_key", F.xxhash64("text")).join(keys, "_key").groupBy("_key").agg(F.min("text").alias("text"), F.first("copies").alias("copies"))
+    rows = taken.select("text", "copies").mapInArrow(_featurise, "copies bigint, pattern int, index array<bigint>, value array<double>").collect()
+    rows.sort(key=lambda r: (r["pattern"], r["index"], r["value"]))
+    return QualityModel(high, fit_scorer([(r["index"], r["value"], high[r["pattern"]]) for r in rows], copies=[r["copies"] for r in rows]))
 
 
 def quality_scores(docs: DataFrame, model: QualityModel | None = None, threshold: float = 0.5, sample: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

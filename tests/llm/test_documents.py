@@ -446,6 +446,16 @@ def test_distinct_words_see_the_end_of_a_text():
     assert distinct(fresh + ["same"] * 200) == pytest.approx((1 + 1 + 1 / 200) / 3)
 
 
+def test_sample_of_copies_has_all_texts(spark, monkeypatch):
+    texts = [f"{word} " * 30 + "a line of other words that stands at the end" for word in "abcdefghij"]
+    docs = spark.createDataFrame([(i, texts[i % 10]) for i in range(400)], "doc_id bigint, text string")
+    seen = []
+    monkeypatch.setattr(quality, "fit_scorer", lambda rows, **more: seen.append((len(rows), sorted(more["copies"]))) or np.zeros(quality.FEATURES, np.float32))
+    quality.fit(docs, sample=8)
+    quality.fit(docs, sample=50)
+    assert seen == [(8, [40] * 8), (10, [40] * 10)]
+
+
 def test_quality_held_out(spark):
     import os
 
