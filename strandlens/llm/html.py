@@ -37,30 +37,32 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: [text, tags, linked characters, region, excluded]."""
+    """Lines of a page: [text, tags, linked characters, region, excluded, labelled, in an article]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
         self.parents: list[int] = [-1]  # of regions; 0 is the page
         self.kinds: list[str] = ["html"]
-        #: Open elements: tag, region, excluded, inside an article or main element.
-        self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        #: Of elements labelled by class or id, the labelled ones around them; 0 is the page.
+        self.labels: list[int] = [-1]
+        #: Open elements: tag, region, excluded, inside an article or main element, labelled.
+        self.open: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
         self.text: list[str] = []
         self.tags, self.links, self.in_link = 0, 0, 0
-        #: Place among the open elements of the outermost one that a class, id or role excludes.
+        #: Place among the open elements of the outermost one that an attribute other than class or id excludes.
         self.inside_labelled = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, region, out, _ = self.open[-1]
-            self.lines.append([text, self.tags, self.links, region, out])
+            _, region, out, inside, label = self.open[-1]
+            self.lines.append([text, self.tags, self.links, region, out, label, inside])
             self.tags = self.links = 0
         self.text = []
 
-    def boilerplate(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-        if tag in NEVER or (tag == "header" and not inside):
+    def boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in NEVER:
             return True
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -69,6 +71,10 @@ class _Lines(HTMLParser):
                 return True
             if name == "style" and _HIDDEN.search(value or ""):
                 return True
+        return False
+
+    def labelled(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+        for name, value in attrs:
             if name in ("class", "id") and tag not in ("html", "body"):
                 words = _WORD.findall((value or "").lower())
                 if not LABELS.isdisjoint(words) or ("header" in words and not inside):
@@ -97,13 +103,16 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, region, out, inside = self.open[-1]
+        _, region, out, inside, label = self.open[-1]
         main = tag in ("article", "main")
-        labelled = self.boilerplate(tag, attrs, inside)
+        excluded = self.boilerplate(tag, attrs) or (tag == "header" and not inside)
         if main and not self.inside_labelled:
             out = False  # a form or an unclosed menu around the article
-        out = out or labelled
-        if labelled and tag not in NEVER and not self.inside_labelled:
+        out = out or excluded
+        if self.labelled(tag, attrs, inside):
+            self.labels.append(label)
+            label = len(self.labels) - 1
+        if excluded and tag not in NEVER and not self.inside_labelled:
             self.inside_labelled = len(self.open)
         if tag in REGIONS:
             self.parents.append(region)
@@ -111,7 +120,7 @@ class _Lines(HTMLParser):
             region = len(self.parents) - 1
         if tag == "a":
             self.in_link += 1
-        self.open.append((tag, region, out, inside or main))
+        self.open.append((tag, region, out, inside or main, label))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -149,6 +158,25 @@ def content_lines(lengths: np.ndarray, tags: np.ndarray) -> np.ndarray:
     return ratios >= min(ratios.std(), ratios.mean())
 
 
+def unlabelled(lines: list[list], labels: list[int]) -> list[list]:
+    """The lines outside elements labelled as boilerplate by class or id. A label on a wrapper doesn't
+    count: while no article or main has text, an element that holds one with text, or over half of
+    the unlinked text, is let in, the outermost first. If no line is left, all are."""
+    text, marked = [0] * len(labels), [0] * len(labels)
+    for x in lines:
+        text[x[5]] += max(0, len(x[0]) - x[2])
+        marked[x[5]] += x[6] * max(0, len(x[0]) - x[2])
+    own = list(marked)
+    for i in range(len(labels) - 1, 0, -1):
+        text[labels[i]] += text[i]
+        marked[labels[i]] += marked[i]
+    let_in, found = [True] * len(labels), own[0] > 0
+    for i in range(1, len(labels)):
+        let_in[i] = let_in[labels[i]] and not found and (marked[i] > 0 or 2 * text[i] > text[0])
+        found = found or (let_in[i] and own[i] > 0)
+    return [x for x in lines if let_in[x[5]]] or lines
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: blocks joined by line feeds, white space inside a block as one
     space. Null, empty and text-free pages give an empty string; text without markup is kept."""
@@ -156,7 +184,7 @@ def main_text(html: str | None) -> str:
     page.feed(html or "")
     page.close()
     page.flush()
-    lines = [x for x in page.lines if not x[4]]
+    lines = unlabelled([x for x in page.lines if not x[4]], page.labels)
     if not lines:
         return ""
     lengths, tags = np.array([len(x[0]) for x in lines], float), np.array([x[1] for x in lines], float)

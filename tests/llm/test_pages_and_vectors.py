@@ -33,6 +33,21 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="has-sidebar"><article><p>The text of the page.</p></article></div>', "The text of the page."),
+        ('<article class="post social"><p>The text of the page.</p><div class="share">Share it</div></article>', "The text of the page."),
+        ('<div id="no-sidebar"><p>The text of the page, which is long.</p></div><p>Other</p>', "The text of the page, which is long."),
+        ('<div class="ad"><p>One</p></div><div class="promo"><p>Two</p></div>', "One\nTwo"),
+        ('<article><p>Short.</p></article><div class="comments"><article><p>A comment that is much longer.</p></article></div>', "Short."),
+    ],
+)
+def test_labels_on_wrappers(page, want):
+    assert want in html.main_text(page)
+    assert "Share" not in html.main_text(page) and "comment" not in html.main_text(page)
+
+
 def test_smoothing_and_clusters():
     x = np.array([0, 0, 10, 0, 0], float)
     s = html.smoothed(x)
