@@ -33,14 +33,16 @@ Pattern = tuple[int, ...]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on whose classes all Unicode versions and regular expression engines agree.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ɏ]*")
+#: The fast splitter goes back over white space, one stack frame a character: longer runs are not for it.
+WHITE, _WHITE_RUN = 10_000, re.compile(r"\s\s+")
 
 
 class ByteBpe:
     """Ids of a byte-level BPE file in tokenizers' JSON format.
 
     Ordinary Latin text goes through tiktoken built from the file's own vocabulary, which gives the
-    same ids several times faster; text with other characters, or with the string of an added
-    token, goes through tokenizers itself.
+    same ids several times faster; text with other characters, with the string of an added token,
+    or with over 10,000 characters of white space in a row, goes through tokenizers itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,8 +58,13 @@ class ByteBpe:
         ranks = {bytes(as_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.added}
         self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    def ordinary(self, text: str) -> bool:
+        if not _PLAIN.fullmatch(text) or any(t in text for t in self.added):
+            return False
+        return len(text) <= WHITE or all(m.end() - m.start() <= WHITE for m in _WHITE_RUN.finditer(text))
+
     def __call__(self, text: str) -> list[int]:
-        if _PLAIN.fullmatch(text) and not any(t in text for t in self.added):
+        if self.ordinary(text):
             return self.fast.encode_ordinary(text)
         if self.exact is None:
             from tokenizers import Tokenizer
@@ -66,7 +73,9 @@ class ByteBpe:
         return self.exact.encode(text, add_special_tokens=False).ids
 
 
-PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint"
+PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, lane int"
+#: Pieces of one length that are ranked in one task, as a mean; lanes that pieces are dealt to.
+RANKED, LANES = 250_000, 1 << 20
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -76,19 +85,21 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every document's pieces; a null text is empty and
-    has the end id alone. One pass, no shuffle."""
+    """doc_id, piece, start, length, ids_crc32 of every document's pieces, and lane, which counts them
+    inside a task; a null text is empty and has the end id alone. One pass, no shuffle."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = ByteBpe(tokenizer_path)
-        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("lane", pa.int32())])
+        lane = 0
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
                 for k, (start, length) in enumerate(cut(len(ids), size)):
-                    for column, value in zip(rows, (doc_id, k, start, length, binascii.crc32(ids[start : start + length].tobytes())), strict=True):
+                    for column, value in zip(rows, (doc_id, k, start, length, binascii.crc32(ids[start : start + length].tobytes()), lane % LANES), strict=True):
                         column.append(value)
+                    lane += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, PIECES)
@@ -272,22 +283,23 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_i
 
     Documents over ``size`` tokens are cut, no others. A null text packs as an empty one (the end
     id alone); null ids and repeated rows are packed like any other; an empty table gives an empty
-    result. Pieces are ranked among those of their length by (doc_id, piece, start, checksum);
-    which of several equal pieces gets which of their places can't be told apart. A length that
-    holds a large part of all pieces is ranked in up to 64 salted parts. The driver sees one row
-    per (length, salt) and sends back the places, at most a few for each length and bin pattern.
+    result. Pieces of one length can stand for each other: they are ranked among themselves in
+    lanes of some 250,000, however many they are and whatever they hold, so no task gets a length,
+    an id or a text as a whole. The driver sees one row per (length, lane) and sends back the
+    places, at most a few for each length and bin pattern.
     """
+    spark = docs.sparkSession
     pieces = written(token_pieces(docs, tokenizer_path, size, end_id, id_col, text_col), "pieces")
-    salts = 64
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    parts = sorted(tuple(r) for r in salted.groupBy("length", "_salt").count().collect())  # at most size * salts rows
+    of_length = [(r["length"], -(-r["count"] // RANKED)) for r in pieces.groupBy("length").count().collect()]  # at most size rows
+    lanes = spark.createDataFrame(of_length, "length int, _lanes int")
+    salted = pieces.join(F.broadcast(lanes), "length").withColumn("_salt", F.col("lane") % F.col("_lanes")).drop("lane", "_lanes")
+    parts = sorted(tuple(r) for r in salted.groupBy("length", "_salt").count().collect())  # a row for each length and 250,000 pieces
     counts: Counter[int] = Counter()
     shifts = []
     for length, salt, n in parts:
         shifts.append((length, salt, counts[length]))
         counts[length] += n
     table = places(pack(dict(counts), size))
-    spark = docs.sparkSession
     shift = spark.createDataFrame(shifts, "length int, _salt int, _shift bigint")
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
     ranked = ranked.join(F.broadcast(shift), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_shift"))

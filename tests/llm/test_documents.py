@@ -319,6 +319,23 @@ def test_special_strings_follow_the_tokenizer():
         assert fast(text) == exact.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "!" * 2_000_000, "a b" + " \t" * 700_000 + "end", "x " * 20_000])
+def test_long_runs_of_one_character(text):
+    from tokenizers import Tokenizer
+
+    assert packing.ByteBpe(tokenizer_path())(text) == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_lanes(docs, rows, monkeypatch):
+    """Copies of one row in many lanes: all pieces are placed, and no two in one place."""
+    monkeypatch.setattr(packing, "RANKED", 3)
+    many = docs.unionByName(docs.where("doc_id = 4")).unionByName(docs.where("doc_id = 4"))
+    out = packing.pack_documents(many, tokenizer_path(), size=64).collect()
+    plain = packing.pack_documents(docs, tokenizer_path(), size=64).collect()
+    cells = [(r.sequence_id, r.offset + i) for r in out for i in range(r.length)]
+    assert len(cells) == len(set(cells)) and len(out) > len(plain)
+
+
 # --- media ------------------------------------------------------------------------------------
 
 
