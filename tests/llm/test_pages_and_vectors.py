@@ -1,11 +1,19 @@
 """Page text and exact search against plain definitions."""
 
+import os
+import random
+import re
+import time
+from html import unescape
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandlens.llm import html, topk
 
+from .conftest import prose
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
 <header>Site name</header><nav><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></nav><div id="cookie-notice"><p>We use cookies on this site, please agree to all of them now.</p></div>
 <div class="content"><h1>A  title</h1><p>First &eacute;tage &amp; more text, %s.<p>Short.<div class="ad">Buy this thing now</div><p>Last <b>bold</b>
@@ -48,6 +56,70 @@ def test_labels_on_wrappers(page, want):
     assert "Share" not in html.main_text(page) and "comment" not in html.main_text(page)
 
 
+def plain_page(rng, layout):
+    """(page, main text) without article, main, classes or ids: only the ratios tell them apart."""
+    blocks = ["A title of " + prose(rng, 4)] + [prose(rng, rng.choice((40, 60, 90))) + "." for _ in range(rng.randint(4, 8))]
+    blocks[rng.randint(2, len(blocks) - 2)] = "A short one."
+    links = lambda n: [f'<a href="/{i}">{prose(rng, 1)}</a>' for i in range(n)]
+    body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}" + rng.choice(("", "</p>")) for b in blocks[1:])
+    body = body.replace("<p>A short one.", "<ul><li>" + "<li>".join(links(4)) + "</ul><p>A short one.") if layout == "menu between" else body
+    menu = rng.choice(("<div>" + " | ".join(links(6)) + "</div>", "<ul><li>" + "<li>".join(links(8)) + "</ul>", "<table><tr><td>" + "<td>".join(links(5)) + "</table>"))
+    foot = rng.choice(("<div>" + " | ".join(links(4)) + "</div><div>\u00a9 2020 " + prose(rng, 2) + "</div>", "<p>Copyright " + prose(rng, 3) + ".</p>", "<div>" + prose(rng, 3) + "</div><ul><li>" + "<li>".join(links(6)) + "</ul>"))
+    head = f"<div>{prose(rng, 2)}</div>"
+    side = "<div>" + "".join(f"<div>{x}</div>" for x in links(7)) + f"<div>{prose(rng, 5)}</div></div>"
+    page = {"flat": head + menu + body + foot, "columns": f"{head}{menu}<div>{side}<div>{body}</div></div>{foot}", "table": f"<table><tr><td>{menu}<td>{body}<tr><td>{foot}</table>", "menu between": head + menu + body + foot}[layout]
+    return f"<html><body>{page}</body></html>", "\n".join(blocks)
+
+
+@pytest.mark.parametrize("layout", ["flat", "columns", "table", "menu between"])
+def test_ratios_decide_where_nothing_is_marked(layout, monkeypatch):
+    pages = [plain_page(random.Random(i), layout) for i in range(60)]
+    assert [html.main_text(p) for p, _ in pages] == [t for _, t in pages]
+    for constant in (True, False) if layout != "columns" else ():
+        monkeypatch.setattr(html, "content_lines", lambda lengths, tags, marked=None, constant=constant: np.full(len(lengths), constant))
+        assert sum(html.main_text(p) == t for p, t in pages) < 10
+
+
+def test_titles_over_marked_articles_are_kept():
+    page = "<main><div><h1>The title</h1><p>By someone, today.</p><article><p>%s.</p></article></div><div><a href=x>Related</a></div></main>" % ("word " * 60).strip()
+    assert html.main_text(page).split("\n") == ["The title", "By someone, today.", ("word " * 60).strip() + "."]
+
+
+ODD = {
+    "unclosed": ("<b>", "</i>"), "deep": ("<div>word ", ""), "inline before blocks": ("<b>", "<div></div>"), "items": ("<p><li>", ""), "articles": ("<article>text</article>", ""),
+    "comments": ("<!--", ""), "tags": ("<a ", ""), "quotes": ('<a href="', ""), "sections": ("<![CDATA[", ""), "ends": ("</", ""), "instructions": ("<?", ""), "signs": ("<", ""), "labels": ('<div class="ad">x', ""),
+}
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_odd_markup_takes_linear_time(name):
+    one, two = ODD[name]
+    began = time.process_time()
+    html.main_text(one * 100_000 + two * 100_000)
+    assert time.process_time() - began < 2
+
+
+def slow_article(page):
+    """The blocks of a page's only article by plain replacement: a second way to the same text."""
+    inner = re.search(r"<article>(.*?)</article>", page, re.S).group(1)
+    inner = re.sub(r"<(script|style|aside|form|nav|footer)\b.*?</\1>|<!--.*?-->|<div class=\"ad\">.*?</div>", "", inner, flags=re.S)
+    lines = re.split(r"</?(?:p|h\d|div|ul|ol|li|table|tr|td|th|blockquote|pre|section|figure|figcaption)\b[^>]*>", re.sub(r"<br\b[^>]*>", " ", inner))
+    lines = [" ".join(unescape(re.sub(r"<[a-zA-Z/][^>]*>", "", x)).split()) for x in lines]
+    return "\n".join(x for x in lines if x)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_a_second_implementation(spark, sf):
+    data = f"/root/testdata/{sf}"
+    if not os.path.isdir(data):
+        pytest.skip("no tables")
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    from strandlens.llm.queries import op9_text_to_tag_pages
+
+    for r in op9_text_to_tag_pages(spark, data).collect():
+        assert r.text == slow_article(pages[r.page_id]) and r.n_chars == len(r.text)
+
+
 def test_smoothing_and_clusters():
     x = np.array([0, 0, 10, 0, 0], float)
     s = html.smoothed(x)
