@@ -21,9 +21,8 @@ BANDS = COORDINATES // ROWS
 #: Pairs that agree in fewer coordinates than this are not verified in the second round; a pair of
 #: similarity 0.75 agrees in 96 on average, in fewer than 68 with probability under 1e-7.
 AGREE = 68
-#: Shingles whose texts a tile holds at most, a document's own apart.
-TILE_SHINGLES = 1 << 20
-BLOCK = 1 << 20
+#: Pairs with one text that are verified in one task; rows of a broadcast table; bytes hashed at once.
+PER_TASK, KEYS, BLOCK = 4096, 200_000, 1 << 20
 
 _U = np.uint64
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -247,75 +246,113 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link)], names=["a", "b", "link"])
 
 
-def _close_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of members of a bucket's two tiles that link and are in different components.
+TILES = "bucket bigint, kind int, tile_a int, tile_b int, side int, fp binary, label binary, bands array<bigint>, marks binary"
 
-    Rows (bucket, tile_a, tile_b, tile, fp, label, bands, marks, text) come sorted by the first
-    three. A pair is compared only in the first bucket that it shares, by sketch and, if near, on
-    the full sets; nothing but links leaves the task.
+
+def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of members of a tile that are in different components and agree in AGREE coordinates.
+
+    Rows of TILES come sorted by the first four. Kind 0 has two sides, of which each member of one
+    is compared with each of the other; kind 1 has one side, or two parts of it, and compares all
+    different ones. A pair is reported from the first bucket that it shares alone.
     """
 
-    def links(group: list[tuple]) -> pa.RecordBatch:
-        marks = np.frombuffer(b"".join(g[7] for g in group), np.uint8).reshape(len(group), -1)
-        bands = np.stack([g[6] for g in group])
-        label = np.unique([g[5].hex() for g in group], return_inverse=True)[1]
-        tile = np.array([g[3] for g in group])
-        bucket, across = group[0][0], group[0][1] != group[0][2]
-        sets: dict[int, np.ndarray] = {}
+    def close(group: list[tuple]) -> pa.RecordBatch:
+        marks = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(len(group), -1)
+        bands = np.stack([g[3] for g in group])
+        label = np.unique([g[2].hex() for g in group], return_inverse=True)[1]
+        side = np.array([g[0] for g in group])
+        bucket, whole = key[0], key[1] == 1 and key[2] == key[3]
         a, b = [], []
         step = max(1, (1 << 23) // (len(group) * marks.shape[1]))
         for i in range(0, len(group), step):
             near = (label[i : i + step, None] != label[None, :]) & (np.arange(i, min(len(group), i + step))[:, None] < np.arange(len(group))[None, :])
-            if across:
-                near &= tile[i : i + step, None] != tile[None, :]
+            if not whole:
+                near &= side[i : i + step, None] != side[None, :]
             if not near.any():
                 continue
             near &= (marks[i : i + step, None, :] == marks[None, :, :]).sum(axis=2) >= AGREE
             x, y = near.nonzero()
             first = bands[i + x, (bands[i + x] == bands[y]).argmax(axis=1)] == bucket
             for u, v in zip((i + x[first]).tolist(), y[first].tolist(), strict=True):
-                for k in (u, v):
-                    if k not in sets:
-                        sets[k] = shingle_sets([group[k][8]])[0]
-                if label[u] != label[v] and linked(sets[u], sets[v]):
-                    a.append(max(group[u][4], group[v][4]))
-                    b.append(min(group[u][4], group[v][4]))
-                    label[label == label[v]] = label[u]
-            if sum(map(len, sets.values())) > TILE_SHINGLES:
-                sets.clear()
+                a.append(max(group[u][1], group[v][1]))
+                b.append(min(group[u][1], group[v][1]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     key, group = None, []
     for batch in batches:
         keys = list(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True))
-        for i, (*where, tile) in enumerate(keys):
+        side, fp, label = (c.to_pylist() for c in batch.columns[4:7])
+        for i, where in enumerate(keys):
             if where != key:
                 if len(group) > 1:
-                    yield links(group)
+                    yield close(group)
                 key, group = where, []
-            fp, label, bands, marks, text = (c[i] for c in batch.columns[4:])
-            group.append((*where, tile, fp.as_py(), label.as_py(), bands.values.to_numpy(), marks.as_py(), text.as_buffer().to_pybytes()))
+            group.append((side[i], fp[i], label[i], batch.column(7)[i].values.to_numpy(), batch.column(8)[i].as_py()))
     if len(group) > 1:
-        yield links(group)
+        yield close(group)
+
+
+def _open_tiles(label: DataFrame, tile: int) -> DataFrame:
+    """(bucket, kind, tile_a, tile_b, side, fp, label) of (bucket, fp, label): what is to be compared in
+    the buckets of several components.
+
+    Members of a bucket's largest component need no comparison with each other, so they are dealt in
+    chunks of about ``tile``, each of which meets each chunk of the other members (kind 0); those
+    meet among themselves (kind 1). A bucket of one large component and few others grows with its
+    members, not their square.
+    """
+    sizes = label.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("bucket").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("top")).where("total > top.n")
+    several = several.select("bucket", F.col("top.label").alias("major"), F.ceil(F.col("top.n") / tile).cast("int").alias("majors"), F.ceil((F.col("total") - F.col("top.n")) / tile).cast("int").alias("minors"))
+    rows = label.join(several, "bucket").withColumn("side", (F.col("label") == F.col("major")).cast("int"))
+    parts = F.when(F.col("side") == 1, F.col("majors")).otherwise(F.col("minors"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), parts.cast("long")).cast("int"))
+    chunks = lambda n: F.sequence(F.lit(0), n - 1)
+    spot = lambda kind, a, b, side: F.struct(F.lit(kind).alias("kind"), a.alias("tile_a"), b.alias("tile_b"), side.alias("side"))
+    part = F.col("part")
+    against = F.when(F.col("side") == 1, F.transform(chunks(F.col("minors")), lambda i: spot(0, i, part, F.lit(1)))).otherwise(
+        F.concat(F.transform(chunks(F.col("majors")), lambda j: spot(0, part, j, F.lit(0))), F.transform(chunks(F.col("minors")), lambda j: spot(1, F.least(part, j), F.greatest(part, j), part)))
+    )
+    return rows.select("bucket", "fp", "label", F.explode(against).alias("at")).select("bucket", "at.kind", "at.tile_a", "at.tile_b", "at.side", "fp", "label")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, link of distinct pairs (a, b) of fingerprints; texts has fp and text."""
-    with_b = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
-    with_a = with_b.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
-    return written(with_a.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, link boolean"), "verified")
+    """a, b, link of distinct pairs (a, b) of fingerprints; texts has fp and text.
+
+    A text in more than PER_TASK pairs is sent several times, each time for a part of its pairs, so
+    that no task gets a centre's pairs as a whole.
+    """
+    hot = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PER_TASK)
+    split = written(hot.select("fp", F.ceil(F.col("n") / PER_TASK).alias("parts")), "split")
+    many = split.count()
+    hot = F.broadcast(split) if many <= KEYS else split
+
+    def with_text(rows: DataFrame, side: str) -> DataFrame:
+        own = texts.select(F.col("fp").alias(side), F.col("text").alias(f"text_{side}"))
+        if not many:
+            return rows.join(own, side)
+        parts = hot.select(F.col("fp").alias(side), "parts")
+        rows = rows.join(parts, side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)))).drop("parts")
+        own = own.join(parts, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        return rows.join(own, [side, "part"]).drop("part")
+
+    both = with_text(with_text(pairs, "b"), "a").select("a", "b", "text_a", "text_b")
+    done = written(both.mapInArrow(_verify, "a binary, b binary, link boolean"), "verified")
+    drop_written(split)
+    return done
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """fp, text of one document for each wanted (fp, doc_id, text_key)."""
     rows = docs.select(F.col("doc_id").alias("_id"), _text_key(text_col).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if wanted.count() <= 200_000:
+    if wanted.count() <= KEYS:
         wanted = F.broadcast(wanted)
     found = rows.join(wanted, (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("fp", "text")
     return written(found.mapInArrow(_fingerprints, "fp binary, text string").dropDuplicates(["fp"]), "texts")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_key (a hash of the text) for every document.
 
     Documents link if their sets of five-word shingles have a similarity of 0.75 or more; a
@@ -329,9 +366,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Classes that share a band form a bucket. Each bucket proposes links to two centres, the
        class with most copies and one chosen by hash: pairs grow with the members, not their
        square. Exact verification on the full sets, then components.
-    3. Members of a bucket that are still in different components are compared in tiles of bounded
-       size, each pair in the first bucket it shares: by sketch and, if near, on the full sets. Only
-       links leave a tile, and no link is lost to step 2.
+    3. Members of a bucket that are still in different components are compared by sketch in tiles of
+       bounded size, the largest component's only with the others', each pair in the first bucket
+       it shares. Pairs that are near are verified on the full sets, so no link is lost to step 2.
     """
     docs = docs.withColumn("doc_id", F.col(id_col).cast("long"))
     rows = docs.select("doc_id", _text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -343,34 +380,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("fp", "rep.doc_id", "rep.text_key", "copies", "n_shingles", "bands", "marks"),
         "classes",
     )
-    members = classes.select(F.explode("bands").alias("bucket"), "fp", "copies", "n_shingles")
+    members = classes.select(F.explode("bands").alias("bucket"), "fp", "copies")
     hashed = F.xxhash64("fp", "bucket")
-    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles"), F.max_by("fp", F.struct("copies", "fp")).alias("center"), F.min_by("fp", F.struct(hashed, F.col("fp"))).alias("other")).where("size > 1")
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max_by("fp", F.struct("copies", "fp")).alias("center"), F.min_by("fp", F.struct(hashed, F.col("fp"))).alias("other")).where("size > 1")
     members = written(members.select("bucket", "fp").join(buckets, "bucket"), "members")
     star = members.select("fp", F.explode(F.array_distinct(F.array("center", "other"))).alias("to")).where("fp <> to")
-    pairs = star.select(F.greatest("fp", "to").alias("a"), F.least("fp", "to").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
+    pairs = written(star.select(F.greatest("fp", "to").alias("a"), F.least("fp", "to").alias("b")).distinct(), "pairs")
     in_buckets = members.select("fp").distinct()
     texts = _texts_of(docs, in_buckets.join(classes.select("fp", "doc_id", "text_key"), "fp"), text_col)
     first = _verified(pairs, texts)
     links = components(first.where("link"))
 
-    label = members.where("size > 2").join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").select("bucket", "fp", "size", "shingles", F.coalesce("root", "fp").alias("label"))
-    split = label.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    tiles = F.greatest(F.ceil(F.col("size") / tile), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
-    open_rows = label.join(split, "bucket").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles").cast("long")).cast("int"))
-    open_rows = open_rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).join(classes.select("fp", "bands", "marks"), "fp").join(texts, "fp")
-    tiled = open_rows.select("bucket", F.least("tile", "to").alias("tile_a"), F.greatest("tile", "to").alias("tile_b"), "tile", "fp", "label", "bands", "marks", "text")
-    dealt = tiled.repartition("bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b")
-    more = written(dealt.mapInArrow(_close_links, "a binary, b binary"), "links")
-    if more.limit(1).count():
-        known = links.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        links = components(known.unionByName(more))
+    label = members.where("size > 2").join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("label"))
+    tiles = _open_tiles(label, tile).join(classes.select("fp", "bands", "marks"), "fp").select(*[c.split()[0] for c in TILES.split(", ")])
+    dealt = tiles.repartition("bucket", "kind", "tile_a", "tile_b").sortWithinPartitions("bucket", "kind", "tile_a", "tile_b")
+    tried = pairs.select("a", "b")
+    near = written(dealt.mapInArrow(_close_pairs, "a binary, b binary").join(tried, ["a", "b"], "left_anti"), "near")
+    more = None
+    if near.limit(1).count():
+        more = _verified(near, texts)
+        links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.where("link").select("a", "b")))
 
     roots = classes.select("fp", "doc_id").join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = written(roots.join(smallest, "root").select("fp", "component_id"), "named")
-    drop_written(classes, members, pairs, texts, first, more)
+    drop_written(classes, members, pairs, texts, first, near, *([more] if more else []))
     found = sketches.select("doc_id", "n_shingles", "fp", "text_key").join(named, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())
