@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
+from .common import BROADCAST_ROWS, drop_written, written
 
 #: Titles that show a person's name and gender, by script.
 MALE = ("Mr", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "Г-н", "Господин", "Κύριος")
@@ -31,20 +31,23 @@ _TITLE = rf"(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})"
 _NAME = r"\p{Lu}\p{Ll}++"
 _LABEL = r"[\p{L}\p{N}\-]++"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+\-])[\p{{L}}\p{{N}}._%+\-]++@{_LABEL}(?:\.{_LABEL}){{1,12}}+"
+EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+\-])[\p{{L}}\p{{N}}._%+\-]++@{_LABEL}(?:\.{_LABEL})++"
 SECRET = r"(?i:token|api[_\-]?key|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-]{12,}+[\"']?"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 IP = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"(?<![\d+(])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\) ?|\d{3}[.\-])\d{3}[ .\-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)"
 CARD = r"(?<!\d)(?:\d{4}[ \-]){3}\d{1,7}(?!\d)|(?<!\d)\d{13,19}(?!\d)"
-NAME = rf"(?<!\p{{L}}){_TITLE}\.?\s{_NAME}(?:[ \-]{_NAME})?+"
+_TITLES = rf"(?:{_TITLE}\.?\s)"
+NAME = rf"(?<!\p{{L}}){_TITLES}++{_NAME}(?:[ \-]{_NAME})?+"
 _INITIALS = "".join(sorted({t[0] for t in (*MALE, *FEMALE, *NEUTRAL)}))
 #: Each kind behind a look at its first character, which most places in a text don't have.
 ENTITY = rf"{EMAIL}|(?=[\d(+])(?:{IP}|{SSN}|{PHONE}|{CARD})|(?=[aApPsStT]){SECRET}|(?=[A-Z]){IBAN}|(?=[{_INITIALS}]){NAME}"
 #: What every entity has: a cheap test before the full expression.
 HINT = rf"[@\d]|[=:]\s{{0,3}}[\"']?[\w\-]{{12}}|(?=[{_INITIALS}]){_TITLE}\.?\s"
 
+#: The type of what looks like an entity but fails its check digits: it stays as it is.
+NONE = "none"
 MENTION = "array<struct<e:string,type:string,norm:string,attempt:int>>"
 
 
@@ -58,7 +61,7 @@ def _digits(e: Column) -> Column:
 
 
 def _words(e: Column) -> Column:
-    return F.regexp_replace(e, rf"^{_TITLE}\.?\s", "")
+    return F.regexp_replace(e, rf"^{_TITLES}+", "")
 
 
 def _in(title: Column, titles: tuple[str, ...]) -> Column:
@@ -66,7 +69,9 @@ def _in(title: Column, titles: tuple[str, ...]) -> Column:
 
 
 def kind(e: Column) -> Column:
-    """The entity's type; for names also the gender, by title or else by the given name's ending."""
+    """The entity's type; for names also the gender, by title or else by the given name's ending. Long
+    numbers and account numbers whose check digits are wrong are none, nor are long numbers that begin
+    like no issuer's."""
     title = F.regexp_extract(e, rf"^({_TITLE})\.?\s", 1)
     woman = _in(title, FEMALE) | (~_in(title, MALE) & F.split(F.lower(_words(e)), "[ -]")[0].rlike("[aаαη]$"))
     return (
@@ -75,9 +80,9 @@ def kind(e: Column) -> Column:
         .when(e.rlike(r"^(?i:token|api|secret|passw)"), "secret")
         .when(e.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ip")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban")
+        .when(e.rlike(r"^[A-Z]{2}\d{2}"), F.when(_mod97(_turned(F.replace(e, F.lit(" "), F.lit("")))) == 1, "iban").otherwise(NONE))
         .when(e.rlike(r"^\+|^\(|^\d{3}[.\-]\d{3}[ .\-]\d{4}$"), "phone")
-        .otherwise("card")
+        .otherwise(F.when(e.rlike(r"^[2-6]") & (_luhn(_digits(e)) % 10 == 0), "card").otherwise(NONE))
     )
 
 
@@ -90,7 +95,7 @@ def norm(e: Column, type_: Column) -> Column:
         .when(type_.startswith("name"), F.lower(_words(e)))
         .when(type_ == "secret", F.regexp_extract(e, r"([A-Za-z0-9_\-]{12,}+)[\"']?$", 1))
         .when(type_ == "ip", e)
-        .when(type_ == "iban", F.regexp_replace(e, " ", ""))
+        .when(type_ == "iban", F.replace(e, F.lit(" "), F.lit("")))
         .when(type_ == "phone", F.concat(country, F.lit(":"), national))
         .otherwise(_digits(e))
     )
@@ -126,6 +131,21 @@ def _luhn_digit(d: Column, i: Column) -> Column:
     return F.when(i % 2 == 1, d).otherwise(F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2))
 
 
+def _turned(iban: Column) -> Column:
+    """An account number with its first four characters last, as the check goes over it."""
+    return F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, F.lit(1), F.lit(4)))
+
+
+def _mod97(s: Column) -> Column:
+    """The number modulo 97 that digits and letters (A is 10) spell."""
+
+    def step(total: Column, i: Column) -> Column:
+        c = F.substring(s, i, F.lit(1))
+        return F.coalesce((total * 10 + c.try_cast("int")) % 97, (total * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), F.lit(0), step)
+
+
 def _letter(c: Column, h: Column, i: Column) -> Column:
     """A character of the same class and script in place of c; signs stay."""
     def among(letters: str) -> Column:
@@ -150,6 +170,12 @@ def _hex(s: Column, h: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0))), lambda i: F.substring(F.lit("0123456789abcdef"), (_pick(h, i, 16) + 1).cast("int"), F.lit(1))), "")
 
 
+def _account(country: Column, body: Column) -> Column:
+    """An account number with right check digits."""
+    check = F.lpad((F.lit(98) - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.concat(country, check, body)
+
+
 def _person(word: Column, h: Column, attempt: Column, ending: Column | None) -> Column:
     """A word composed of syllables of the word's script; a further syllable for each attempt."""
 
@@ -167,14 +193,15 @@ def canonical(found: Column, key: str) -> Column:
     """The surrogate norm of each mention, as an array of strings.
 
     Numbers of up to 19 digits and addresses go through a keyed Feistel permutation of their kind,
-    so equally long ones can't collide; a card number that satisfies the check sum keeps doing so.
+    so equally long ones can't collide; check digits of card and account numbers are right again,
+    and a card keeps the first digit.
     Other kinds draw characters or syllables from a keyed hash. ``attempt`` gives other surrogates.
     """
 
     def parts(m: Column) -> Column:
         number = F.when(m["type"] == "phone", F.substring_index(m["norm"], ":", -1)).otherwise(m["norm"])
-        valid = (m["type"] == "card") & (_luhn(m["norm"]) % 10 == 0)
-        body = F.when(valid, F.substring(number, F.lit(1), F.length(number) - 1)).otherwise(number)
+        valid = m["type"] == "card"
+        body = F.when(valid, F.substring(number, F.lit(2), F.length(number) - 2)).otherwise(number)
         return F.struct(m["type"].alias("type"), m["norm"].alias("norm"), m["attempt"].alias("attempt"), valid.alias("valid"), body.alias("body"), _hash(key, m["type"], m["norm"], m["attempt"]).alias("h"))
 
     def halves(m: Column) -> Column:
@@ -205,7 +232,8 @@ def canonical(found: Column, key: str) -> Column:
     def joined(m: Column) -> Column:
         both = F.concat(F.when(m["u"] > 0, F.lpad(m["a"].cast("string"), m["u"], F.lit("0"))).otherwise(""), F.lpad(m["b"].cast("string"), F.greatest(m["v"], F.lit(1)), F.lit("0")))
         number = F.when(F.length(m["body"]) > 19, _mapped(m["body"], m["h"])).otherwise(both)
-        check = F.pmod(F.lit(10) - _luhn(F.concat(number, F.lit("0"))) % 10, F.lit(10)).cast("string")
+        issued = F.concat(F.substring(m["norm"], F.lit(1), F.lit(1)), number)
+        check = F.pmod(F.lit(10) - _luhn(F.concat(issued, F.lit("0"))) % 10, F.lit(10)).cast("string")
         dotted = F.concat_ws(".", F.floor(m["a"] / 256).cast("string"), (m["a"] % 256).cast("string"), F.floor(m["b"] / 256).cast("string"), (m["b"] % 256).cast("string"))
         more = F.when(m["attempt"] > 2, F.substring(m["h"], F.lit(1), m["attempt"])).otherwise("")
         domain = F.substring_index(m["norm"], ".", -1)
@@ -218,10 +246,10 @@ def canonical(found: Column, key: str) -> Column:
             F.when(m["type"] == "email", F.concat(more, _mapped(head, m["h"]), domain))
             .when(m["type"].startswith("name"), F.concat(first, last))
             .when(m["type"] == "secret", F.concat(F.when(m["norm"].rlike("^[0-9a-fA-F]+$"), F.when(m["norm"].rlike("[A-F]"), F.upper(_hex(m["norm"], m["h"]))).otherwise(_hex(m["norm"], m["h"]))).otherwise(_mapped(m["norm"], m["h"])), more))
-            .when(m["type"] == "iban", F.concat(F.substring(m["norm"], F.lit(1), F.lit(2)), _mapped(F.substring(m["norm"], F.lit(3), F.lit(40)), m["h"])))
+            .when(m["type"] == "iban", _account(F.substring(m["norm"], F.lit(1), F.lit(2)), _mapped(F.substring(m["norm"], F.lit(5), F.length(m["norm"])), m["h"])))
             .when(m["type"] == "ip", dotted)
             .when(m["type"] == "phone", F.concat(F.substring_index(m["norm"], ":", 1), F.lit(":"), number))
-            .otherwise(F.concat(number, F.when(m["valid"], check).otherwise("")))
+            .otherwise(F.when(m["valid"], F.concat(issued, check)).otherwise(number))
         )
 
     steps = F.transform(F.transform(found, parts), halves)
@@ -241,11 +269,12 @@ def dressed(m: Column, surrogate: Column) -> Column:
         return F.struct(F.concat(acc["out"], F.when(own, F.substring(national, acc["at"], F.lit(1))).otherwise(c)).alias("out"), (acc["at"] + own.cast("int")).alias("at"))
 
     spaced = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(e), F.lit(1))), start, put, lambda acc: acc["out"])
-    cased = F.when(e == F.upper(e), F.upper(surrogate)).when(F.substring(e, F.lit(1), F.lit(1)).rlike(r"\p{Lu}"), F.concat(F.upper(F.substring(surrogate, F.lit(1), F.lit(1))), F.substring(surrogate, F.lit(2), F.lit(400)))).otherwise(surrogate)
+    cased = F.when(e == F.upper(e), F.upper(surrogate)).when(F.substring(e, F.lit(1), F.lit(1)).rlike(r"\p{Lu}"), F.concat(F.upper(F.substring(surrogate, F.lit(1), F.lit(1))), F.substring(surrogate, F.lit(2), F.length(surrogate)))).otherwise(surrogate)
     named = F.when(_words(e).contains("-"), F.replace(surrogate, F.lit(" "), F.lit("-"))).otherwise(surrogate)
     return (
-        F.when(m["type"] == "email", cased)
-        .when(m["type"].startswith("name"), F.concat(F.regexp_extract(e, rf"^{_TITLE}\.?\s", 0), named))
+        F.when(m["type"] == NONE, e)
+        .when(m["type"] == "email", cased)
+        .when(m["type"].startswith("name"), F.concat(F.regexp_extract(e, rf"^{_TITLES}+", 0), named))
         .when(m["type"] == "secret", F.replace(e, m["norm"], surrogate))
         .when(m["type"] == "ip", surrogate)
         .otherwise(spaced)
@@ -259,8 +288,8 @@ def _surrogate(df: DataFrame, key: str) -> DataFrame:
 
 
 def retries(found: DataFrame, key: str) -> DataFrame:
-    """(type, norm, attempt) of the entities whose first surrogate isn't usable; found: distinct
-    (type, norm).
+    """(type, norm, attempt), written, of the entities whose first surrogate isn't usable; found:
+    distinct (type, norm).
 
     A surrogate is usable if no other entity of the type has it and it is no entity of the table
     itself. Of several that share one the first by norm keeps it. The others try again against all
@@ -269,14 +298,16 @@ def retries(found: DataFrame, key: str) -> DataFrame:
     """
     real = found.select(F.col("type").alias("type"), F.col("norm").alias("surrogate"))
     order = Window.partitionBy("type", "surrogate").orderBy("norm")
+    tables: list[DataFrame] = []
 
     def judged(tried: DataFrame, settled: DataFrame | None) -> DataFrame:
         taken = real if settled is None else real.unionByName(settled.select("type", "surrogate"))
         marked = tried.join(taken.distinct().withColumn("__taken", F.lit(True)), ["type", "surrogate"], "left")
-        return written(marked.withColumn("ok", F.col("__taken").isNull() & (F.row_number().over(order) == 1)).select("type", "norm", "attempt", "surrogate", "ok"), "surrogates")
+        tables.append(written(marked.withColumn("ok", F.col("__taken").isNull() & (F.row_number().over(order) == 1)).select("type", "norm", "attempt", "surrogate", "ok"), "surrogates"))
+        return tables[-1]
 
     now = judged(_surrogate(found.withColumn("attempt", F.lit(0)), key), None)
-    settled, late = now.where("ok"), None
+    settled, late = now.where("ok"), found.where("false").withColumn("attempt", F.lit(0))
     while True:
         again = now.where("not ok").select("type", "norm", (F.col("attempt") + 1).alias("attempt"))
         if not again.limit(1).count():
@@ -284,25 +315,42 @@ def retries(found: DataFrame, key: str) -> DataFrame:
         now = judged(_surrogate(again, key), settled)
         fresh = now.where("ok")
         settled = settled.unionByName(fresh)
-        late = fresh if late is None else late.unionByName(fresh)
-    none = found.where("false").withColumn("attempt", F.lit(0))
-    return none if late is None else late.select("type", "norm", "attempt")
+        late = late.unionByName(fresh.select("type", "norm", "attempt"))
+    out = written(late, "retries")
+    drop_written(*tables)
+    return out
+
+
+def known_names(put: Column) -> Column:
+    """(old, new) words of the names among replaced mentions (type, old, new)."""
+    names = F.filter(put, lambda p: p["type"].startswith("name"))
+    words = F.transform(names, lambda p: F.zip_with(F.split(_words(p["old"]), "[ -]"), F.split(_words(p["new"]), "[ -]"), lambda a, b: F.struct(a.alias("old"), b.alias("new"))))
+    return F.filter(F.flatten(words), lambda w: w["old"].isNotNull() & w["new"].isNotNull())
+
+
+def renamed(piece: Column, words: Column) -> Column:
+    """A piece of text with the known words of names replaced, where they stand as whole words."""
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.array_join(F.array_distinct(F.transform(words, lambda w: w["old"])), "|"), F.lit(r")(?![\p{L}\p{M}])"))
+    hits = F.transform(F.regexp_extract_all(piece, pattern, F.lit(0)), lambda h: F.element_at(F.filter(words, lambda w: w["old"] == h), 1)["new"])
+    return F.array_join(F.zip_with(F.split(piece, pattern, -1), hits, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
     """docs with every detected entity in its text replaced, plus the number of entities.
 
     Emails, secrets in assignments, IPv4 addresses, phone, social security, card and account
-    numbers, and names after a title are replaced; all other characters stay. A null text stays
-    null with 0 entities, an empty one empty; repeated rows get equal texts; other columns are
-    passed on, an existing ``count_col`` is replaced (None: no count); an empty table gives an
-    empty result. Texts are not shuffled unless more than 20,000 of them hold an entity that had
-    to be derived again.
+    numbers, and names after a title are replaced; in a text with such a name its words are also
+    replaced where they stand without the title. All other characters stay, numbers with wrong
+    check digits among them. A null text stays null with 0 entities, an empty one empty; repeated
+    rows get equal texts; other columns are passed on, an existing ``count_col`` is replaced (None:
+    no count); an empty table gives an empty result. Texts are not shuffled unless more than 20,000
+    of them hold an entity that had to be derived again.
     """
     text = F.col(text_col)
     row = F.xxhash64(F.col(id_col), text)
-    seen = written(docs.where(text.rlike(HINT)).select(row.alias("__row"), F.explode(mentions(text)).alias("m")).select("__row", "m.type", "m.norm").distinct(), "mentions")
-    again = written(retries(seen.select("type", "norm").distinct(), key), "retries")
+    seen = docs.where(text.rlike(HINT)).select(row.alias("__row"), F.explode(mentions(text)).alias("m")).where(F.col("m.type") != NONE)
+    seen = written(seen.select("__row", "m.type", "m.norm").distinct(), "mentions")
+    again = retries(seen.select("type", "norm").distinct(), key)
     known = docs.withColumn("__found", F.coalesce(mentions(text), F.array().cast(MENTION)))
     n = again.count()
     if n:
@@ -312,8 +360,14 @@ def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
         known = known.withColumn("__own", row).join(F.broadcast(per_row) if per_row.count() <= BROADCAST_ROWS else per_row, F.col("__own") == F.col("__row"), "left")
         attempt = lambda m: F.coalesce(F.try_element_at(F.col("__attempts"), F.concat_ws("|", m["type"], m["norm"])), F.lit(0))
         known = known.withColumn("__found", F.transform("__found", lambda m: F.struct(m["e"].alias("e"), m["type"].alias("type"), m["norm"].alias("norm"), attempt(m).alias("attempt"))))
-    put = F.zip_with("__found", canonical(F.col("__found"), key), dressed)
-    pieces = F.zip_with(F.split(text, ENTITY, -1), put, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
-    replaced = F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(text)
+    drop_written(seen, again)
+    put = F.zip_with("__found", canonical(F.col("__found"), key), lambda m, s: F.struct(m["type"].alias("type"), m["e"].alias("old"), dressed(m, s).alias("new")))
+    known = known.withColumn("__put", F.when(F.size("__found") > 0, put))
+    words = known_names(F.col("__put"))
+    plain = F.zip_with(F.split(text, ENTITY, -1), F.col("__put"), lambda a, p: F.concat(F.coalesce(a, F.lit("")), F.coalesce(p["new"], F.lit(""))))
+    named = F.zip_with(F.split(text, ENTITY, -1), F.col("__put"), lambda a, p: F.concat(F.coalesce(renamed(a, words), F.lit("")), F.coalesce(p["new"], F.lit(""))))
+    has_name = F.exists("__put", lambda p: p["type"].startswith("name"))
+    replaced = F.when(F.col("__put").isNull(), text).when(has_name, F.array_join(named, "")).otherwise(F.array_join(plain, ""))
     columns = [replaced.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != count_col]
-    return known.select(*columns, *([F.size("__found").alias(count_col)] if count_col else []))
+    total = F.size(F.filter("__found", lambda m: m["type"] != NONE))
+    return known.select(*columns, *([total.alias(count_col)] if count_col else []))
