@@ -8,12 +8,18 @@ compute where the row is without reading data.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import drop_written, shuffle_width, written
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -48,54 +54,74 @@ def permute(numbers: np.ndarray, n: int, seed: int, rounds: int = 6) -> np.ndarr
     return out
 
 
-def row_numbers(groups: DataFrame, order: list[str], count: str, buckets: int) -> DataFrame:
-    """groups plus ``first_row``: the global number of each group's first row in the given order.
+#: Rows that a task numbers and that one row is expanded to at most, as means.
+PER_TASK, RUN = 500_000, 100_000
+
+
+def _running(count: str):
+    """Adds ``_part``, the partition, and ``_before``, the sum of count over its earlier rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column(count).to_numpy()
+            ends = before + np.cumsum(n)
+            if len(n):
+                before = int(ends[-1])
+            columns = [*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_part", "_before"])
+
+    return run
+
+
+def row_numbers(groups: DataFrame, order: list[str], count: str, tasks: int) -> DataFrame:
+    """groups plus ``first_row``: the global number of each group's first row in the given order, nulls
+    first.
 
-    No window spans the table: the leading column is cut at approximate quantiles into buckets,
-    numbered inside each, and shifted by the rows of the earlier buckets (one row per bucket, so
-    the broadcast side is bounded by ``buckets``). The cuts only balance the work; any cuts give
-    the same numbers.
+    No window spans the table: a range sort over all order columns deals the groups to tasks, each
+    task sums up its own, and a row per task says what comes before it. The ranges only balance the
+    work; any ranges give the same numbers.
     """
-    lead = order[0]
-    cuts = groups.agg(F.percentile_approx(lead, [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] if buckets > 1 else []
-    cuts = sorted(set(cuts or []))
-    bucket = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.when(F.col(lead).isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col(lead))))
-    numbered = groups.withColumn("_bucket", bucket.cast("int"))
-    sizes = numbered.groupBy("_bucket").agg(F.sum(count).alias("_n"))
-    shifts = sizes.select("_bucket", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_bucket")) - F.col("_n")).alias("_shift"))
-    inside = Window.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    before = F.sum(count).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        numbered.withColumn("_before", F.coalesce(before, F.lit(0)))
-        .join(F.broadcast(shifts), "_bucket")
-        .withColumn("first_row", F.col("_shift") + F.col("_before"))
-        .drop("_bucket", "_before", "_shift")
-    )
-
-
-def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 20, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    by = [F.col(c).asc_nulls_first() for c in order]
+    ranged = groups.repartitionByRange(tasks, *by).sortWithinPartitions(*by)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema.fields)
+    ranged = written(ranged.mapInArrow(_running(count), f"{schema}, _part int, _before bigint"), "ranges")
+    sizes = ranged.groupBy("_part").agg(F.sum(count).alias("_n"))  # a row for each task
+    shifts = sizes.select("_part", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).alias("_shift"))
+    return ranged.join(F.broadcast(shifts), "_part").withColumn("first_row", F.col("_shift") + F.col("_before")).drop("_part", "_before", "_shift")
+
+
+def expanded(groups: DataFrame, first: str, count: str, name: str) -> DataFrame:
+    """A row for each number from first on, count of them, as ``name``. A group of many rows is cut into
+    runs, which are dealt to all tasks before they are expanded."""
+    runs = groups
+    if groups.where(F.col(count) > RUN).limit(1).count():
+        cut = groups.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {RUN}"))))
+        cut = cut.withColumns({first: F.col(first) + F.col("_run") * RUN, count: F.least(F.lit(RUN).cast("long"), F.col(count) - F.col("_run") * RUN)}).drop("_run")
+        runs = cut.repartition(shuffle_width(groups.sparkSession), F.col(first))
+    return runs.withColumn(name, F.explode(F.sequence(F.col(first), F.col(first) + F.col(count) - 1))).drop(first, count)
+
+
+def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 20, tasks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, row_number, shard, slot, grown_shard.
 
     size is the text's UTF-8 bytes plus 1 (null text: 1), text_crc32 that of the bytes (null: of
     none). Global order is (doc_id, size, text_crc32), nulls first, so it doesn't depend on files
-    or partitions. Rows equal in those three are counted before the shuffle and expanded after it,
-    so copies and repeated or null ids never meet in one task; which of several equal rows gets
-    which of their places can't be told apart. Other columns are ignored, an empty table gives an
-    empty result. Only these narrow rows are shuffled, never texts.
+    or partitions. Rows equal in those three are counted before the shuffle and expanded after it
+    in runs of bounded length, and the sort is dealt by all three, so neither copies nor repeated or
+    null ids meet in one task; which of several equal rows gets which of their places can't be told
+    apart. Other columns are ignored, an empty table gives an empty result. Only these narrow rows
+    are shuffled, never texts, and their number of tasks follows their number.
     """
-    spark = docs.sparkSession
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     narrow = docs.select(F.col(id_col).alias("doc_id"), (F.length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    total = docs.count()
-    buckets = buckets or max(1, min(512, total // 20_000))
-    groups = narrow.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_copies"))
-    placed = row_numbers(groups, ["doc_id", "size", "text_crc32"], "_copies", buckets)
-    rows = placed.select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.col("first_row"), F.col("first_row") + F.col("_copies") - 1)).alias("row_number"))
-    spread = _permuted(total, seed)(F.col("row_number"))
-    return rows.withColumn("_p", spread).select(
+    groups = written(narrow.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_copies")), "groups")
+    total, kinds = groups.agg(F.sum("_copies"), F.count(F.lit(1))).first()
+    tasks = tasks or max(shuffle_width(docs.sparkSession), -(-kinds // PER_TASK))
+    placed = row_numbers(groups, ["doc_id", "size", "text_crc32"], "_copies", tasks)
+    drop_written(groups)
+    spread = _permuted(total or 0, seed)(F.col("row_number"))
+    return expanded(placed, "first_row", "_copies", "row_number").withColumn("_p", spread).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "row_number",
         (F.col("_p") % shards).cast("int").alias("shard"), F.expr(f"_p div {shards}").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
