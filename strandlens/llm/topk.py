@@ -11,34 +11,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffle_width, written
 
-#: Rows of a block of candidates and of queries.
-CANDIDATES, QUERIES = 4096, 512
-BLOCK = "ids binary, offsets binary, terms binary, weights binary"
+#: Rows of a block of candidates, the least and most of a block of queries, and blocks of candidates
+#: that one task scores for a block of queries, as a mean.
+CANDIDATES, QUERIES, SCORED = 4096, (512, 2048), 256
+BLOCK = "ids binary, offsets binary, terms binary, weights binary, part int, place bigint"
+LARGEST = 2**63 - 1
 
 
 def quantised(embedding: Column, scale: float = 64.0) -> Column:
-    """floor(scale * x) of every component, as doubles; null where the vector can't take part."""
+    """floor(scale * x) of every component, as doubles; null where the vector can't take part. Numbers
+    beyond 64 bits become the nearest of 64 bits."""
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     return F.when(embedding.isNotNull() & ~bad, F.transform(embedding, lambda x: F.floor(x.cast("double") * scale)))
 
 
 def _blocks(size: int):
-    """Packs rows (id, vector) into blocks of their non-zero components."""
+    """Packs rows (id, vector) into blocks of their non-zero components, numbered inside each task."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows = [], []
+        part, place = TaskContext.get().partitionId(), 0
 
         def block() -> pa.RecordBatch:
+            nonlocal place
             order = np.argsort(np.array(ids, np.int64), kind="stable")
             sparse = [(np.flatnonzero(rows[i]).astype(np.int32), rows[i][rows[i] != 0]) for i in order]
             offsets = np.cumsum([0, *(len(t) for t, _ in sparse)]).astype(np.int64)
             columns = (np.array(ids, np.int64)[order], offsets, np.concatenate([t for t, _ in sparse]), np.concatenate([w for _, w in sparse]).astype(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["ids", "offsets", "terms", "weights"])
+            place += 1
+            return pa.RecordBatch.from_arrays([*(pa.array([c.tobytes()], pa.binary()) for c in columns), pa.array([part], pa.int32()), pa.array([place - 1], pa.int64())], names=["ids", "offsets", "terms", "weights", "part", "place"])
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -74,16 +81,14 @@ def _accumulate(postings: _Postings, offsets: np.ndarray, terms: np.ndarray, wei
     """Scores (candidate, query): each term's postings, times the queries' weights, added in place.
 
     Whole numbers throughout: of 32 bits where the longest vectors' product can't exceed them, else
-    of 64; beyond those the input is refused, never rounded.
+    of 64, else of any size; what then is beyond 64 bits becomes the nearest of 64 bits.
     """
     n = len(offsets) - 1
     row = np.repeat(np.arange(n), np.diff(offsets))
     squares = np.zeros(n)
     np.add.at(squares, row, weights.astype(float) ** 2)
     bound = postings.norm * float(np.sqrt(squares.max(initial=0)))
-    if bound >= 2.0**63:
-        raise OverflowError("an inner product may exceed 64 bits")
-    kind = np.int32 if bound < 2.0**31 else np.int64
+    kind = np.int32 if bound < 2.0**31 else np.int64 if bound < 2.0**62 else object
     scores = np.zeros((len(postings.ids), n), kind)
     order = np.argsort(terms, kind="stable")
     names, first = np.unique(terms[order], return_index=True)
@@ -100,8 +105,8 @@ def _accumulate(postings: _Postings, offsets: np.ndarray, terms: np.ndarray, wei
                 scores[rows[i : i + step]] += w[i : i + step, None].astype(kind) * q
         else:
             for k in mine:
-                scores[rows, row[k]] += (w * weights[k]).astype(kind)
-    return scores
+                scores[rows, row[k]] += w.astype(kind) * kind(weights[k]) if kind is not object else w.astype(object) * int(weights[k])
+    return scores if kind is not object else np.clip(scores, -LARGEST - 1, LARGEST).astype(np.int64)
 
 
 def _select(scores: np.ndarray, ids: np.ndarray, query: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,23 +169,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     or non-finite component take no part, nor do rows of null id; of vectors of different lengths
     the shorter counts as padded with zeros, an empty one scores 0 with all. Rows that repeat an id
     are candidates each on their own, and a repeated query id is asked once, with the vector that
-    is first by value. No queries or no candidates give an empty result. Other columns are ignored.
+    is first by value. Components and scores beyond 64 bits count as the nearest number of 64 bits. No
+    queries or no candidates give an empty result. Other columns are ignored.
 
     Every block of candidates meets every block of queries once: blocks are rows, joined on the
-    query block and a salt, with candidates spread over the salts. A partition keeps k rows per
-    query, so the merge gets few of them.
+    query block's number and a salt, with candidates spread over the salts, of which there are
+    enough for all tasks and for some 256 blocks of candidates each. A task keeps k rows per query,
+    so the merge gets few of them.
     """
     spark = vectors.sparkSession
     usable = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("_q")).where("id is not null and v is not null")
-    packed = usable.select("id", "v").mapInArrow(_blocks(CANDIDATES), BLOCK)
     asked = usable.where("_q").groupBy("id").agg(F.min("v").alias("v"))
-    queries = asked.mapInArrow(_blocks(QUERIES), BLOCK).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "offsets", "terms", "weights")])
-    queries = queries.withColumn("qb", F.monotonically_increasing_id())
-    queries = written(queries, "queries")
-    numbers = queries.agg(F.sort_array(F.collect_list("qb"))).first()[0]  # one number per 512 queries
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(numbers)))
-    ask = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    deal = packed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("qb", F.explode(F.array(*[F.lit(n) for n in numbers]) if numbers else F.array().cast("array<bigint>")))
+    many, tasks = usable.count(), shuffle_width(spark)
+    packed = usable.select("id", "v").mapInArrow(_blocks(CANDIDATES), BLOCK).drop("part", "place")
+    size = min(QUERIES[1], max(QUERIES[0], -(-usable.where("_q").count() // tasks)))
+    queries = written(asked.mapInArrow(_blocks(size), BLOCK).select("part", "place", *[F.col(c).alias(f"q_{c}") for c in ("ids", "offsets", "terms", "weights")]), "queries")
+    counts = queries.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each task
+    shifts = counts.select("part", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("shift"))
+    numbered = queries.join(F.broadcast(shifts), "part").withColumn("qb", F.col("shift") + F.col("place")).drop("part", "place", "shift")
+    n = queries.count()
+    salts = max(1, min(tasks // max(1, n), many // CANDIDATES), -(-many // (CANDIDATES * SCORED)))
+    ask = numbered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    deal = packed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1)) if n else F.array().cast("array<bigint>")))
     grid = deal.join(ask, ["qb", "salt"]).select("qb", "ids", "offsets", "terms", "weights", "q_ids", "q_offsets", "q_terms", "q_weights")
     best = grid.sortWithinPartitions("qb").mapInArrow(_score(k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
