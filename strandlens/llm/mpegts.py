@@ -131,6 +131,8 @@ class Stream:
     random_access: list[int] = field(default_factory=list)
     continuity_errors: int = 0
     units: int = 0
+    #: Numbers of the units of which bytes are missing.
+    damaged: list[int] = field(default_factory=list)
 
 
 def _sections(rows: np.ndarray, starts: np.ndarray, unit_start: np.ndarray) -> list[bytes]:
@@ -160,8 +162,10 @@ def demux(media: bytes) -> list[Stream]:
     """Elementary streams of all programs, by PID in the order of the program map tables.
 
     Continuity: a packet with payload must follow its PID's last counter by one; one exact repeat
-    is allowed and its payload not used twice; a packet that signals discontinuity may jump. Bytes
-    before the first sync and an incomplete last packet are skipped. No tables: no streams.
+    is allowed and its payload not used twice; a packet that signals discontinuity may jump. A unit
+    in which packets are lost, or that is shorter than it says, is passed on with what is there and
+    its number in ``damaged``. Bytes before the first sync and an incomplete last packet are skipped.
+    No tables: no streams.
     """
     data = np.frombuffer(media, np.uint8)
     start = int(np.argmax(data == SYNC)) if len(data) and (data == SYNC).any() else len(data)
@@ -201,8 +205,9 @@ def demux(media: bytes) -> list[Stream]:
         again = np.flatnonzero(step == 0) + 1
         repeat[[i for i in again if (rows[mine[i]] == rows[mine[i - 1]]).all()]] = True
         jump = flags[mine][1:] & 0x80 != 0
-        stream.continuity_errors = int(((step != 1) & ~repeat[1:] & ~jump).sum())
-        mine = mine[~repeat]
+        lost = np.concatenate(([False], (step != 1) & ~repeat[1:] & ~jump))
+        stream.continuity_errors = int(lost.sum())
+        mine, lost = mine[~repeat], lost[~repeat]
         heads = np.flatnonzero(first[mine])
         parts = []
         for h, end in zip(heads, [*heads[1:], len(mine)], strict=True):
@@ -216,6 +221,8 @@ def demux(media: bytes) -> list[Stream]:
             if pes[:3] != b"\x00\x00\x01" or len(pes) < 9:
                 continue
             size = pes[4] << 8 | pes[5]
+            if lost[h + 1 : end + 1].any() or len(pes) < 6 + size:
+                stream.damaged.append(stream.units)
             stream.units += 1
             if pes[7] & 0x80:
                 stream.pts.append(_read_pts(pes[9:14]))
@@ -236,8 +243,11 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 _TIMES = T.ArrayType(T.LongType())
-STREAMS = T.ArrayType(_struct(pid=T.IntegerType(), stream_type=T.IntegerType(), payload=T.BinaryType(), pts=_TIMES, random_access=_TIMES, continuity_errors=T.IntegerType(), units=T.IntegerType()))
-DIGEST = _struct(payload_bytes=T.LongType(), payload_sha256=T.StringType(), tail_crc32=T.LongType(), media_bytes=T.LongType(), media_sha256=T.StringType(), feature=T.StringType())
+STREAMS = T.ArrayType(_struct(pid=T.IntegerType(), stream_type=T.IntegerType(), payload=T.BinaryType(), pts=_TIMES, random_access=_TIMES, continuity_errors=T.IntegerType(), units=T.IntegerType(), damaged=T.ArrayType(T.IntegerType())))
+DIGEST = _struct(
+    payload_bytes=T.LongType(), payload_sha256=T.StringType(), tail_crc32=T.LongType(), media_bytes=T.LongType(), media_sha256=T.StringType(), feature=T.StringType(),
+    pts=_TIMES, random_access=_TIMES, continuity_errors=T.IntegerType(), damaged_units=T.IntegerType(),
+)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -254,7 +264,8 @@ def demux_column(media: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DIGEST)
 def digest_column(media: pd.Series) -> pd.DataFrame:
-    """What demux reads back from each transport stream, as sums and a feature text."""
+    """What demux reads back from each transport stream: sums, a feature text, and the timestamps and
+    random-access points of its units."""
     out = []
     for raw in media:
         raw = bytes(raw)
@@ -262,7 +273,8 @@ def digest_column(media: pd.Series) -> pd.DataFrame:
         payload = b"".join(s.payload for s in streams)
         feature = ";".join(f"pid={s.pid},type={s.stream_type},units={s.units},pts={s.pts[0] if s.pts else ''}-{s.pts[-1] if s.pts else ''},rap={len(s.random_access)},cc={s.continuity_errors}" for s in streams)
         out.append((len(payload), hashlib.sha256(payload).hexdigest(), binascii.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), f"packets={len(raw) // PACKET};{feature}"))
-    return pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        out[-1] += ([t for s in streams for t in s.pts], [t for s in streams for t in s.random_access], sum(s.continuity_errors for s in streams), sum(len(s.damaged) for s in streams))
+    return pd.DataFrame(out, columns=DIGEST.names)
 
 
 def to_media(docs: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
