@@ -24,9 +24,10 @@ def hashed_uniform(*parts: Column) -> Column:
 def poisson_cdf(rate: Column) -> Column:
     """Cumulative probabilities of 0, 1, 2, ... up to where the rest is below double precision.
 
-    Summed in logarithms, so large rates don't underflow. Length: rate + 12 * sqrt(rate) + 40.
+    Summed in logarithms, so large rates don't underflow. Length: rate + 12 * sqrt(rate) + 40. Built
+    in blocks of 128 numbers, as an array grows by copying.
     """
-    steps = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate)).cast("int") + 40)
+    last, size = F.ceil(rate + 12 * F.sqrt(rate)).cast("int") + 40, 128
     start = F.struct((-rate).alias("logp"), F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
 
     def step(acc: Column, k: Column) -> Column:
@@ -34,7 +35,12 @@ def poisson_cdf(rate: Column) -> Column:
         p = acc["p"] + F.exp(logp)
         return F.struct(logp.alias("logp"), p.alias("p"), F.concat(acc["cdf"], F.array(p)).alias("cdf"))
 
-    return F.when(rate <= 0, F.array(F.lit(1.0))).otherwise(F.aggregate(steps, start, step, lambda acc: acc["cdf"]))
+    def block(acc: Column, first: Column) -> Column:
+        empty = F.struct(acc["logp"].alias("logp"), acc["p"].alias("p"), F.array().cast("array<double>").alias("cdf"))
+        more = F.aggregate(F.sequence(first, F.least(first + size - 1, last)), empty, step)
+        return F.struct(more["logp"].alias("logp"), more["p"].alias("p"), F.concat(acc["cdf"], more["cdf"]).alias("cdf"))
+
+    return F.when(rate <= 0, F.array(F.lit(1.0))).otherwise(F.aggregate(F.sequence(F.lit(1), last, F.lit(size)), start, block, lambda acc: acc["cdf"]))
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, temperature: float, epochs: float, source_col: str = "source") -> DataFrame:
@@ -60,12 +66,13 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, temperatu
     return counts.withColumn("rate", F.round(rate, 9)).withColumn("cdf", poisson_cdf(F.col("rate")))
 
 
-def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 2, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = "text") -> DataFrame:
     """All columns of docs plus ``copy`` (from 0), ``rate`` and ``shuffle_key``, one row per copy, in
     random order: partition i holds the i-th range of keys, sorted by key.
 
     A document is hashed by its id and text, so equal rows draw equal numbers, and null ids still
-    draw apart by text; a null text hashes as empty. Documents of count 0 leave, documents of
+    draw apart by text; a null text hashes as empty (text_col None: hashed by id alone). Documents of
+    count 0 leave, documents of
     count k stay k times. An empty table gives an empty result. Input columns named copy, rate or
     shuffle_key are replaced. The rate table has one row per source: it is broadcast if it has
     20,000 rows or fewer, else joined by shuffle with hot sources split over 64 salts.
@@ -73,7 +80,7 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c.lower() not in ("copy", "rate", "shuffle_key")]
     rates = source_rates(docs, weights, temperature, epochs, source_col).select(F.col(source_col).alias("__source"), F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf"))
-    who = [F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
+    who = [F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5((F.coalesce(F.col(text_col), F.lit("")) if text_col else F.lit("")).cast("binary"))]
     # drawn below the join, which keeps the optimizer from repeating the text's hash in what follows
     base = docs.select(*kept, F.concat_ws("|", *who).alias("__who")).withColumn("__u", hashed_uniform(F.col("__who")))
     on = F.col(source_col).eqNullSafe(F.col("__source"))
@@ -82,7 +89,7 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     else:
         salts = 64
         spread = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = base.withColumn("__own", F.pmod(F.xxhash64(id_col, "text"), F.lit(salts)).cast("int")).join(spread, on & (F.col("__own") == F.col("__salt")))
+        joined = base.withColumn("__own", F.pmod(F.xxhash64("__who"), F.lit(salts)).cast("int")).join(spread, on & (F.col("__own") == F.col("__salt")))
     count = F.size(F.filter("__cdf", lambda p: p < F.col("__u")))
     copies = (
         joined.withColumn("__count", F.least(count, F.size("__cdf") - 1))

@@ -61,6 +61,7 @@ def op10_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_surrogates, op2_poisson_mixing, op3_minhash_components, op4_transport_stream, op5_feistel_shards, op6_term_at_a_time_top_k, op7_weak_label_quality, op8_run_length_index, op9_text_to_tag_pages, op10_swap_packing)}
 
+# Poisson probabilities up to 1,000 copies, enough for rates of some 600.
 _OP2 = """
 WITH d AS (
   SELECT *, '2|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) AS who FROM documents),
