@@ -145,14 +145,15 @@ def brute(rows, k, scale=64.0):
     out = []
     for q, v in queries.items():
         scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in vectors if i != q))[:k]
-        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+        out += [(q, rank, i, min(-s, 2**63 - 1)) for rank, (s, i) in enumerate(scored, 1)]
     return sorted(out)
 
 
 @pytest.mark.parametrize(("blocks", "k"), [((4096, 512), 5), ((7, 3), 5), ((7, 3), 500)])
 def test_top_k(spark, monkeypatch, blocks, k):
     monkeypatch.setattr(topk, "CANDIDATES", blocks[0])
-    monkeypatch.setattr(topk, "QUERIES", blocks[1])
+    monkeypatch.setattr(topk, "QUERIES", (blocks[1], blocks[1]))
+    monkeypatch.setattr(topk, "SCORED", 3)
     rng = np.random.default_rng(6)
     rows = [(int(i), [float(x) for x in rng.choice([-0.5, 0.0, 0.0, 0.02, 1.3], 6)]) for i in range(60)]
     rows += [(60, None), (61, [1.0, None, 0.0]), (63, [float("nan")] * 6), (66, [float("inf")] * 6), (None, [1.0] * 6), (69, []), (72, [1.0, 2.0]), (5, [0.5] * 6), (12, [0.25] * 6)]
@@ -164,7 +165,8 @@ def test_top_k(spark, monkeypatch, blocks, k):
 def test_top_k_large_numbers_and_empty(spark):
     df = spark.createDataFrame([(0, [1e7, 1e7]), (1, [1e7, -1e6]), (2, [3.0, 1e7])], "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0, k=2).collect()) == [(0, 1, 2, 4096 * (10**14 + 3 * 10**7)), (0, 2, 1, 4096 * (10**14 - 10**13))]
-    with pytest.raises(Exception, match="64 bits"):
-        topk.top_k(spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    huge = [(0, [1e12, 3.0]), (1, [1e12, 1.0]), (2, [-1e12, 0.0]), (3, [2e7, 5.0]), (4, [1e300, 0.0]), (5, [0.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=9).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2**63 - 1), (3, 2**63 - 1), (4, 2**63 - 1), (5, 4096 * 3), (2, -(2**63))]
     assert topk.top_k(df.where("false"), F.col("vec_id") == 0).count() == 0
     assert topk.top_k(df, F.col("vec_id") == 9).count() == 0
