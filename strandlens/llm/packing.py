@@ -74,8 +74,9 @@ class ByteBpe:
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint, lane int"
-#: Pieces of one length that are ranked in one task, as a mean; lanes that pieces are dealt to.
-RANKED, LANES = 250_000, 1 << 20
+#: Pieces of one length that are ranked in one task, as a mean: the least, the most, and how many parts
+#: there are before the most is reached. Lanes that pieces are dealt to.
+RANKED, PARTS, LANES = (512, 250_000), 64, 1 << 20
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -284,16 +285,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_i
     Documents over ``size`` tokens are cut, no others. A null text packs as an empty one (the end
     id alone); null ids and repeated rows are packed like any other; an empty table gives an empty
     result. Pieces of one length can stand for each other: they are ranked among themselves in
-    lanes of some 250,000, however many they are and whatever they hold, so no task gets a length,
-    an id or a text as a whole. The driver sees one row per (length, lane) and sends back the
-    places, at most a few for each length and bin pattern.
+    parts of some 250,000 at most, however many they are and whatever they hold, so no task gets a
+    length, an id or a text as a whole. The driver sees one row per (length, part) and sends back
+    the places, at most a few for each length and bin pattern.
     """
     spark = docs.sparkSession
     pieces = written(token_pieces(docs, tokenizer_path, size, end_id, id_col, text_col), "pieces")
-    of_length = [(r["length"], -(-r["count"] // RANKED)) for r in pieces.groupBy("length").count().collect()]  # at most size rows
+    counted = pieces.groupBy("length").count().collect()  # at most size rows
+    of_length = [(r["length"], max(min(PARTS, -(-r["count"] // RANKED[0])), -(-r["count"] // RANKED[1]))) for r in counted]
     lanes = spark.createDataFrame(of_length, "length int, _lanes int")
     salted = pieces.join(F.broadcast(lanes), "length").withColumn("_salt", F.col("lane") % F.col("_lanes")).drop("lane", "_lanes")
-    parts = sorted(tuple(r) for r in salted.groupBy("length", "_salt").count().collect())  # a row for each length and 250,000 pieces
+    parts = sorted(tuple(r) for r in salted.groupBy("length", "_salt").count().collect())  # a row for each length and part
     counts: Counter[int] = Counter()
     shifts = []
     for length, salt, n in parts:
