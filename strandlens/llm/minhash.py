@@ -23,6 +23,8 @@ BANDS = COORDINATES // ROWS
 AGREE = 68
 #: Pairs with one text that are verified in one task; rows of a broadcast table; bytes hashed at once.
 PER_TASK, KEYS, BLOCK = 4096, 200_000, 1 << 20
+#: Shingles of the members of a tile, as a mean; a member's own apart.
+TILE_SHINGLES = 1 << 20
 
 _U = np.uint64
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -246,66 +248,102 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link)], names=["a", "b", "link"])
 
 
-TILES = "bucket bigint, kind int, tile_a int, tile_b int, side int, fp binary, label binary, bands array<bigint>, marks binary"
+TILE = "bucket bigint, kind int, tile_a int, tile_b int"
+MEMBERS = f"{TILE}, side int, fp binary, label binary, bands array<bigint>, marks binary"
 
 
-def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of members of a tile that are in different components and agree in AGREE coordinates.
+class _Tile:
+    """Members of a tile, as arrays: which pairs are in different components and near by sketch.
 
-    Rows of TILES come sorted by the first four. Kind 0 has two sides, of which each member of one
-    is compared with each of the other; kind 1 has one side, or two parts of it, and compares all
-    different ones. A pair is reported from the first bucket that it shares alone.
+    Kind 0 has two sides, of which each member of one is compared with each of the other; kind 1 has
+    one side, or two parts of it, and compares all different ones. A pair counts in the first
+    bucket that it shares alone.
     """
 
-    def close(group: list[tuple]) -> pa.RecordBatch:
-        marks = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(len(group), -1)
-        bands = np.stack([g[3] for g in group])
-        label = np.unique([g[2].hex() for g in group], return_inverse=True)[1]
-        side = np.array([g[0] for g in group])
-        bucket, whole = key[0], key[1] == 1 and key[2] == key[3]
-        a, b = [], []
-        step = max(1, (1 << 23) // (len(group) * marks.shape[1]))
-        for i in range(0, len(group), step):
-            near = (label[i : i + step, None] != label[None, :]) & (np.arange(i, min(len(group), i + step))[:, None] < np.arange(len(group))[None, :])
-            if not whole:
-                near &= side[i : i + step, None] != side[None, :]
-            if not near.any():
-                continue
-            near &= (marks[i : i + step, None, :] == marks[None, :, :]).sum(axis=2) >= AGREE
-            x, y = near.nonzero()
-            first = bands[i + x, (bands[i + x] == bands[y]).argmax(axis=1)] == bucket
-            for u, v in zip((i + x[first]).tolist(), y[first].tolist(), strict=True):
-                a.append(max(group[u][1], group[v][1]))
-                b.append(min(group[u][1], group[v][1]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    key, group = None, []
+    def __init__(self, where: tuple, rows: list[tuple]) -> None:
+        self.bucket, self.whole = where[0], where[1] == 1 and where[2] == where[3]
+        self.side, self.fp = np.array([r[0] for r in rows]), [r[1] for r in rows]
+        self.label = np.unique([r[2].hex() for r in rows], return_inverse=True)[1]
+        self.bands, self.marks = np.stack([r[3] for r in rows]), np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+
+    def near(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(first, second) members of such pairs, in blocks; labels may change in between."""
+        n = len(self.fp)
+        step = max(1, (1 << 23) // (n * self.marks.shape[1]))
+        for i in range(0, n, step):
+            ask = (self.label[i : i + step, None] != self.label[None, :]) & (np.arange(i, min(n, i + step))[:, None] < np.arange(n)[None, :])
+            if not self.whole:
+                ask &= self.side[i : i + step, None] != self.side[None, :]
+            if ask.any():
+                ask &= (self.marks[i : i + step, None, :] == self.marks[None, :, :]).sum(axis=2) >= AGREE
+                x, y = ask.nonzero()
+                x += i
+                first = self.bands[x, (self.bands[x] == self.bands[y]).argmax(axis=1)] == self.bucket
+                yield x[first], y[first]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[tuple[tuple, _Tile, list[bytes]]]:
+    """The tiles of rows that come sorted by TILE, with their members' texts if there are any."""
+    where, rows, texts = None, [], []
     for batch in batches:
-        keys = list(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True))
+        head = list(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True))
         side, fp, label = (c.to_pylist() for c in batch.columns[4:7])
-        for i, where in enumerate(keys):
-            if where != key:
-                if len(group) > 1:
-                    yield close(group)
-                key, group = where, []
-            group.append((side[i], fp[i], label[i], batch.column(7)[i].values.to_numpy(), batch.column(8)[i].as_py()))
-    if len(group) > 1:
-        yield close(group)
-
-
-def _open_tiles(label: DataFrame, tile: int) -> DataFrame:
-    """(bucket, kind, tile_a, tile_b, side, fp, label) of (bucket, fp, label): what is to be compared in
-    the buckets of several components.
+        for i, key in enumerate(head):
+            if key != where:
+                if len(rows) > 1:
+                    yield where, _Tile(where, rows), texts
+                where, rows, texts = key, [], []
+            rows.append((side[i], fp[i], label[i], batch.column(7)[i].values.to_numpy(), batch.column(8)[i].as_py()))
+            if with_text:
+                texts.append(batch.column(9)[i].as_buffer().to_pybytes())
+    if len(rows) > 1:
+        yield where, _Tile(where, rows), texts
+
+
+def _near_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(TILE, fp) of the members that are near another one of their tile."""
+    for where, tile, _ in _tiles(batches, False):
+        found = sorted({i for x, y in tile.near() for i in (*x.tolist(), *y.tolist())})
+        columns = [pa.array([v] * len(found), t) for v, t in zip(where, (pa.int64(), *[pa.int32()] * 3), strict=True)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([tile.fp[i] for i in found], pa.binary())], names=["bucket", "kind", "tile_a", "tile_b", "fp"])
+
+
+def _close_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) that link, of near members of tiles with their texts: a spanning forest of each tile's
+    components, so that pairs don't leave it."""
+    for _, tile, texts in _tiles(batches, True):
+        sets: dict[int, np.ndarray] = {}
+        a, b = [], []
+        for x, y in tile.near():
+            for u, v in zip(x.tolist(), y.tolist(), strict=True):
+                if tile.label[u] == tile.label[v]:
+                    continue
+                for k in (u, v):
+                    if k not in sets:
+                        sets[k] = shingle_sets([texts[k]])[0]
+                if linked(sets[u], sets[v]):
+                    a.append(max(tile.fp[u], tile.fp[v]))
+                    b.append(min(tile.fp[u], tile.fp[v]))
+                    tile.label[tile.label == tile.label[v]] = tile.label[u]
+            if sum(map(len, sets.values())) > TILE_SHINGLES:
+                sets.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def _open_tiles(label: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(TILE, side, fp, label) of (bucket, fp, label, n_shingles): what is to be compared in the buckets
+    of several components, and the written table of those buckets.
 
     Members of a bucket's largest component need no comparison with each other, so they are dealt in
     chunks of about ``tile``, each of which meets each chunk of the other members (kind 0); those
     meet among themselves (kind 1). A bucket of one large component and few others grows with its
     members, not their square.
     """
-    sizes = label.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    several = sizes.groupBy("bucket").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("top")).where("total > top.n")
-    several = several.select("bucket", F.col("top.label").alias("major"), F.ceil(F.col("top.n") / tile).cast("int").alias("majors"), F.ceil((F.col("total") - F.col("top.n")) / tile).cast("int").alias("minors"))
-    rows = label.join(several, "bucket").withColumn("side", (F.col("label") == F.col("major")).cast("int"))
+    load = F.greatest(F.count(F.lit(1)) / tile, F.sum("n_shingles") / TILE_SHINGLES)
+    sizes = label.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), load.alias("load"))
+    several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.sum("load").alias("total"), F.max(F.struct("n", "label", "load")).alias("top")).where("labels > 1")
+    several = written(several.select("bucket", F.col("top.label").alias("major"), F.ceil("top.load").cast("int").alias("majors"), F.greatest(F.ceil(F.col("total") - F.col("top.load")), F.lit(1)).cast("int").alias("minors")), "open")
+    rows = label.drop("n_shingles").join(F.broadcast(several) if several.count() <= KEYS else several, "bucket").withColumn("side", (F.col("label") == F.col("major")).cast("int"))
     parts = F.when(F.col("side") == 1, F.col("majors")).otherwise(F.col("minors"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), parts.cast("long")).cast("int"))
     chunks = lambda n: F.sequence(F.lit(0), n - 1)
@@ -314,7 +352,7 @@ def _open_tiles(label: DataFrame, tile: int) -> DataFrame:
     against = F.when(F.col("side") == 1, F.transform(chunks(F.col("minors")), lambda i: spot(0, i, part, F.lit(1)))).otherwise(
         F.concat(F.transform(chunks(F.col("majors")), lambda j: spot(0, part, j, F.lit(0))), F.transform(chunks(F.col("minors")), lambda j: spot(1, F.least(part, j), F.greatest(part, j), part)))
     )
-    return rows.select("bucket", "fp", "label", F.explode(against).alias("at")).select("bucket", "at.kind", "at.tile_a", "at.tile_b", "at.side", "fp", "label")
+    return rows.select("bucket", "fp", "label", F.explode(against).alias("at")).select("bucket", "at.kind", "at.tile_a", "at.tile_b", "at.side", "fp", "label"), several
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -368,7 +406,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        square. Exact verification on the full sets, then components.
     3. Members of a bucket that are still in different components are compared by sketch in tiles of
        bounded size, the largest component's only with the others', each pair in the first bucket
-       it shares. Pairs that are near are verified on the full sets, so no link is lost to step 2.
+       it shares. Members that are near another one come back with their texts and are verified in
+       their tile on the full sets; only links leave a tile, and no link is lost to step 2.
     """
     docs = docs.withColumn("doc_id", F.col(id_col).cast("long"))
     rows = docs.select("doc_id", _text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -380,10 +419,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("fp", "rep.doc_id", "rep.text_key", "copies", "n_shingles", "bands", "marks"),
         "classes",
     )
-    members = classes.select(F.explode("bands").alias("bucket"), "fp", "copies")
+    members = classes.select(F.explode("bands").alias("bucket"), "fp", "copies", "n_shingles")
     hashed = F.xxhash64("fp", "bucket")
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max_by("fp", F.struct("copies", "fp")).alias("center"), F.min_by("fp", F.struct(hashed, F.col("fp"))).alias("other")).where("size > 1")
-    members = written(members.select("bucket", "fp").join(buckets, "bucket"), "members")
+    members = written(members.select("bucket", "fp", "n_shingles").join(buckets, "bucket"), "members")
     star = members.select("fp", F.explode(F.array_distinct(F.array("center", "other"))).alias("to")).where("fp <> to")
     pairs = written(star.select(F.greatest("fp", "to").alias("a"), F.least("fp", "to").alias("b")).distinct(), "pairs")
     in_buckets = members.select("fp").distinct()
@@ -391,20 +430,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = _verified(pairs, texts)
     links = components(first.where("link"))
 
-    label = members.where("size > 2").join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("label"))
-    tiles = _open_tiles(label, tile).join(classes.select("fp", "bands", "marks"), "fp").select(*[c.split()[0] for c in TILES.split(", ")])
-    dealt = tiles.repartition("bucket", "kind", "tile_a", "tile_b").sortWithinPartitions("bucket", "kind", "tile_a", "tile_b")
-    tried = pairs.select("a", "b")
-    near = written(dealt.mapInArrow(_close_pairs, "a binary, b binary").join(tried, ["a", "b"], "left_anti"), "near")
-    more = None
+    label = members.where("size > 2").join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("label"), "n_shingles")
+    at, spread = ["bucket", "kind", "tile_a", "tile_b"], ["side", "fp", "label", "bands", "marks"]
+    tiles, several = _open_tiles(label, tile)
+    tiles = written(tiles.join(classes.select("fp", "bands", "marks"), "fp").select(*at, *spread), "tiles")
+    dealt = lambda df: df.repartition(*at).sortWithinPartitions(*at)
+    near = written(dealt(tiles).mapInArrow(_near_members, f"{TILE}, fp binary"), "near")
+    more = []
     if near.limit(1).count():
-        more = _verified(near, texts)
-        links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.where("link").select("a", "b")))
+        close = tiles.join(near, [*at, "fp"], "left_semi").join(texts, "fp").select(*at, *spread, "text")
+        more = [written(dealt(close).mapInArrow(_close_links, "a binary, b binary"), "links")]
+        links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more[0]))
 
     roots = classes.select("fp", "doc_id").join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = written(roots.join(smallest, "root").select("fp", "component_id"), "named")
-    drop_written(classes, members, pairs, texts, first, near, *([more] if more else []))
+    drop_written(classes, members, pairs, texts, first, several, tiles, near, *more)
     found = sketches.select("doc_id", "n_shingles", "fp", "text_key").join(named, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())
