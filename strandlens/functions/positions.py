@@ -16,6 +16,10 @@ def _sum(parts: Column, ops: str) -> Column:
     return F.aggregate(F.filter(parts, lambda p: p["op"].isin(*ops)), F.lit(0), lambda s, p: s + p["n"])
 
 
+def _number(text: Column) -> Column:
+    return F.coalesce(text.try_cast("int"), F.lit(0))
+
+
 def reference_end(pos: Column, parts: Column) -> Column:
     """0-based end, exclusive."""
     return pos + _sum(parts, "MDN=X")
@@ -28,7 +32,7 @@ def _clip(part: Column) -> Column:
 def splice_offset(parts: Column) -> Column:
     """Reference bases from the 5' end to the first skip, or soft clip after the start; a clip at
     the start counts as bases. Null if there is none. parts are in the direction of the read."""
-    lead = _clip(parts[0])
+    lead = _clip(F.get(parts, F.lit(0)))
     rest = F.when(lead > 0, F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
     start = F.struct(lead.cast("int").alias("n"), F.lit(False).alias("found"))
 
@@ -42,12 +46,19 @@ def splice_offset(parts: Column) -> Column:
 def read_position(pos: Column, reverse: Column, cigar: Column, soft_clip_threshold: float = 4) -> Column:
     """struct(start, pos, splice): where the read begins in its own direction, clipped bases
     included. splice is the offset of the first skip if the read has one, or is clipped at its 3'
-    end by more than the threshold; else null."""
+    end by more than the threshold; else null. A read without operations (null, empty, *) begins at
+    pos.
+
+    Most reads match in one piece or are clipped at an end: those take expressions of generated
+    code alone, and only the others' operations are taken apart.
+    """
+    first, last = _number(F.regexp_extract(cigar, r"^(\d+)S", 1)), _number(F.regexp_extract(cigar, r"(\d+)S$", 1))
+    plain = cigar.rlike(r"^(\d+S)?\d+M(\d+S)?$")
+    matched = _number(F.regexp_extract(cigar, r"(\d+)M", 1))
     parts = cigar_parts(cigar)
-    first, last = parts[0], F.element_at(parts, -1)
-    ahead = pos - _clip(first)
-    behind = reference_end(pos, parts) + _clip(last)
-    end_clip = F.when(reverse, _clip(first)).otherwise(_clip(last))
+    ahead = pos - first
+    behind = F.when(plain, pos + matched).otherwise(reference_end(pos, parts)) + last
+    end_clip = F.when(reverse, first).otherwise(last)
     spliced = cigar.contains("N") | (end_clip > soft_clip_threshold)
-    offset = splice_offset(F.when(reverse, F.reverse(parts)).otherwise(parts))
-    return F.struct(F.when(reverse, pos).otherwise(ahead).alias("start"), F.when(reverse, behind).otherwise(ahead).alias("pos"), F.when(spliced, offset).alias("splice"))
+    offset = F.when(plain, F.when(end_clip > 0, F.when(reverse, last).otherwise(first) + matched)).otherwise(splice_offset(F.when(reverse, F.reverse(parts)).otherwise(parts)))
+    return F.struct(F.when(reverse, pos).otherwise(ahead).alias("start"), F.when(reverse, F.coalesce(behind, pos)).otherwise(ahead).alias("pos"), F.when(spliced, offset).alias("splice"))

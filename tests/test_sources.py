@@ -1,6 +1,7 @@
 """Files: FASTQ, SAM and BAM round trips, small tables, molecules from alignments."""
 
 import gzip
+import random
 import struct
 import zlib
 
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlens.config import GroupingOptions
-from strandlens.operators import bundles, molecules, pairs
+from strandlens.functions.positions import read_position
+from strandlens.operators import bundles, extract, molecules, pairs
 from strandlens.sources import alignments as al
 from strandlens.sources import fastq, tables
 
@@ -88,6 +90,85 @@ def test_fastq(spark, tmp_path):
         fastq.read_fastq(spark, str(tmp_path / "bad.fastq")).collect()
 
 
+def record(i, rng, name=None):
+    n = rng.randint(1, 40)
+    return f"@{name or f'r{i} x'}\n{''.join(rng.choice('ACGT') for _ in range(n))}\n+\n{''.join(rng.choice('@+I!') for _ in range(n))}\n"
+
+
+@pytest.mark.parametrize("split", ["128m", "1000", "90"])
+def test_fastq_splits_and_folders(spark, tmp_path, split):
+    """Records that lie over the edges of splits, several files in a folder, blank last lines."""
+    rng = random.Random(7)
+    one, two = [record(i, rng) for i in range(300)], [record(i, rng) for i in range(120)]
+    (tmp_path / "d d").mkdir()
+    (tmp_path / "d d" / "a.fastq").write_text("".join(one) + "\n\n")
+    (tmp_path / "d d" / "b.fastq").write_text("".join(two).rstrip("\n"))
+    with gzip.open(tmp_path / "d d" / "c.fastq.gz", "wt") as f:
+        f.write("".join(two))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = fastq.read_fastq(spark, str(tmp_path / "d d")).orderBy("file_no", "ord").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [f"@{r.identifier}\n{r.seq}\n+\n{r.quals}\n" for r in rows] == one + two + two
+    assert [r.ord for r in rows] == [*range(300), *range(120), *range(120)]
+
+
+@pytest.mark.parametrize("text", ["@a\nACGT\n+\n", "@a\nACGT\n+\nIIII\nb\nA\n+\nI\n", "@a\nACGT\n+\nIII\n", "@a\nA\n+\nI\n\n@b\nA\n+\nI\n"])
+@pytest.mark.parametrize("packed", [False, True])
+def test_bad_fastq(spark, tmp_path, text, packed):
+    with (gzip.open(tmp_path / "x.fastq.gz", "wt") if packed else open(tmp_path / "x.fastq", "w")) as f:
+        f.write(text)
+    with pytest.raises(Exception, match="record"):
+        fastq.read_fastq(spark, str(tmp_path / "x.fastq*")).collect()
+
+
+def sides(tmp_path, names1, names2):
+    rng = random.Random(3)
+    for side, files in (("r1", names1), ("r2", names2)):
+        (tmp_path / side).mkdir()
+        for k, names in enumerate(files):
+            (tmp_path / side / f"{k}.fastq").write_text("".join(record(0, rng, n) for n in names))
+    return tuple(str(tmp_path / s) for s in ("r1", "r2"))
+
+
+def test_pairs_of_several_files(spark, tmp_path):
+    names = [["a", "b", "c"], ["d"], ["e", "f"]]
+    one, two = (fastq.read_fastq(spark, p) for p in sides(tmp_path, names, names))
+    both = extract.paired(one, two)
+    assert both.count() == 6
+    assert [(r.file_no, r.ord, r.identifier1, r.identifier2) for r in both.orderBy("file_no", "ord").collect()] == [(k, i, n, n) for k, f in enumerate(names) for i, n in enumerate(f)]
+    assert extract.first_reads(both, 4).count() == 4 and {r.file_no for r in extract.first_reads(both, 4).collect()} == {0, 1}
+    fastq.write_fastq(both, str(tmp_path / "out"), "1")
+    assert [r.identifier for r in fastq.read_fastq(spark, str(tmp_path / "out")).orderBy("file_no", "ord").collect()] == list("abcdef")
+
+
+@pytest.mark.parametrize(("names1", "names2"), [([["a", "b"]], [["a", "x"]]), ([["a", "b"]], [["a"]]), ([["a"], ["b"]], [["a"]]), ([["a"]], [["a", "b"]]), ([["a", "b"], ["c"]], [["a", "c"], ["b"]])])
+def test_pairs_that_do_not_match_raise(spark, tmp_path, names1, names2):
+    one, two = (fastq.read_fastq(spark, p) for p in sides(tmp_path, names1, names2))
+    both = extract.paired(one, two)
+    for columns in (["seq1"], ["seq2"], ["ord"], both.columns):
+        with pytest.raises(Exception, match="pairs don't match"):
+            both.select(*columns).collect()
+    if sum(map(len, names1)) == sum(map(len, names2)) and len(names1) == 1:
+        assert extract.paired(one, two, names_differ=True).count() == 2
+
+
+def test_reads_without_operations(spark, sam):
+    """A mapped read whose CIGAR is * is left out by position, with an event of its own."""
+    reads, _ = sam
+    odd = reads.withColumn("cigar", F.when(F.col("qname") == "r1_AAAA", F.lit("*")).otherwise(F.col("cigar")))
+    assert {r.event: r.n for r in bundles.event_counts(bundles.classified(odd, GroupingOptions())).collect()} == {"kept": 2, "no alignment": 1, "read 2": 2, "single end unmapped": 1}
+    assert sorted(r.qname for r in molecules.dedup(odd, GroupingOptions()).collect()) == ["r2_AAAT", "r3_AAAA"]
+    cigars = ["*", "", None, "10M", "3S7M", "7M3S", "3S4M3S", "5M100N5M", "2H8M", "3S2M1I4M"]
+    got = spark.createDataFrame([(c, r) for c in cigars for r in (False, True)], "c string, r boolean").select("c", "r", read_position(F.lit(100), F.col("r"), F.col("c"), 2).alias("x")).collect()
+    want = {"*": (100, 100, 100, None, None), "": (100, 100, 100, None, None), None: (100, 100, 100, None, None), "10M": (100, 100, 110, None, None), "3S7M": (97, 97, 107, None, 7), "7M3S": (100, 100, 110, 7, None), "3S4M3S": (97, 97, 107, 7, 7), "5M100N5M": (100, 100, 210, 5, 5), "2H8M": (100, 100, 108, None, None), "3S2M1I4M": (97, 97, 106, None, 6)}
+    assert {(r.c, r.r): tuple(r.x) for r in got} == {(c, back): ((100, end, s2) if back else (start, pos, s1)) for c, (start, pos, end, s1, s2) in want.items() for back in (False, True)}
+
+
 def test_small_tables(spark, tmp_path):
     (tmp_path / "w.tsv").write_text("#c\nAA\tAC,AG\t5\nTT\t\t2\n")
     assert {r.barcode for r in tables.barcode_list(spark, str(tmp_path / "w.tsv")).collect()} == {"AA", "TT"}
@@ -118,8 +199,13 @@ def test_group_sets_tags(sam):
 
 def test_multimapping_sniff(sam):
     reads, _ = sam
-    assert bundles.multimapping_tag(reads) is None
-    assert bundles.multimapping_tag(reads.where(F.map_contains_key("tags", F.lit("NH")))) == "NH"
+    tagged = reads.where(F.map_contains_key("tags", F.lit("NH")))
+    assert bundles.multimapping_tags(reads) == [] and bundles.multimapping_tags(tagged) == ["NH"]
+    bundles.check_multimapping(tagged, GroupingOptions(multimapping="NH"))
+    with pytest.raises(ValueError, match="they have NH"):
+        bundles.check_multimapping(tagged, GroupingOptions(multimapping="XT"))
+    with pytest.raises(ValueError, match="leave the detection out"):
+        bundles.check_multimapping(reads, GroupingOptions(multimapping="XT"))
 
 
 def test_template_pairs(sam):
