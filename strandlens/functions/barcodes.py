@@ -19,6 +19,11 @@ def from_read_id(name: Column, separator: str = "_", cell: bool = False) -> Colu
     return F.struct(F.element_at(parts, -1).alias("umi"), (F.try_element_at(parts, F.lit(-2)) if cell else F.lit(None).cast("string")).alias("cell"))
 
 
+def hashed_number(*parts: Column) -> Column:
+    """A number of 52 bits from the md5 of the parts joined by |, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("long")
+
+
 def _tag(tags: Column, tag: str | None, split: str | None, delimiter: str | None) -> Column:
     if tag is None:
         return F.lit(None).cast("string")

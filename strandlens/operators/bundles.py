@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import GroupingOptions
-from ..functions.barcodes import from_prefixed_id, from_read_id, from_tags
+from ..functions.barcodes import from_prefixed_id, from_read_id, from_tags, hashed_number
 from ..functions.positions import read_position
 
 #: Flag bits of alignments.
@@ -32,11 +32,11 @@ def barcodes(options: GroupingOptions) -> Column:
 
 def sampled(fraction: float, seed: int) -> Column:
     """Keeps about this fraction of reads, by a hash of the name, so that reruns agree."""
-    return F.pmod(F.xxhash64("qname", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000)
+    return hashed_number(F.col("qname"), F.lit(str(seed))) < int(fraction * 2**52)
 
 
-def classified(reads: DataFrame, options: GroupingOptions, genes: DataFrame | None = None) -> DataFrame:
-    """reads plus umi, cell, gene, event and grouped.
+def classified(reads: DataFrame, options: GroupingOptions, genes: DataFrame | None = None, seen: Observation | None = None) -> DataFrame:
+    """reads plus umi, cell, gene and event. An observation counts the events while the reads pass.
 
     reads has the columns of an alignment (qname, flag, rname, pos 0-based, mapq, cigar, rnext, tlen,
     seq, tags); genes (gene, transcript) names the gene of each contig. event says what became of
@@ -83,7 +83,14 @@ def classified(reads: DataFrame, options: GroupingOptions, genes: DataFrame | No
     event = F.lit(KEPT)
     for test, name in reversed(rules):
         event = F.when(test, name).otherwise(event)
-    return found.withColumn("event", event).drop("_b", "_gene")
+    if not options.per_gene:
+        aligned = F.col("cigar").isNotNull() & (F.col("cigar") != "*")
+        event = F.when((event == KEPT) & ~aligned, "no alignment").otherwise(event)
+    found = found.withColumn("event", event).drop("_b", "_gene")
+    if seen is not None:
+        names = [KEPT, "no alignment", *dict.fromkeys(name for _, name in rules)]
+        found = found.observe(seen, *[F.count_if(F.col("event") == name).alias(name) for name in names])
+    return found
 
 
 def event_counts(found: DataFrame) -> DataFrame:
@@ -123,25 +130,36 @@ def umi_counts(reads: DataFrame, keys: list[str], umi: str = "umi") -> DataFrame
     return reads.groupBy(*keys, F.col(umi).alias("umi")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def preference(options: GroupingOptions) -> list[Column]:
-    """Which of several reads of one molecule stays: the best mapping quality, then the fewest
-    hits by the multimapping tag, then the first by name."""
-    order: list[Column] = [F.col("mapq").desc()]
+def preference(options: GroupingOptions) -> Column:
+    """Which of several reads of one molecule stays, as a value of which the least wins: the best mapping
+    quality, then the fewest hits by the multimapping tag, then the first by name."""
+    order: list[Column] = [-F.coalesce(F.col("mapq"), F.lit(-1))]
     if options.multimapping in ("NH", "X0"):
-        order.append(F.try_element_at(F.col("tags"), F.lit(options.multimapping)).cast("int").asc_nulls_last())
+        order.append(F.coalesce(F.try_element_at(F.col("tags"), F.lit(options.multimapping)).try_cast("int"), F.lit(2**31 - 1)))
     elif options.multimapping == "XT":
-        order.append((F.try_element_at(F.col("tags"), F.lit("XT")) == "U").desc_nulls_last())
-    return [*order, F.col("qname").asc()]
+        unique = F.try_element_at(F.col("tags"), F.lit("XT")) == "U"
+        order.append(F.when(unique, 0).when(~unique, 1).otherwise(2))
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, F.col("qname")])])
 
 
-def best_reads(reads: DataFrame, keys: list[str], order: list[Column], umi: str = "umi") -> DataFrame:
-    """One read of each bundle and barcode, the first in the order."""
-    place = Window.partitionBy(*keys, umi).orderBy(*order)
-    return reads.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
+def best_of_each(reads: DataFrame, keys: list[str], order: Column, columns: list[str], umi: str = "umi") -> DataFrame:
+    """keys, umi, n and read: of each bundle and barcode the number of reads and the first in the order,
+    a struct of the columns. One aggregation, combined before anything is shuffled."""
+    return reads.groupBy(*keys, F.col(umi).alias("umi")).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*columns), order).alias("read"))
 
 
-def multimapping_tag(reads: DataFrame, rows: int = 1001) -> str | None:
-    """The first of NH, X0, XT that every one of the first mapped reads has."""
-    head = reads.where(~_bit(F.col("flag"), UNMAPPED)).limit(rows)
+def multimapping_tags(reads: DataFrame, rows: int = 1001) -> list[str]:
+    """Those of NH, X0, XT that every one of the first mapped reads, in file order, has."""
+    mapped = reads.where(~_bit(F.col("flag"), UNMAPPED))
+    head = mapped.orderBy("ord").limit(rows) if "ord" in reads.columns else mapped
     every = head.agg(*[F.bool_and(F.map_contains_key("tags", F.lit(t))).alias(t) for t in ("NH", "X0", "XT")]).first()
-    return next((t for t in ("NH", "X0", "XT") if every[t]), None)
+    return [t for t in ("NH", "X0", "XT") if every[t]]
+
+
+def check_multimapping(reads: DataFrame, options: GroupingOptions) -> None:
+    """An error if the tag that is to tell multimapping reads isn't there; it names those that are."""
+    if options.multimapping is None:
+        return
+    there = multimapping_tags(reads)
+    if options.multimapping not in there:
+        raise ValueError(f"reads have no tag {options.multimapping} to detect multimapping; " + (f"they have {', '.join(there)}" if there else "nor any other: leave the detection out"))

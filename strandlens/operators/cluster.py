@@ -182,6 +182,12 @@ def _grouped(n_keys: int, method: str, threshold: int):
     return run
 
 
+def _joined(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """left and the further columns of right where the given columns agree, null with null."""
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in columns})
+    return left.join(other, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in columns], how).drop(*[f"_r_{c}" for c in columns])
+
+
 def _labelled(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """keys, umi, n, rep: the least (-n, umi) among a barcode and all from which edges (src, dst)
     lead to it. Labels spread by joins until none changes; each round is kept in the shared folder."""
@@ -189,8 +195,8 @@ def _labelled(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     now = checkpointed(nodes.select(*keys, "umi", "n", order.alias("label")))
     edges = checkpointed(edges)
     while True:
-        sent = edges.join(now.select(*keys, F.col("umi").alias("src"), "label"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("umi")).agg(F.min("label").alias("got"))
-        after = now.join(sent, [*keys, "umi"], "left").select(*keys, "umi", "n", F.least("label", "got").alias("label"), (F.col("got") < F.col("label")).alias("moved"))
+        sent = _joined(edges, now.select(*keys, F.col("umi").alias("src"), "label"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("umi")).agg(F.min("label").alias("got"))
+        after = _joined(now, sent, [*keys, "umi"], "left").select(*keys, "umi", "n", F.least("label", "got").alias("label"), (F.col("got") < F.col("label")).alias("moved"))
         after = checkpointed(after)
         if not after.where("moved").limit(1).count():
             return after.select(*keys, "umi", "n", F.col("label.u").alias("rep"))
@@ -202,7 +208,7 @@ def _relational(counts: DataFrame, keys: list[str], method: str, threshold: int)
         return counts.withColumn("rep", F.col("umi"))
     if method == "percentile":
         per = counts.groupBy(*keys).agg(F.median("n").alias("_median"), F.count(F.lit(1)).alias("_size"))
-        return counts.join(per, keys).where("n > _median / 100 or _size = 1").drop("_median", "_size").withColumn("rep", F.col("umi"))
+        return _joined(counts, per, keys).where("n > _median / 100 or _size = 1").drop("_median", "_size").withColumn("rep", F.col("umi"))
     pairs = near_pairs(counts, keys, "umi", threshold, extra=("n",), names=("src", "dst"))
     back = pairs.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("n_dst").alias("n_src"), F.col("n_src").alias("n_dst"), "distance")
     both = pairs.unionByName(back)
@@ -214,29 +220,35 @@ def _relational(counts: DataFrame, keys: list[str], method: str, threshold: int)
         return found
     place = Window.partitionBy(*keys, "rep").orderBy(F.col("n").desc(), "umi")
     ranked = checkpointed(found.withColumn("rk", F.row_number().over(place)))
-    first = both.join(ranked.select(*keys, F.col("umi").alias("src"), "rk"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("umi")).agg(F.min("rk").alias("near"))
-    need = ranked.join(first, [*keys, "umi"], "left").withColumn("need", F.least("rk", "near"))
+    first = _joined(both, ranked.select(*keys, F.col("umi").alias("src"), "rk"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("umi")).agg(F.min("rk").alias("near"))
+    need = _joined(ranked, first, [*keys, "umi"], "left").withColumn("need", F.least("rk", "near"))
     last = need.groupBy(*keys, "rep").agg(F.max("need").alias("last"))
-    lead = need.join(last, [*keys, "rep"]).withColumn("lead", F.when(F.col("rk") <= F.col("last"), F.col("rk")).otherwise(F.col("need")))
+    lead = _joined(need, last, [*keys, "rep"]).withColumn("lead", F.when(F.col("rk") <= F.col("last"), F.col("rk")).otherwise(F.col("need")))
     leads = ranked.select(*keys, "rep", F.col("rk").alias("lead"), F.col("umi").alias("_lead"))
-    return lead.join(leads, [*keys, "rep", "lead"]).select(*keys, "umi", "n", F.col("_lead").alias("rep"))
+    return _joined(lead, leads, [*keys, "rep", "lead"]).select(*keys, "umi", "n", F.col("_lead").alias("rep"))
 
 
-def cluster(counts: DataFrame, keys: list[str], method: str = "directional", threshold: int = 1, path: str = "auto", hot_bundle: int = HOT_BUNDLE) -> DataFrame:
+def cluster(counts: DataFrame, keys: list[str], method: str = "directional", threshold: int = 1, path: str = "auto", hot_bundle: int = HOT_BUNDLE, stored: bool = False) -> DataFrame:
     """keys, umi, n, rep of counts (keys, umi, n): each barcode with its group's representative,
-    the most frequent one, ties to the first by letters. Barcodes a method drops are left out.
+    the most frequent one, ties to the first by letters. Barcodes a method drops are left out. Null
+    keys are a bundle like any other. The methods that compare barcodes need those of a bundle to
+    have one length: others are an error, whatever the bundle's size.
 
     path: ``grouped``, ``relational``, or ``auto``, which keeps the counts in the shared folder,
     counts barcodes per bundle and takes the relational path for bundles of more than hot_bundle.
+    stored: the counts are a kept table already.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
     counts = counts.select(*keys, "umi", F.col("n").cast("long").alias("n"))
-    if path == "relational" or method == "unique":
+    if method == "unique":
         return _relational(counts, keys, method, threshold)
+    if path != "grouped" and not stored:
+        counts = checkpointed(counts)  # looked at more than once; the reads behind it are scanned once
+    if path == "relational":
+        return _relational(_one_length(counts, keys, method), keys, method, threshold)
     hot = None
     if path == "auto":
-        counts = checkpointed(counts)  # looked at twice; the reads behind it are scanned once
         sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > hot_bundle).select(*keys)
         if sizes.limit(1).count():
             same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
@@ -246,7 +258,16 @@ def cluster(counts: DataFrame, keys: list[str], method: str = "directional", thr
     types = {f.name: f.dataType.simpleString() for f in counts.schema}
     dealt = counts.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, F.col("n").desc(), "umi")
     out = dealt.mapInArrow(_grouped(len(keys), method, threshold), ", ".join(f"`{c}` {types[c]}" for c in counts.columns) + ", rep string")
-    return out.unionByName(_relational(hot, keys, method, threshold)) if hot is not None else out
+    return out.unionByName(_relational(_one_length(hot, keys, method), keys, method, threshold)) if hot is not None else out
+
+
+def _one_length(counts: DataFrame, keys: list[str], method: str) -> DataFrame:
+    """counts, after an error if barcodes of a bundle differ in length, as in one bundle in memory."""
+    if method in ("cluster", "directional", "adjacency"):
+        sizes = counts.groupBy(*keys).agg(F.min(F.length("umi")).alias("short"), F.max(F.length("umi")).alias("long"))
+        if sizes.where("short <> long").limit(1).count():
+            raise ValueError("barcodes of a bundle must have the same length")
+    return counts
 
 
 def with_group_sizes(groups: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import GroupingOptions
 from ..functions.barcodes import with_tags
 from ..session import checkpointed
-from .bundles import KEPT, best_reads, classified, keyed, preference, umi_counts
+from .bundles import KEPT, best_of_each, classified, keyed, preference, umi_counts
 from .cluster import cluster, with_group_sizes
+from .order import numbered
 
 
 def _whitelisted(groups: DataFrame, options: GroupingOptions) -> DataFrame:
@@ -19,9 +20,9 @@ def _whitelisted(groups: DataFrame, options: GroupingOptions) -> DataFrame:
     return groups.where(F.col("rep").isin(*options.umi_whitelist)) if options.umi_whitelist else groups.where("false")
 
 
-def groups_of(reads: DataFrame, options: GroupingOptions, genes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+def groups_of(reads: DataFrame, options: GroupingOptions, genes: DataFrame | None = None, seen: Observation | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """The grouped reads with keys, the groups (keys, umi, n, rep) and the names of the keys."""
-    kept, keys = keyed(classified(reads, options, genes), options)
+    kept, keys = keyed(classified(reads, options, genes, seen), options)
     groups = cluster(umi_counts(kept, keys), keys, options.method, options.threshold, options.path, options.hot_bundle)
     return kept, _whitelisted(groups, options), keys
 
@@ -38,13 +39,19 @@ def _renamed(df: DataFrame, columns: list[str]) -> DataFrame:
 def dedup(reads: DataFrame, options: GroupingOptions, genes: DataFrame | None = None) -> DataFrame:
     """One read per molecule, with the alignment's own columns; with ``paired`` also the mates of
     the kept reads, and reads that a policy of ``output`` passes on."""
-    kept, groups, keys = groups_of(reads, options, genes)
-    best = best_reads(kept, keys, preference(options))
+    return deduplicated(reads, options, genes)[0]
+
+
+def deduplicated(reads: DataFrame, options: GroupingOptions, genes: DataFrame | None = None, seen: Observation | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The reads that dedup keeps, the groups (keys, umi, n, rep) and the names of the keys."""
+    kept, keys = keyed(classified(reads, options, genes, seen), options)
+    best = checkpointed(best_of_each(kept, keys, preference(options), reads.columns))  # one row per barcode from here on
+    groups = _whitelisted(cluster(best.select(*keys, "umi", "n"), keys, options.method, options.threshold, options.path, options.hot_bundle, stored=True), options)
     reps = _renamed(groups.where("umi = rep").select(*keys, F.col("umi")), [*keys, "umi"])
-    chosen = best.join(reps, _same([*keys, "umi"]), "left_semi").select(*reads.columns)
-    if not options.paired:
-        return chosen
-    return chosen.unionByName(mates(chosen, reads)).unionByName(passed_on(reads, options, genes))
+    chosen = best.join(reps, _same([*keys, "umi"]), "left_semi").select("read.*")
+    if options.paired:
+        chosen = chosen.unionByName(mates(chosen, reads)).unionByName(passed_on(reads, options, genes))
+    return chosen, groups, keys
 
 
 def passed_on(reads: DataFrame, options: GroupingOptions, genes: DataFrame | None = None) -> DataFrame:
@@ -61,21 +68,11 @@ def mates(kept: DataFrame, reads: DataFrame) -> DataFrame:
     return found.dropDuplicates(["qname", "rname", "pos"])
 
 
-def dense_ids(df: DataFrame, order: list, name: str) -> DataFrame:
-    """df plus a number from 0 in the given order, without a window over the whole table: sorted in
-    ranges, numbered inside each, and shifted by the rows of the ranges before."""
-    ranged = checkpointed(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    shifts = sizes.select("_part", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).alias("_shift"))
-    return ranged.join(F.broadcast(shifts), part == F.col("_part")).withColumn(name, F.col("_shift") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_n", "_shift")
-
-
-def group(reads: DataFrame, options: GroupingOptions, genes: DataFrame | None = None) -> DataFrame:
+def group(reads: DataFrame, options: GroupingOptions, genes: DataFrame | None = None, seen: Observation | None = None) -> DataFrame:
     """All grouped reads with umi_count, final_umi, final_umi_count, unique_id and the tags UG and
     (by ``umi_group_tag``) BX set. unique_id counts groups from 0 by contig, position and keys, in a
     bundle by the representatives' counts, ties by first occurrence if reads have ord."""
-    kept, groups, keys = groups_of(reads, options, genes)
+    kept, groups, keys = groups_of(reads, options, genes, seen)
     groups = with_group_sizes(groups, keys)
     heads = groups.where("umi = rep").select(*keys, "rep", F.col("n").alias("rep_n"), "group_n")
     ties: list[str] = ["rep"]
@@ -85,8 +82,8 @@ def group(reads: DataFrame, options: GroupingOptions, genes: DataFrame | None =
         first = top.join(seen, _same([*keys, "umi"])).groupBy(*[F.col(k).alias(f"_{k}") for k in [*keys, "rep"]]).agg(F.min("first_ord").alias("first_ord"))
         heads = heads.join(first, _same([*keys, "rep"])).select(*keys, "rep", "rep_n", "group_n", "first_ord")
         ties = ["first_ord", "rep"]
-    numbered = dense_ids(heads, [*[F.col(k).asc_nulls_first() for k in keys], F.col("rep_n").desc(), *ties], "unique_id")
-    ids = _renamed(numbered.select(*keys, "rep", "unique_id", "group_n"), [*keys, "rep"])
+    ids = numbered(heads, [*[F.col(k).asc_nulls_first() for k in keys], F.col("rep_n").desc(), *ties], "unique_id")
+    ids = _renamed(ids.select(*keys, "rep", "unique_id", "group_n"), [*keys, "rep"])
     labels = groups.select(*keys, "umi", "n", "rep").join(ids, _same([*keys, "rep"])).select(*keys, "umi", F.col("n").alias("umi_count"), F.col("rep").alias("final_umi"), F.col("group_n").alias("final_umi_count"), "unique_id")
     found = kept.join(_renamed(labels, [*keys, "umi"]), _same([*keys, "umi"]))
     tagged = with_tags(F.coalesce(F.col("tags"), F.create_map().cast("map<string,string>")), UG=F.col("unique_id"), **{options.umi_group_tag: F.col("final_umi")})
@@ -100,9 +97,9 @@ def group_table(labelled: DataFrame, options: GroupingOptions) -> DataFrame:
     return labelled.select(F.col("qname").alias("read_id"), F.col("rname").alias("contig"), position.alias("position"), gene.alias("gene"), "umi", "umi_count", "final_umi", "final_umi_count", "unique_id")
 
 
-def count(reads: DataFrame, options: GroupingOptions, genes: DataFrame | None = None) -> DataFrame:
+def count(reads: DataFrame, options: GroupingOptions, genes: DataFrame | None = None, seen: Observation | None = None) -> DataFrame:
     """gene[, cell], count: molecules of each gene, summed over its contigs."""
-    _, groups, _ = groups_of(reads, options, genes)
+    _, groups, _ = groups_of(reads, options, genes, seen)
     return molecules(groups, ["gene", "cell"] if options.per_cell else ["gene"])
 
 
@@ -110,10 +107,13 @@ def molecules(groups: DataFrame, by: list[str]) -> DataFrame:
     return groups.where("umi = rep").groupBy(*by).agg(F.count(F.lit(1)).alias("count"))
 
 
-def wide(counts: DataFrame, cells: list[str] | None = None) -> DataFrame:
+def wide(counts: DataFrame, cells: list[str] | None = None, limit: int = 20_000) -> DataFrame:
     """gene and one column per cell, 0 where a gene has no molecule. The cells are columns, so they
-    are listed on the driver, in order, unless given."""
-    cells = cells if cells is not None else sorted(r[0] for r in counts.select("cell").distinct().collect())
+    are listed on the driver, in order, unless given; more than ``limit`` are an error."""
+    if cells is None:
+        cells = sorted(r[0] for r in counts.select("cell").distinct().limit(limit + 1).collect())
+        if len(cells) > limit:
+            raise ValueError(f"more than {limit} cells don't fit into columns; use the long format")
     return counts.groupBy("gene").pivot("cell", cells).agg(F.first("count")).na.fill(0)
 
 
@@ -135,4 +135,4 @@ def bundle_summary(counts: DataFrame, keys: list[str]) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("positions"), F.avg("umis").alias("mean_umis"), F.max("umis").alias("max_umis"))
 
 
-__all__ = ["KEPT", "bundle_summary", "count", "count_table", "dedup", "dense_ids", "group", "group_table", "groups_of", "mates", "molecules", "passed_on", "wide"]
+__all__ = ["KEPT", "bundle_summary", "count", "count_table", "dedup", "deduplicated", "group", "group_table", "groups_of", "mates", "molecules", "passed_on", "wide"]

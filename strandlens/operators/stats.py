@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.barcodes import hashed_number
 from ..functions.distance import mean_distance
+from .order import numbered
 
 
 def after_grouping(groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,10 +49,10 @@ def null_distances(before: DataFrame, keys: list[str], seed: int = 0) -> DataFra
     whole table. Draws are hashed from bundle and place, so a rerun gives the same ones."""
     pool = before.groupBy("umi").agg(F.sum("n").alias("w"))
     total = pool.agg(F.sum("w")).first()[0] or 0
-    ends = pool.selectExpr("umi", "sum(w) over (order by umi) as until", "w")  # one row per distinct barcode
-    spans = ends.select(F.col("umi").alias("drawn"), (F.col("until") - F.col("w")).alias("begin"), F.col("until").alias("end"))
+    spans = numbered(pool, [F.col("umi")], "_k", "w", "begin").select(F.col("umi").alias("drawn"), "begin", (F.col("begin") + F.col("w")).alias("end"))
     width = max(1, total // 4096)
     cells = spans.select("drawn", "begin", "end", F.explode(F.sequence(F.expr(f"begin div {width}"), F.expr(f"(end - 1) div {width}"))).alias("cell"))
-    draws = before.select(*keys, F.pmod(F.xxhash64(*keys, "umi", F.lit(seed)), F.lit(max(1, total))).alias("at")).withColumn("cell", F.expr(f"at div {width}"))
+    draw = hashed_number(*[F.col(k).cast("string") for k in keys], F.col("umi"), F.lit(str(seed))) % max(1, total)
+    draws = before.select(*keys, draw.alias("at")).withColumn("cell", F.expr(f"at div {width}"))
     drawn = draws.join(cells, "cell").where("begin <= at and at < end").select(*keys, F.col("drawn").alias("umi"))
     return mean_distance(drawn, keys).groupBy(distance_bin(F.col("distance")).alias("edit_distance")).agg(F.count(F.lit(1)).alias("unique_null"))

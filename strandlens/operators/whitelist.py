@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import WhitelistOptions
 from ..functions.distance import hamming, matches_prefix, slices, unique_near
+from .order import numbered
 
 
 def cell_counts(extracted: DataFrame, method: str = "reads") -> DataFrame:
@@ -23,8 +24,8 @@ def count_histogram(counts: DataFrame) -> list[tuple[int, int]]:
 
 def knee_curve(counts: DataFrame) -> DataFrame:
     """cell, n, rank, total: barcodes by count, most frequent first, with the running total."""
-    order = Window.orderBy(F.col("n").desc(), "cell")
-    return counts.select("cell", "n", F.row_number().over(order).alias("rank"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+    ranked = numbered(counts.select("cell", "n"), [F.col("n").desc(), F.col("cell")], "rank", "n", "before")
+    return ranked.select("cell", "n", (F.col("rank") + 1).cast("int").alias("rank"), (F.col("before") + F.col("n")).alias("total"))
 
 
 class _Curve:
@@ -152,22 +153,40 @@ def threshold_table(histogram: list[tuple[int, int]], options: WhitelistOptions)
 
 def near_heavier(cells: DataFrame, errors: int = 1) -> DataFrame:
     """cell, other, substitution: each cell and every heavier one of which a prefix is within the
-    errors. Candidates share one of errors + 1 slices of the cell, moved by up to errors places, so
-    only barcodes with a common part meet."""
-    order = Window.orderBy("n", F.col("cell").desc())
-    ranked = cells.withColumn("rk", F.row_number().over(order))
+    errors. One of errors + 1 slices of the cell stands in the other one, moved by up to errors
+    places, so only barcodes with a common part meet: the other one offers, for each length that a
+    cell may have, its parts at the slices' places and up to errors beside them."""
     part = F.explode(slices(F.col("cell"), errors)).alias("s")
-    left = ranked.select("cell", "rk", F.length("cell").alias("len"), part).select("cell", "rk", "len", "s.slice", "s.part", F.length("s.part").alias("width"))
-    at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("cell"), F.lit(1)))).alias("at")
-    widths = F.explode(F.sequence(F.lit(0), F.length("cell"))).alias("width")
-    right = ranked.select(F.col("cell").alias("other"), F.col("rk").alias("ork"), "cell", at).select("other", "ork", "cell", "at", widths)
-    right = right.where("at + width - 1 <= length(cell)").select("other", "ork", F.substring("cell", F.col("at"), F.col("width")).alias("part")).distinct()
-    close = left.join(right, "part").where((F.col("rk") < F.col("ork")) & (F.abs(F.length("cell") - F.length("other")) <= errors)).select("cell", "other").distinct()
+    left = cells.select("cell", "n", F.length("cell").alias("len"), part).select("cell", "n", "len", "s.slice", "s.part")
+    lengths = F.explode(F.sequence(F.greatest(F.length("cell") - errors, F.lit(0)), F.length("cell") + errors)).alias("len")
+    k = errors + 1
+    begin = lambda i: F.floor(F.col("len") * i / k).cast("int")
+    spots = F.explode(F.array(*[F.struct(F.lit(i).alias("slice"), (begin(i) + 1).alias("at"), (begin(i + 1) - begin(i)).alias("width")) for i in range(k)])).alias("s")
+    moved = F.explode(F.sequence(F.lit(-errors), F.lit(errors))).alias("by")
+    right = cells.select(F.col("cell").alias("other"), F.col("n").alias("on"), "cell", lengths).select("other", "on", "len", spots).select("other", "on", "len", "s.*", moved).where("at + by >= 1")
+    right = right.select("other", "on", "len", "slice", F.substring("other", F.col("at") + F.col("by"), F.col("width")).alias("part")).distinct()
+    heavier = (F.col("on") > F.col("n")) | ((F.col("on") == F.col("n")) & (F.col("other") < F.col("cell")))
+    close = left.join(right, ["len", "slice", "part"]).where(heavier & (F.abs(F.length("cell") - F.length("other")) <= errors)).select("cell", "other").distinct()
     found = close.where(matches_prefix(F.col("cell"), F.col("other"), errors))
     same = hamming(F.col("cell"), F.substring("other", F.lit(1), F.length("cell"))) <= errors
     return found.withColumn("substitution", F.coalesce(same, F.lit(False)))
 
 
+def density_curve(histogram: list[tuple[int, int]], points: int = 10_000) -> list[tuple[float, float, bool]]:
+    """(log10 count, density, whether it is a local minimum): what the density method's plot shows."""
+    grid, d = density(histogram, points)
+    low = np.concatenate(([False], (d[1:-1] < d[:-2]) & (d[1:-1] < d[2:]), [False]))
+    return [(float(x), float(y), bool(m)) for x, y, m in zip(grid, d, low, strict=True)]
+
+
+def count_curve(counts: DataFrame, cells: DataFrame | None) -> DataFrame:
+    """rank, n, taken: counts by rank, and whether they are cells'."""
+    taken = counts.select("cell").where("false") if cells is None else cells.select("cell")
+    marked = counts.join(taken.withColumn("_taken", F.lit(True)), "cell", "left")
+    ranked = numbered(marked, [F.col("n").desc(), F.col("cell")], "rank")
+    return ranked.select((F.col("rank") + 1).alias("rank"), "n", F.col("_taken").isNotNull().alias("taken"))
+
+
 def above_knee(cells: DataFrame, errors: int = 1, resolve: str = "discard") -> tuple[DataFrame, DataFrame]:
     """(cells that stay, cell-to-true-cell corrections): a cell that looks like an error of a heavier
     one goes; with ``correct`` it is mapped to it if it is the only one and differs by

@@ -62,8 +62,11 @@ def as_sam_lines(reads: DataFrame) -> DataFrame:
 
 def sorted_by_coordinate(reads: DataFrame, names: list[str]) -> DataFrame:
     """By contig in the header's order, then position; unmapped reads last."""
-    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("rname")) if names else F.lit(0)
-    return reads.orderBy(F.when(place == 0, F.lit(len(names) + 1)).otherwise(place), "pos", "ord") if names else reads.orderBy("rname", "pos", "ord")
+    order = ["pos", *(["ord"] if "ord" in reads.columns else [])]
+    if not names:
+        return reads.orderBy("rname", *order)
+    places = reads.sparkSession.createDataFrame(list({n: i for i, n in enumerate(names)}.items()), "_contig string, _place int")  # a row per contig
+    return reads.join(F.broadcast(places), F.col("rname") == F.col("_contig"), "left").orderBy(F.col("_place").asc_nulls_last(), *order).drop("_contig", "_place")
 
 
 def write_sam(reads: DataFrame, path: str, header: list[str], coordinate_sort: bool = True) -> None:

@@ -109,6 +109,25 @@ def test_null_keys_and_empty_tables(spark):
     assert cluster(df.where("false"), ["k"]).count() == 0
 
 
+@pytest.mark.parametrize("method", METHODS)
+def test_paths_agree_on_odd_tables(spark, method):
+    """Null keys, one barcode alone, equal counts: the same from both paths."""
+    rows = [(None, "AAAA", 5), (None, "AAAT", 1), (None, "AATT", 1), (None, "GGGG", 900), ("k", "AAAT", 1), ("m", "ACGT", 3), ("m", "ACGA", 3), ("m", "TTTT", 1)]
+    df = spark.createDataFrame(rows, "k string, umi string, n long")
+    grouped_, relational, mixed = ({tuple(r) for r in cluster(df, ["k"], method, path=path, hot_bundle=hot).collect()} for path, hot in (("grouped", 9), ("relational", 9), ("auto", 2)))
+    assert grouped_ == relational == mixed and len(grouped_) >= 6 and any(r[0] is None for r in grouped_)
+
+
+@pytest.mark.parametrize("path", ["grouped", "relational", "auto"])
+@pytest.mark.parametrize("method", ["cluster", "directional", "adjacency"])
+def test_mixed_lengths_raise_on_every_path(spark, method, path):
+    df = spark.createDataFrame([("k", "AAAA", 5), ("k", "AAA", 1), ("l", "C", 1)], "k string, umi string, n long")
+    with pytest.raises(Exception, match="same length"):
+        cluster(df, ["k"], method, path=path, hot_bundle=1).collect()
+    fine = df.where("umi <> 'AAA'")
+    assert cluster(fine, ["k"], method, path=path).count() == 2
+
+
 def test_pairs_join_is_exact(spark):
     from strandlens.functions.distance import near_pairs
 
