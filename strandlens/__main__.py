@@ -11,7 +11,7 @@ import sys
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .config import ExtractOptions, GroupingOptions, WhitelistOptions
@@ -38,7 +38,6 @@ def _grouping(p: argparse.ArgumentParser) -> None:
     p.add_argument("--mapping-quality", type=int, default=0)
     p.add_argument("--chrom")
     p.add_argument("--subset", type=float)
-    p.add_argument("--random-seed", dest="seed", type=int, default=0)
     p.add_argument("--multimapping-detection-method", dest="multimapping", choices=("NH", "X0", "XT"))
     p.add_argument("--unmapped-reads", choices=("discard", "use", "output"), default="discard")
     p.add_argument("--chimeric-pairs", choices=("discard", "use", "output"), default="use")
@@ -56,6 +55,7 @@ def _grouping(p: argparse.ArgumentParser) -> None:
     p.add_argument("--umi-whitelist-paired")
     p.add_argument("--in-sam", action="store_true")
     p.add_argument("--out-bam", action="store_true", help="write BAM, not SAM")
+    p.add_argument("--out-sam", action="store_true", help="write SAM, as is done without --out-bam")
     p.add_argument("--no-sort-output", action="store_true")
 
 
@@ -81,6 +81,17 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-S", "--stdout", dest="target", required=True)
         p.add_argument("--cores", type=int, default=0, help="cores of a local session; 0: the session of spark-submit")
         p.add_argument("--timeit", help="append command and seconds to this file")
+        p.add_argument("--timeit-name", default="all", help="name of the line in that file")
+        p.add_argument("--timeit-header", action="store_true", help="write a header line first")
+        p.add_argument("-L", "--log", help="file of the log, else standard error")
+        p.add_argument("-E", "--error", help="file of warnings and errors")
+        p.add_argument("--log2stderr", action="store_true", help="log to standard error also")
+        p.add_argument("-v", "--verbose", dest="loglevel", type=int, default=1, help="0: warnings only")
+        p.add_argument("--compress", choices=("none", "gzip"), default="none", help="pack FASTQ outputs")
+        p.add_argument("--compresslevel", type=int, choices=range(1, 10), default=6, help="level of packed outputs")
+        p.add_argument("--temp-dir", help="folder for intermediate tables, which all machines share")
+        p.add_argument("--random-seed", dest="seed", type=int, default=0)
+        p.add_argument("--help-extended", action="help", help="the same as --help")
         return p
 
     for name in ("dedup", "group", "count"):
@@ -102,6 +113,7 @@ def parser() -> argparse.ArgumentParser:
     ex.add_argument("--reconcile-pairs", dest="reconcile", action="store_true")
     ex.add_argument("--either-read-resolve", choices=("discard", "quality"), default="discard")
     ex.add_argument("--read2-out")
+    ex.add_argument("--read2-stdout", action="store_true", help="write read 2 to --stdout, and no read 1")
     ex.add_argument("--quality-filter-threshold", type=int)
     ex.add_argument("--quality-filter-mask", type=int)
     ex.add_argument("--quality-encoding", choices=("phred33", "phred64", "solexa"), default="phred33")
@@ -154,35 +166,38 @@ def _grouped(spark: SparkSession, args: argparse.Namespace) -> None:
         more["gene_tag"] = args.gene_tag
     options = _options(GroupingOptions, args, umi_whitelist=listed, **more)
     genes = tables.gene_map(spark, args.genes, al.contigs(header) or None) if args.genes else None
-    for r in bundles.event_counts(bundles.classified(reads, options, genes)).orderBy("event").collect():
-        log.info("%s: %d", r["event"], r["n"])
+    bundles.check_multimapping(reads, options)
+    seen = Observation("events")
     if args.command == "dedup":
         if args.output_stats and options.ignore_umi:
             raise ValueError("output-stats and ignore-umi exclude each other")
-        _write(molecules.dedup(reads, options, genes), args, header, not args.no_sort_output)
+        kept, groups, keys = molecules.deduplicated(reads, options, genes, seen)
+        _write(kept, args, header, not args.no_sort_output)
         if args.output_stats:
-            _, groups, keys = molecules.groups_of(reads, options, genes)
             before, after = groups.select(*keys, "umi", "n"), stats.after_grouping(groups, keys)
             distances = stats.edit_distances(before, after, keys).join(stats.null_distances(before, keys, options.seed), "edit_distance", "full").na.fill(0)
             for table, name in ((stats.per_position_counts(before, after), "per_umi_per_position"), (stats.per_umi(before, after), "per_umi"), (distances, "edit_distance")):
                 tables.write_tsv(table, f"{args.output_stats}_{name}")
     elif args.command == "group":
-        labelled = molecules.group(reads, options, genes)
+        labelled = molecules.group(reads, options, genes, seen)
         if args.group_out:
             tables.write_tsv(molecules.group_table(labelled, options), args.group_out)
         if args.output_bam or not args.group_out:
             _write(labelled.select(*reads.columns), args, header, not args.no_sort_output)
     else:
-        found = molecules.count(reads, options, genes)
+        found = molecules.count(reads, options, genes, seen)
         wide = options.per_cell and args.wide_format_cell_counts
         tables.write_tsv(molecules.wide(found).orderBy("gene") if wide else found.orderBy(*[c for c in found.columns if c != "count"]), args.target)
+    for event, n in sorted(seen.get.items()):
+        if n:
+            log.info("%s: %d", event, n)
 
 
-def _pair_input(spark: SparkSession, args: argparse.Namespace, reconcile: bool = False) -> DataFrame:
+def _pair_input(spark: SparkSession, args: argparse.Namespace, reconcile: bool = False, names_differ: bool = False) -> DataFrame:
     one = fastq.read_fastq(spark, args.source)
     if args.read2_in:
-        return extract.paired(one, fastq.read_fastq(spark, args.read2_in), reconcile)
-    return one.select("ord", *[F.col(c).alias(f"{c}1") for c in ("identifier", "seq", "quals")])
+        return extract.paired(one, fastq.read_fastq(spark, args.read2_in), reconcile, names_differ)
+    return one.select("file_no", "ord", *[F.col(c).alias(f"{c}1") for c in ("identifier", "seq", "quals")])
 
 
 def _extract(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -194,25 +209,41 @@ def _extract(spark: SparkSession, args: argparse.Namespace) -> None:
     for r in extract.events(rows).orderBy("event").collect():
         log.info("%s: %d", r["event"], r["n"])
     good, bad = rows.where(F.col("event") == extract.KEPT), rows.where(F.col("event") != extract.KEPT)
-    for part, paths in ((good, (None if args.read2_only and not args.read2_out else args.target, args.read2_out)), (bad, (args.filtered_out, args.filtered_out2))):
-        for path, which in zip(paths, "12", strict=True):
-            if path and f"seq{which}" in rows.columns:
-                fastq.write_fastq(part, path, which)
+    outputs = (None, args.target) if args.read2_stdout else (None if args.read2_only and not args.read2_out else args.target, args.read2_out)
+    for part, paths in ((good, outputs), (bad, (args.filtered_out, args.filtered_out2))):
+        _write_pairs(part, paths, args)
     if args.umi_correct_log and "umi_corrected" in rows.columns:
         tables.write_tsv(extract.umi_correction_log(rows).orderBy("umi"), args.umi_correct_log)
     rows.unpersist()
 
 
+def _write_pairs(part: DataFrame, paths: tuple, args: argparse.Namespace) -> None:
+    for path, which in zip(paths, "12", strict=True):
+        if path and f"seq{which}" in part.columns:
+            fastq.write_fastq(part, path, which, None if args.compress == "none" else args.compress, level=args.compresslevel)
+
+
 def _whitelist(spark: SparkSession, args: argparse.Namespace) -> None:
-    found = extract.barcodes_only(_pair_input(spark, args), _options(ExtractOptions, args, method=args.method))
-    if args.subset_reads:
-        found = found.where(F.col("ord") < args.subset_reads)
+    given = _pair_input(spark, args, names_differ=True)
+    if args.subset_reads and args.read2_in:
+        given = extract.first_reads(given, args.subset_reads + 1)  # pairs that are read
+    rows = extract.barcode_rows(given, _options(ExtractOptions, args, method=args.method, subset_reads=None))
+    if args.filtered_out or args.filtered_out2:
+        _write_pairs(rows.where(F.col("event").isNotNull()), (args.filtered_out, args.filtered_out2), args)
+    found = rows.where(F.col("event").isNull()).select(*extract.place(rows), "cell", "umi")
+    if args.subset_reads and not args.read2_in:
+        found = extract.first_found(found, args.subset_reads + 1)  # reads that have a barcode
     options = _options(WhitelistOptions, args, method=args.count_method, subset_reads=args.subset_reads)
     counts = whitelist.cell_counts(found, options.method).cache()
     if args.plot_prefix:
         tables.write_tsv(whitelist.knee_curve(counts), f"{args.plot_prefix}_cell_barcode_knee")
-        rows = whitelist.threshold_table(whitelist.count_histogram(counts), options)
-        tables.write_tsv(spark.createDataFrame(rows, "count long, action string"), f"{args.plot_prefix}_cell_thresholds")
+        if not options.cell_number:
+            rows = whitelist.threshold_table(whitelist.count_histogram(counts), options)
+            tables.write_tsv(spark.createDataFrame(rows, "count long, action string"), f"{args.plot_prefix}_cell_thresholds")
+        if options.knee_method == "density":
+            curve = whitelist.density_curve(whitelist.count_histogram(counts))
+            tables.write_tsv(spark.createDataFrame(curve, "log10_count double, density double, minimum boolean"), f"{args.plot_prefix}_cell_barcode_count_density")
+        tables.write_tsv(whitelist.count_curve(counts, whitelist.select_cells(counts, options)).orderBy("rank"), f"{args.plot_prefix}_cell_barcode_counts")
     out = whitelist.whitelist(found, options)
     if out is None:
         log.warning("no threshold was found; no whitelist is written")
@@ -234,20 +265,46 @@ def _pairs(spark: SparkSession, args: argparse.Namespace) -> None:
     _write(rows.orderBy("ord"), args, header, coordinate_sort=False)
 
 
+def _handlers(args: argparse.Namespace) -> list[logging.Handler]:
+    """Where the log goes: a file or standard error, and warnings also to a file of their own."""
+    handlers: list[logging.Handler] = [logging.FileHandler(args.log)] if args.log else []
+    if not args.log or args.log2stderr:
+        handlers.append(logging.StreamHandler(sys.stderr))
+    if args.error:
+        handlers.append(logging.FileHandler(args.error))
+        handlers[-1].setLevel(logging.WARNING)
+    for handler in handlers:
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(handler)
+    log.setLevel(logging.INFO if args.loglevel else logging.WARNING)
+    return handlers
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
-    logging.basicConfig(level=logging.INFO, stream=sys.stderr, format="%(asctime)s %(levelname)s %(message)s")
+    handlers = _handlers(args)
     began = time.time()
     log.info("arguments: %s", vars(args))
     if spark is None:
         spark = session(args.cores) if args.cores else SparkSession.builder.getOrCreate()
+    if args.temp_dir:
+        spark.sparkContext.setCheckpointDir(args.temp_dir)
     run = {"extract": _extract, "whitelist": _whitelist, "count_tab": _count_tab, "pairs": _pairs}.get(args.command, _grouped)
-    run(spark, args)
-    log.info("done in %.1f s", time.time() - began)
+    try:
+        run(spark, args)
+        log.info("done in %.1f s", time.time() - began)
+    except Exception as error:
+        log.error("%s", error)
+        raise
+    finally:
+        for handler in handlers:
+            log.removeHandler(handler)
+            handler.close()
     if args.timeit:
         with open(args.timeit, "a", encoding="utf-8") as f:
-            f.write(f"{args.command}\t{time.time() - began:.3f}\n")
-
+            if args.timeit_header:
+                f.write("command\tname\tseconds\n")
+            f.write(f"{args.command}\t{args.timeit_name}\t{time.time() - began:.3f}\n")
 
 
 if __name__ == "__main__":

@@ -26,7 +26,7 @@ def test_dedup_with_statistics(spark, sam, tmp_path):
     assert [x.split("\t")[0] for x in lines(tmp_path / "out")] == ["r1_AAAA", "r3_AAAA"]
     assert (tmp_path / "out" / "header.sam").read_text().startswith("@HD")
     assert "AAAA\t1\t2\t2\t1\t2\t3" in lines(tmp_path / "stats_per_umi")
-    assert (tmp_path / "time").read_text().startswith("dedup\t")
+    assert (tmp_path / "time").read_text().startswith("dedup\tall\t")
 
 
 def test_group_and_count(spark, sam, tmp_path):
@@ -56,6 +56,34 @@ def test_whitelist_then_extract(spark, tmp_path):
     assert fastq.read_fastq(spark, str(tmp_path / "bad" / "part-*")).count() == 1
 
 
+def test_whitelist_writes_rejected_reads_and_counts_matches(spark, tmp_path):
+    """Reads without a barcode go to --filtered-out; --subset-reads counts those that have one, pairs
+    may differ in name, and the density's curve and counts are written."""
+    rng = random.Random(2)
+    umi = lambda: "".join(rng.choice("ACGT") for _ in range(4))
+    cells = ["AAAA"] * 40 + ["CCCC"] * 30 + ["TTTT"] * 2 + ["GGTT"]
+    good = [f"@r{i}\n{c}{umi()}AC\n+\n{'I' * 10}\n" for i, c in enumerate(cells)]
+    bad = [f"@b{i}\nGGGGGGGGGG\n+\n{'I' * 10}\n" for i in range(5)]
+    (tmp_path / "r.fastq").write_text("".join(bad + good))
+    (tmp_path / "s.fastq").write_text("".join(x.replace("@", "@other.") for x in bad + good))
+    pattern = ["--extract-method", "regex", "-p", "(?P<cell_1>.{4})(?P<umi_1>.{4})AC"]
+    main(["whitelist", "-I", str(tmp_path / "r.fastq"), "-S", str(tmp_path / "w"), *pattern, "--set-cell-number", "1", "--filtered-out", str(tmp_path / "f"), "--subset-reads", "50", "--plot-prefix", str(tmp_path / "p"), "--log", str(tmp_path / "log")], spark)
+    assert fastq.read_fastq(spark, str(tmp_path / "f")).count() == 5 and "done in" in (tmp_path / "log").read_text()
+    assert lines(tmp_path / "w") == ["AAAA\t\t40\t"]
+    assert lines(tmp_path / "p_cell_barcode_counts") == ["1\t40\ttrue", "2\t11\tfalse", "rank\tn\ttaken"]
+    main(["whitelist", "-I", str(tmp_path / "r.fastq"), "--read2-in", str(tmp_path / "s.fastq"), "-S", str(tmp_path / "w2"), *pattern, "--set-cell-number", "1", "--filtered-out2", str(tmp_path / "f2")], spark)
+    assert lines(tmp_path / "w2") == ["AAAA\t\t40\t"]
+    assert {r.identifier for r in fastq.read_fastq(spark, str(tmp_path / "f2")).collect()} == {f"other.b{i}" for i in range(5)}
+
+
+def test_read2_to_stdout_packed(spark, tmp_path):
+    (tmp_path / "1.fastq").write_text("@a\nACGTAC\n+\nIIIIII\n")
+    (tmp_path / "2.fastq").write_text("@a\nGGG\n+\nIII\n")
+    main(["extract", "-I", str(tmp_path / "1.fastq"), "--read2-in", str(tmp_path / "2.fastq"), "--read2-stdout", "-S", str(tmp_path / "o"), "-p", "NNNN", "--compress", "gzip", "--compresslevel", "9"], spark)
+    assert [(r.identifier, r.seq) for r in fastq.read_fastq(spark, str(tmp_path / "o")).collect()] == [("a_ACGT", "GGG")]
+    assert list((tmp_path / "o").glob("part-*.gz"))
+
+
 def test_bam_out_and_in(spark, sam, tmp_path):
     main(["dedup", "-I", sam, "-S", str(tmp_path / "bam"), "--out-bam"], spark)
     main(["dedup", "-I", str(tmp_path / "bam"), "-S", str(tmp_path / "sam")], spark)
