@@ -16,7 +16,11 @@ from ..functions import barcodes as bc
 from ..functions import distance as ds
 from ..functions.positions import read_position
 from ..operators import bundles, extract, molecules, pairs, stats, whitelist
-from ..operators.cluster import cluster
+from ..operators.cluster import UMIClusterer, cluster
+from ..operators.order import numbered
+from ..session import scratch
+from ..sources import alignments as al
+from ..sources import fastq, tables
 from ..sources.tables import products
 from .reads import ALIGNMENTS, READS, RECORDS, alignments, reads, records, tagged
 
@@ -75,8 +79,8 @@ def _counts(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
     return bundles.umi_counts(reads(spark, sf_dir), keys)
 
 
-def _clustered(spark: SparkSession, sf_dir: str, method: str, threshold: int = 1) -> DataFrame:
-    return cluster(_counts(spark, sf_dir, ["contig", "gene"]), ["contig", "gene"], method, threshold)
+def _clustered(spark: SparkSession, sf_dir: str, method: str, threshold: int = 1, path: str = "auto") -> DataFrame:
+    return cluster(_counts(spark, sf_dir, ["contig", "gene"]), ["contig", "gene"], method, threshold, path)
 
 
 # --- barcodes from names and sequences --------------------------------------------------------
@@ -146,12 +150,12 @@ def quality_format_guess(spark, sf_dir):
     return records(spark, sf_dir).select("read_id", F.array_join(bc.possible_encodings(F.col("quals")), ",").alias("encodings"))
 
 
-@query()
+@query(f"""WITH {_Q}, m AS (SELECT *, hamming(substr(seq, 5, 4), 'ACGT') <= 2 AS matched FROM q)
+SELECT read_id, matched, {', '.join(f"CASE WHEN matched THEN {x} END AS {c}" for c, x in (("cell", "substr(seq, 1, 4)"), ("umi", "substr(seq, 9, 6)"), ("umi_quals", "substr(quals, 9, 6)"), ("seq", "substr(seq, 15)"), ("quals", "substr(quals, 15)")))} FROM m""")
 def regex_extract_fuzzy(spark, sf_dir):
-    """Beyond SQL: groups of a fuzzy expression."""
     from ..functions.patterns import regex_extract
 
-    found = regex_extract(r"(?P<cell_1>.{4})(?P<discard_1>ACGT{s<=2})(?P<umi_1>.{6})")(F.col("seq"), F.col("quals"))
+    found = regex_extract(r"(?P<cell_1>.{4})(?P<discard_1>(?:ACGT){s<=2})(?P<umi_1>.{6})")(F.col("seq"), F.col("quals"))
     return records(spark, sf_dir).select("read_id", found.alias("found")).select("read_id", "found.*")
 
 
@@ -285,8 +289,8 @@ def _best(order: str) -> str:
 def _best_of(spark, sf_dir, multimapping):
     options = GroupingOptions(extract_umi_method="tag", per_gene=True, gene_tag="XF", multimapping=multimapping)
     kept, keys = bundles.keyed(bundles.classified(tagged(spark, sf_dir), options), options)
-    best = bundles.best_reads(kept, keys, bundles.preference(options))
-    return best.select(F.col("rname").alias("contig"), "gene", "umi", "read_id")
+    best = bundles.best_of_each(kept, keys, bundles.preference(options), ["read_id"])
+    return best.select(F.col("rname").alias("contig"), "gene", "umi", "read.read_id")
 
 
 @query(_best(""))
@@ -341,6 +345,21 @@ def cluster_adjacency(spark, sf_dir):
     return _clustered(spark, sf_dir, "adjacency")
 
 
+@query(ORACLES["cluster_percentile"])
+def percentile_relational(spark, sf_dir):
+    return _clustered(spark, sf_dir, "percentile", path="relational")
+
+
+@query(ORACLES["cluster_components"])
+def components_relational(spark, sf_dir):
+    return _clustered(spark, sf_dir, "cluster", path="relational")
+
+
+@query(_ADJACENCY)
+def adjacency_relational(spark, sf_dir):
+    return _clustered(spark, sf_dir, "adjacency", path="relational")
+
+
 @query(f"WITH RECURSIVE {_R}, {_directional(_CG, 2)} SELECT contig, gene, umi, n, rep FROM lab")
 def directional_t2(spark, sf_dir):
     return _clustered(spark, sf_dir, "directional", 2)
@@ -392,7 +411,7 @@ def group_table(spark, sf_dir):
 def group_unique_id(spark, sf_dir):
     _, groups, keys = molecules.groups_of(tagged(spark, sf_dir), _GENE)
     heads = groups.where("umi = rep")
-    return molecules.dense_ids(heads, [*keys, F.col("n").desc(), "rep"], "unique_id").select("unique_id", F.col("rname").alias("contig"), "gene", "rep")
+    return numbered(heads, [*[F.col(k) for k in keys], F.col("n").desc(), F.col("rep")], "unique_id").select("unique_id", F.col("rname").alias("contig"), "gene", "rep")
 
 
 @query(f"WITH RECURSIVE {_R}, {_directional(_CG)} SELECT gene, CAST(count(*) AS BIGINT) AS count FROM lab WHERE umi = rep GROUP BY gene")
@@ -461,18 +480,39 @@ def _skewed(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(cell, F.when(c < 90, 40).otherwise(1).alias("w")).groupBy("cell").agg(F.sum("w").alias("n"))
 
 
-@query()
+# All distances from all chords are whole numbers: no rounding decides between two points.
+@query(f"""WITH RECURSIVE {_SKEWED}, c AS (SELECT cell, n, row_number() OVER (ORDER BY n DESC, cell) - 1 AS i, sum(n) OVER (ORDER BY n DESC, cell ROWS UNBOUNDED PRECEDING) AS y FROM k),
+d AS (SELECT s.i + 1 AS size, p.i, abs(p.i * (s.y - z.y) - (p.y - z.y) * s.i) AS far FROM c s JOIN c p ON p.i <= s.i CROSS JOIN (SELECT y FROM c WHERE i = 0) z),
+f AS (SELECT size, min(i) AS best FROM (SELECT *, max(far) OVER (PARTITION BY size) AS most FROM d) WHERE far = most GROUP BY size),
+it AS (SELECT 0 AS step, best, 0::BIGINT AS before FROM f WHERE size = (SELECT count(*) FROM c)
+  UNION ALL SELECT it.step + 1, f.best, it.best FROM it JOIN f ON f.size = least((SELECT count(*) FROM c), it.best * 3) WHERE it.best <> it.before AND it.step < 101)
+SELECT cell, n FROM c WHERE i <= (SELECT best FROM it ORDER BY step DESC LIMIT 1)""")
 def knee_distance(spark, sf_dir):
-    """Beyond SQL: the knee is sought again until it stays."""
     return whitelist.select_cells(_skewed(spark, sf_dir), WhitelistOptions())
 
 
-@query()
+def _density(accepted: str) -> str:
+    """Cells above the highest accepted minimum of the kernel density of the logarithms of counts."""
+    return f"""WITH {_SKEWED}, h AS (SELECT log10(n) AS v, CAST(count(*) AS DOUBLE) AS w FROM k WHERE n > 0.001 * (SELECT max(n) FROM k) GROUP BY n),
+m AS (SELECT min(v) AS low, max(v) AS high, sum(v * w) / sum(w) AS mean, sum(w) AS total FROM h),
+b AS (SELECT low, high, 0.1 * sqrt((SELECT sum(w * (v - mean) * (v - mean)) FROM h) / (total - 1)) AS width FROM m),
+g AS (SELECT i, low + (high - low) * i / 9999 AS x, high, width FROM b, range(10000) AS r(i)),
+d AS (SELECT i, x, high, sum(w * exp(-0.5 * ((x - v) / width) * ((x - v) / width))) AS y FROM g, h GROUP BY i, x, high),
+e AS (SELECT *, lag(y) OVER (ORDER BY i) AS left_y, lead(y) OVER (ORDER BY i) AS right_y FROM d),
+t AS (SELECT pow(10, x) AS threshold FROM e WHERE y < left_y AND y < right_y AND {accepted} ORDER BY i DESC LIMIT 1)
+SELECT cell, n FROM k WHERE n > (SELECT threshold FROM t)"""
+
+
+@query(_density("i >= 2000 AND (high - x > 0.5 OR x < high / 2)"))
 def knee_density(spark, sf_dir):
-    """Beyond SQL: minima of a kernel density."""
     return whitelist.select_cells(_skewed(spark, sf_dir), WhitelistOptions(knee_method="density"))
 
 
+@query(_density("(SELECT count(*) FROM k WHERE n > pow(10, x)) > 10 AND (SELECT count(*) FROM k WHERE n > pow(10, x)) <= 100"))
+def knee_expected_cells(spark, sf_dir):
+    return whitelist.select_cells(_skewed(spark, sf_dir), WhitelistOptions(knee_method="density", expect_cells=100))
+
+
 @query(f"WITH {_SKEWED} SELECT cell, n FROM k WHERE n > (SELECT n FROM k ORDER BY n DESC, cell LIMIT 1 OFFSET 50)")
 def cell_top_n(spark, sf_dir):
     return whitelist.top_cells(_skewed(spark, sf_dir), 50)
@@ -619,13 +659,210 @@ def stats_edit_distance(spark, sf_dir):
     return stats.edit_distances(before, after, keys)
 
 
-@query()
+_HASH = "CAST('0x' || substr(md5(concat_ws('|', {})), 1, 13) AS BIGINT)"
+
+
+@query(f"""WITH {_R}, {_nodes(_CG)}, p AS (SELECT umi, sum(n) AS w FROM nodes GROUP BY umi), s AS (SELECT umi, sum(w) OVER (ORDER BY umi) - w AS lo, sum(w) OVER (ORDER BY umi) AS hi FROM p),
+a AS (SELECT contig, gene, row_number() OVER () AS id, {_HASH.format("contig, gene, umi, '1'")} % (SELECT sum(w) FROM p) AS at FROM nodes),
+x AS (SELECT a.contig, a.gene, a.id, s.umi FROM a JOIN s ON s.lo <= a.at AND a.at < s.hi),
+d AS (SELECT a.contig, a.gene, avg(CAST(hamming(a.umi, b.umi) AS DOUBLE)) AS d FROM x a JOIN x b ON a.contig = b.contig AND a.gene = b.gene AND a.id < b.id GROUP BY ALL)
+SELECT CASE WHEN d IS NULL THEN 'Single_UMI' ELSE CAST(CAST(ceil(d) AS BIGINT) AS VARCHAR) END AS edit_distance, CAST(count(*) AS BIGINT) AS unique_null FROM (SELECT DISTINCT contig, gene FROM x) LEFT JOIN d USING (contig, gene) GROUP BY 1""")
 def stats_null_distance(spark, sf_dir):
-    """Beyond SQL: hashed draws from the barcodes' distribution."""
     return stats.null_distances(_counts(spark, sf_dir, ["contig", "gene"]), ["contig", "gene"], seed=1)
 
 
-@query()
+@query(f"""WITH {_R} SELECT CASE WHEN {_HASH.format("concat(read_id, '_', umi), '3'")} < pow(2, 51) THEN 'kept' ELSE 'randomly excluded' END AS event, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY 1""")
 def bernoulli_subset(spark, sf_dir):
-    """Beyond SQL: a hashed sample of reads, counted by event."""
     return bundles.event_counts(bundles.classified(tagged(spark, sf_dir), GroupingOptions(subset=0.5, seed=3)))
+
+
+# --- files: written, read back, compared with the view ------------------------------------------
+
+
+def _fastq(spark, sf_dir, mate: bool = False, **more) -> DataFrame:
+    """The records in several files, in the order of their ids."""
+    x = records(spark, sf_dir)
+    x = x.withColumns({"seq": F.reverse("seq"), "quals": F.reverse("quals")}) if mate else x
+    path = scratch(spark, "fastq")
+    fastq.write_fastq(x.repartitionByRange(3, "read_id").sortWithinPartitions("read_id"), path, **more)
+    return fastq.read_fastq(spark, path)
+
+
+@query(f"WITH {_Q} SELECT identifier, seq, quals FROM q")
+def fastq_round_trip(spark, sf_dir):
+    return _fastq(spark, sf_dir).select("identifier", "seq", "quals")
+
+
+@query(f"WITH {_Q} SELECT identifier, seq, quals FROM q")
+def fastq_gzip_round_trip(spark, sf_dir):
+    return _fastq(spark, sf_dir, compression="gzip").select("identifier", "seq", "quals")
+
+
+@query(f"WITH {_Q} SELECT identifier AS identifier1, identifier AS identifier2, seq AS seq1, reverse(seq) AS seq2 FROM q")
+def strict_pairs(spark, sf_dir):
+    path = [scratch(spark, "fastq") for _ in "12"]
+    x = records(spark, sf_dir).repartition(3, "read_id").sortWithinPartitions("read_id")
+    fastq.write_fastq(x, path[0])
+    fastq.write_fastq(x.withColumn("seq", F.reverse("seq")), path[1])
+    return extract.paired(*(fastq.read_fastq(spark, p) for p in path)).select("identifier1", "identifier2", "seq1", "seq2")
+
+
+# A report of the first reads: the limit is the feature.
+@query(f"WITH {_Q} SELECT identifier, seq FROM q ORDER BY read_id LIMIT 1000")
+def first_n_reads(spark, sf_dir):
+    return extract.first_reads(_fastq(spark, sf_dir), 1000).select("identifier", "seq")
+
+
+@query(f"WITH {_Q} SELECT substr(seq, 2, 4) AS cell, substr(seq, 6, 5) AS umi FROM q WHERE substr(seq, 1, 1) IN ('A', 'C') ORDER BY read_id LIMIT 501")
+def whitelist_first_n_found(spark, sf_dir):
+    reads1 = _fastq(spark, sf_dir).select("file_no", "ord", *[F.col(c).alias(f"{c}1") for c in ("identifier", "seq", "quals")])
+    options = ExtractOptions(pattern=r"(?P<discard_1>[AC])(?P<cell_1>.{4})(?P<umi_1>.{5})", method="regex")
+    return extract.first_found(extract.barcodes_only(reads1, options), 501).select("cell", "umi")
+
+
+@query(f"WITH {_Q} SELECT identifier, seq FROM q WHERE substr(seq, 1, 1) NOT IN ('A', 'C')")
+def rejected_reads(spark, sf_dir):
+    options = ExtractOptions(pattern=r"(?P<discard_1>[AC])(?P<umi_1>.{5})", method="regex")
+    rows, path = extract.extract_reads(_single(spark, sf_dir), options), scratch(spark, "fastq")
+    fastq.write_fastq(rows.where(F.col("event") != extract.KEPT), path, "1")
+    return fastq.read_fastq(spark, path).select("identifier", "seq")
+
+
+_HEADER = ["@HD\tVN:1.6", *[f"@SQ\tSN:chr{i}\tLN:100000" for i in (3, 1, 4, 0, 2)]]
+_SAM = f"""WITH {_A} SELECT read_id AS qname, flag, contig AS rname, pos, mapq, cigar, CASE WHEN rnext = contig THEN '=' ELSE rnext END AS rnext, pnext, umi, gene FROM a"""
+
+
+def _sam_like(spark, sf_dir) -> DataFrame:
+    x = alignments(spark, sf_dir)
+    return x.withColumns({"qual": F.lit("*"), "tag_types": F.transform_values("tags", lambda k, v: F.lit("Z"))})
+
+
+def _sam_columns(x: DataFrame) -> DataFrame:
+    tag = lambda t: F.try_element_at("tags", F.lit(t))
+    return x.select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", tag("RX").alias("umi"), tag("XF").alias("gene"))
+
+
+@query(_SAM)
+def sam_round_trip(spark, sf_dir):
+    path = scratch(spark, "sam")
+    al.write_sam(_sam_like(spark, sf_dir), path, _HEADER)
+    return _sam_columns(al.read_sam(spark, path))
+
+
+@query(_SAM)
+def bam_round_trip(spark, sf_dir):
+    path = scratch(spark, "bam")
+    al.write_bam(_sam_like(spark, sf_dir), path.removeprefix("file:"), _HEADER)
+    return _sam_columns(al.read_bam(spark, path.removeprefix("file:")))
+
+
+@query(f"""WITH {_A}, c(contig, place) AS (VALUES ('chr3', 0), ('chr1', 1), ('chr4', 2), ('chr0', 3), ('chr2', 4))
+SELECT CAST(row_number() OVER (ORDER BY place, pos) - 1 AS BIGINT) AS number, contig AS rname, pos FROM a JOIN c USING (contig)""")
+def sam_coordinate_sort(spark, sf_dir):
+    path = scratch(spark, "sam")
+    al.write_sam(_sam_like(spark, sf_dir), path, _HEADER)
+    lines = spark.read.text(path).where("value not like '@%'").select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("i"))
+    x = lines.select("file", "i", F.split("value", "\t").alias("f")).select("file", "i", F.col("f")[2].alias("rname"), (F.col("f")[3].cast("int") - 1).alias("pos"))
+    return numbered(x, [F.col("file"), F.col("i")], "number").select("number", "rname", "pos")
+
+
+@query(f"WITH {_R} SELECT gene, CAST(count(*) AS BIGINT) AS n FROM r WHERE contig = 'chr2' GROUP BY gene")
+def contig_scan(spark, sf_dir):
+    found = bundles.classified(tagged(spark, sf_dir), GroupingOptions(per_gene=True, gene_tag="XF", chrom="chr2"))
+    return found.where(F.col("event") == bundles.KEPT).groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_A} SELECT read_id AS qname FROM a WHERE flag & 128 = 0 AND (flag & 4 <> 0 OR flag & 8 <> 0)")
+def unmapped_passed_on(spark, sf_dir):
+    options = GroupingOptions(extract_umi_method="tag", paired=True, unmapped_reads="output")
+    return molecules.passed_on(alignments(spark, sf_dir), options).select("qname")
+
+
+def _text(spark: SparkSession, lines: DataFrame) -> str:
+    path = scratch(spark, "table")
+    lines.write.mode("overwrite").text(path)
+    return path
+
+
+@query("SELECT * FROM (VALUES ('M1', 'chr0'), ('M1', 'chr2'), ('M2', 'chr1')) AS t(gene, transcript)")
+def gene_map_file(spark, sf_dir):
+    rows = ["# a comment", "M1\tchr0", "M1\tchr2", "", "M2\tchr1", "M3\tchr9", "M4\tchr1"]
+    return tables.gene_map(spark, _text(spark, spark.createDataFrame([(r,) for r in rows], "value string")), ["chr0", "chr1", "chr2"])
+
+
+@query(f"WITH {_LIST} SELECT barcode FROM w")
+def whitelist_file(spark, sf_dir):
+    return tables.barcode_list(spark, _text(spark, _listed(spark, sf_dir).select(F.concat("barcode", F.lit("\tAC\t3")).alias("value"))))
+
+
+@query(f"WITH {_LIST} SELECT concat(x, substr(barcode, 2)) AS error, barcode FROM w, (VALUES ('N'), ('R')) AS e(x)")
+def whitelist_file_errors(spark, sf_dir):
+    rest = F.substring("barcode", 2, 9)
+    line = F.concat("barcode", F.lit("\tN"), rest, F.lit(",R"), rest, F.lit("\t7\t1,2")).alias("value")
+    return tables.whitelist_fixes(spark, _text(spark, _listed(spark, sf_dir).select(line)))
+
+
+@query(f"WITH {_LIST} SELECT barcode FROM w")
+def blacklist_file(spark, sf_dir):
+    return tables.blacklist(spark, _text(spark, _listed(spark, sf_dir).select(F.col("barcode").alias("value"))))
+
+
+@query(ORACLES["stats_per_umi_position"].replace("SELECT counts, CAST(coalesce(x", "SELECT CAST(counts AS BIGINT) AS counts, CAST(coalesce(x"))
+def stats_file(spark, sf_dir):
+    path = scratch(spark, "stats")
+    tables.write_tsv(stats_per_umi_position(spark, sf_dir), path)
+    return spark.read.option("sep", "\t").option("header", "true").schema("counts bigint, instances_pre bigint, instances_post bigint").csv(path)
+
+
+# --- further options ----------------------------------------------------------------------------
+
+
+@query(f"WITH {_Q} SELECT read_id, substr(seq, 1, 4) AS cell, substr(seq, 5, 6) AS umi, substr(seq, 5) AS seq, substr(quals, 5) AS quals FROM q")
+def regex_retain_umi(spark, sf_dir):
+    from ..functions.patterns import regex_extract
+
+    found = regex_extract(r"(?P<cell_1>.{4})(?P<umi_1>.{6})", retain_umi=True)(F.col("seq"), F.col("quals"))
+    return records(spark, sf_dir).select("read_id", found.alias("m")).select("read_id", "m.cell", "m.umi", "m.seq", "m.quals")
+
+
+@query(f"WITH {_R} SELECT read_id, gene AS \"XF\", umi AS \"BX\", CASE WHEN nh > 1 THEN cell ELSE 'old' END AS \"CB\" FROM r")
+def tag_copy(spark, sf_dir):
+    target = F.create_map(F.lit("XF"), F.col("gene"), F.lit("BX"), F.lit("old"), F.lit("CB"), F.lit("old"))
+    source = F.map_filter(F.create_map(F.lit("XF"), F.lit("other"), F.lit("BX"), F.col("umi"), F.lit("CB"), F.col("cell")), lambda k, _: (k != "CB") | (F.col("nh") > 1))
+    tags = bc.copied_tags(target, source, ["BX", "CB"]).alias("t")
+    return reads(spark, sf_dir).select("read_id", tags).select("read_id", *[F.col("t")[k].alias(k) for k in ("XF", "BX", "CB")])
+
+
+@query(f"WITH {_R} SELECT read_id, gene AS \"XF\", umi AS \"BX\", CAST(nh AS VARCHAR) AS \"UG\" FROM r")
+def tags_set(spark, sf_dir):
+    tags = bc.with_tags(F.create_map(F.lit("XF"), F.col("gene"), F.lit("BX"), F.lit("old")), UG=F.col("nh"), BX=F.col("umi")).alias("t")
+    return reads(spark, sf_dir).select("read_id", tags).select("read_id", *[F.col("t")[k].alias(k) for k in ("XF", "BX", "UG")])
+
+
+@query(f"""WITH {_Q}, {_CELLS4}, e AS (SELECT DISTINCT barcode, concat(substr(barcode, 1, i::INT - 1), b, substr(barcode, i::INT + 1)) AS error FROM w, range(1, 5) AS p(i), unnest(['A','C','G','T','N']) AS x(b)),
+f AS (SELECT error, CASE WHEN count(DISTINCT barcode) = 1 THEN min(barcode) END AS barcode FROM e WHERE error NOT IN (SELECT barcode FROM w) GROUP BY error),
+j AS (SELECT q.read_id, substr(q.seq, 1, 4) AS raw, w.barcode AS ok, f.error, f.barcode AS fix FROM q LEFT JOIN w ON w.barcode = substr(q.seq, 1, 4) LEFT JOIN f ON f.error = substr(q.seq, 1, 4))
+SELECT read_id, coalesce(ok, fix, raw) AS umi, ok IS NULL AND fix IS NOT NULL AS umi_corrected, CASE WHEN ok IS NOT NULL OR fix IS NOT NULL THEN 'reads output' WHEN error IS NOT NULL THEN 'umi error ambiguous' ELSE 'umi not whitelisted' END AS event FROM j""")
+def extract_umi_correct(spark, sf_dir):
+    options = ExtractOptions(pattern="NNNN", filter_umi=True, correct_umi_threshold=1)
+    return extract.extract_reads(_single(spark, sf_dir), options, umi_whitelist=_cells4(spark, sf_dir)).select("read_id", "umi", "umi_corrected", "event")
+
+
+@query(f"""WITH {_SEEN}, w AS (SELECT cell AS barcode, n FROM s WHERE n > (SELECT n FROM s ORDER BY n DESC, cell LIMIT 1 OFFSET 120)),
+x AS (SELECT a.barcode AS cell, b.barcode AS other, hamming(a.barcode, b.barcode) <= 1 AS sub FROM w a JOIN w b ON (a.n < b.n OR (a.n = b.n AND a.barcode > b.barcode)) AND len(list_filter(range(4, 7), lambda i: levenshtein(a.barcode, substr(b.barcode, 1, i::INT)) <= 1)) > 0),
+g AS (SELECT cell, count(*) AS hits, min(other) AS barcode, bool_or(sub) AS sub FROM x GROUP BY cell), t AS (SELECT * FROM w WHERE barcode NOT IN (SELECT cell FROM g)),
+f AS (SELECT s.cell, min(w.barcode) AS barcode FROM s JOIN w ON hamming(s.cell, w.barcode) <= 1 WHERE s.cell NOT IN (SELECT barcode FROM w) GROUP BY s.cell HAVING count(*) = 1),
+m AS (SELECT cell, barcode FROM f UNION ALL SELECT cell, barcode FROM g WHERE hits = 1 AND sub), c AS (SELECT m.barcode, m.cell, s.n FROM m JOIN s ON s.cell = m.cell)
+SELECT t.barcode, coalesce(string_agg(c.cell, ',' ORDER BY c.cell), '') AS errors, t.n AS count, coalesce(string_agg(CAST(c.n AS VARCHAR), ',' ORDER BY c.cell), '') AS error_counts FROM t LEFT JOIN c USING (barcode) GROUP BY t.barcode, t.n""")
+def whitelist_above_knee_correct(spark, sf_dir):
+    seen = _seen(spark, sf_dir).select("cell", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("umi"))
+    return whitelist.whitelist(seen, WhitelistOptions(cell_number=120, ed_above_threshold="correct"))
+
+
+@query(ORACLES["cluster_directional"])
+def umi_clusterer_api(spark, sf_dir):
+    def grouped(rows):
+        groups = UMIClusterer("directional")(dict(zip(rows["umi"], rows["n"], strict=True)), 1)
+        return rows.assign(rep=rows["umi"].map({u: g[0] for g in groups for u in g}))
+
+    return _counts(spark, sf_dir, ["contig", "gene"]).groupBy("contig", "gene").applyInPandas(grouped, "contig string, gene string, umi string, n bigint, rep string")
