@@ -108,4 +108,58 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op2_poisson_mixing": _OP2, "op3_minhash_components": _OP3, "op6_term_at_a_time_top_k": _OP6}
+
+def _network(source: str, keys: list[int]) -> str:
+    """SQL: rows (row, p, a) of source with p sent through a Feistel network over 0..a*a-1, one level of
+    SELECT for each step, in 128-bit numbers modulo 2**64."""
+    word = "18446744073709551616::UHUGEINT"
+    sql = f"SELECT row, a, p // a AS l, p % a AS r FROM ({source})"
+    for key in keys:
+        sql = f"SELECT row, a, l, r, (r + {key}::UHUGEINT) % {word} AS x FROM ({sql})"
+        sql = f"SELECT row, a, l, r, xor(x, x // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT % {word} AS x FROM ({sql})"
+        sql = f"SELECT row, a, l, r, xor(x, x // 134217728::UHUGEINT) * 10723151780598845931::UHUGEINT % {word} AS x FROM ({sql})"
+        sql = f"SELECT row, a, r AS l, (l + xor(x, x // 2147483648::UHUGEINT) % a) % a AS r FROM ({sql})"
+    return f"SELECT row, l * a + r AS p, a FROM ({sql})"
+
+
+_KEYS = [int(k) for k in sharding.round_keys(20)]
+_OP5 = f"""
+WITH RECURSIVE table_of(t) AS (SELECT list(c ORDER BY i) FROM (
+  SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
+  CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INT), 2) AS UBIGINT))),
+    lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INT) + 1])), 4294967295::UBIGINT) AS BIGINT) AS text_crc32 FROM b, table_of),
+n AS (SELECT *, CAST(row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS BIGINT) AS row_number FROM d),
+c AS (SELECT count(*)::UHUGEINT AS n, CAST(ceil(sqrt(count(*))) AS UHUGEINT) AS a FROM documents),
+walk AS (
+  {_network("SELECT row_number::UHUGEINT AS row, row_number::UHUGEINT AS p, a FROM n, c", _KEYS)}
+  UNION ALL {_network("SELECT row, p, walk.a FROM walk, c WHERE p >= c.n", _KEYS)})
+SELECT doc_id, size, text_crc32, 'rows' AS law, row_number, CAST(p % 16 AS INT) AS shard, CAST(p // 16 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM n JOIN walk ON walk.row = n.row_number::UHUGEINT JOIN c ON walk.p < c.n
+"""
+
+_OP8 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5_number(substr(h, CAST(2 * i + 1 AS INT), 400)) AS k FROM (SELECT r, h, unnest(range(greatest(length(h) // 2 - 199, 0))) AS i FROM d)),
+s AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+g AS (SELECT r, i, sum(CASE WHEN i - prev <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS island FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS prev FROM s)),
+p AS (SELECT r, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY r, island),
+q AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS after FROM p),
+k AS (SELECT r, string_agg(substr(h, CAST(2 * after + 1 AS INT), CAST(2 * (lo - after) AS INT)), '' ORDER BY lo) AS head, max(hi) AS hi, sum(hi - lo) AS gone, count(*) AS spans FROM q JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(hi, 0) + 1 AS INT)))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+# The article of the tables' pages by plain replacement; what a page's markup doesn't mark is left to the tests.
+_OP9 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(x, '(?s)<(script|style|aside|form|nav|footer)\b.*?</(script|style|aside|form|nav|footer)>|<!--.*?-->|<div class="ad">.*?</div>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, url, regexp_split_to_array(regexp_replace(x, '<br\b[^>]*>', ' ', 'g'), '</?(p|h\d|div|ul|ol|li|table|tr|td|th|blockquote|pre|section|figure|figcaption)\b[^>]*>') AS x FROM b),
+t AS (SELECT page_id, url, list_filter(list_transform(x, lambda l: trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(l, '<[a-zA-Z/][^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda l: l <> '') AS x FROM c)
+SELECT page_id, url, array_to_string(x, chr(10)) AS text, CAST(length(array_to_string(x, chr(10))) AS BIGINT) AS n_chars FROM t
+"""
+
+ORACLES: dict[str, str] = {"op2_poisson_mixing": _OP2, "op3_minhash_components": _OP3, "op5_feistel_shards": _OP5, "op6_term_at_a_time_top_k": _OP6, "op8_run_length_index": _OP8, "op9_text_to_tag_pages": _OP9}

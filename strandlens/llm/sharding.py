@@ -29,6 +29,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def round_keys(seed: int, rounds: int = 6) -> np.ndarray:
+    return _mix(np.uint64(seed % 2**64) + np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def permute(numbers: np.ndarray, n: int, seed: int, rounds: int = 6) -> np.ndarray:
     """Keyed permutation of 0..n-1.
 
@@ -43,7 +47,7 @@ def permute(numbers: np.ndarray, n: int, seed: int, rounds: int = 6) -> np.ndarr
     while a * a < n:
         a += 1
     side = np.uint64(a)
-    keys = _mix(np.uint64(seed % 2**64) + np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    keys = round_keys(seed, rounds)
     todo = np.arange(len(out))
     while len(todo):
         left, right = out[todo] // side, out[todo] % side

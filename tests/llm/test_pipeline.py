@@ -46,7 +46,7 @@ def test_run_equals_its_stages(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = queries.QUERIES[name](spark, DATA)
     found = c.sql(queries.ORACLES[name])
