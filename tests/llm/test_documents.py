@@ -81,12 +81,15 @@ def test_sketch_estimates_similarity():
 
 def test_sketch_does_not_depend_on_batches_of_rounds():
     rng = np.random.default_rng(5)
-    for n in (100, 128, 170, 256):
-        agree = []
-        for _ in range(60):
-            a = rng.integers(0, 2**63, n + n // 3).astype(np.uint64)
-            agree.append((minhash.fast_sketch(a) == minhash.fast_sketch(a[:n])).mean())
-        assert abs(np.mean(agree) - n / len(a)) < 0.03
+    # sizes on both sides of every change of the number of rounds at once, similarities from 0.75 on
+    for n in (64, 100, 127, 128, 170, 171, 255, 256):
+        for m in (n + 1, n + n // 8, n + n // 3):
+            agree = []
+            for _ in range(100):
+                a = rng.integers(0, 2**63, m).astype(np.uint64)
+                agree.append((minhash.fast_sketch(a) == minhash.fast_sketch(a[:n])).mean())
+            error = np.sqrt(n / m * (1 - n / m) / (100 * minhash.COORDINATES))
+            assert abs(np.mean(agree) - n / m) < 4 * error
     for n in (1, 7, 100, 300, 600):
         items = rng.integers(0, 2**63, n).astype(np.uint64)
         want = {}
@@ -300,7 +303,7 @@ def test_packing_odd_tables(empty, clashing, docs):
 
 def test_local_search_and_cuts():
     assert packing.cut(0, 4) == [] and packing.cut(4, 4) == [(0, 4)] and packing.cut(9, 4) == [(0, 1), (1, 4), (5, 4)]
-    rng = np.random.default_rng(2)
+    rng, emptied = np.random.default_rng(2), 0
     for _ in range(30):
         counts = {int(k): int(n) for k, n in zip(rng.choice(np.arange(1, 60), 12, replace=False), rng.integers(1, 40, 12), strict=True)}
         bins = packing.pack(counts, 60)
@@ -310,7 +313,21 @@ def test_local_search_and_cuts():
             for x in pattern:
                 used[x] += copies
         assert used == counts
-        assert sum(bins.values()) <= sum(packing.best_fit(counts, 60).values())
+        start = packing.best_fit(counts, 60)
+        fill = lambda x: sum(sum(p) ** 2 * n for p, n in x.items())
+        assert sum(bins.values()) <= sum(start.values()) and fill(bins) >= fill(start)
+        # from a start that leaves much to do, first fit in no order, moves and swaps empty bins
+        open_bins: list[list[int]] = []
+        for x in rng.permutation([k for k, n in counts.items() for _ in range(n)]).tolist():
+            home = next((b for b in open_bins if sum(b) + x <= 60), None)
+            if home is None:
+                open_bins.append(home := [])
+            home.append(x)
+        loose = collections.Counter(tuple(sorted(b, reverse=True)) for b in open_bins)
+        tight = packing.local_search(loose, 60)
+        assert sum((collections.Counter({x: n * p.count(x) for x in set(p)}) for p, n in tight.items()), collections.Counter()) == counts and fill(tight) >= fill(loose)
+        emptied += sum(loose.values()) - sum(tight.values())
+    assert emptied >= 20
     assert packing.pack({}, 60) == {}
     better = packing.local_search(collections.Counter({(6, 3): 1, (5, 5): 1, (1,): 1}), 10)
     assert sum(better.values()) == 2
