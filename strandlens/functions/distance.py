@@ -30,17 +30,30 @@ def slices(barcode: Column, threshold: int, length: Column | None = None) -> Col
     ])
 
 
+def rests(barcode: Column) -> Column:
+    """The barcode without each of its bases, numbered by place like slices."""
+    rest = lambda i: F.concat(F.substring(barcode, F.lit(1), i - 1), F.substring(barcode, i + 1, F.length(barcode)))
+    places = F.when(F.length(barcode) > 0, F.sequence(F.lit(1), F.length(barcode))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(i.alias("slice"), rest(i).alias("part")))
+
+
 def near_pairs(df: DataFrame, keys: list[str], barcode: str = "umi", threshold: int = 1, length: int | None = None, extra: tuple[str, ...] = (), names: tuple[str, str] = ("a", "b")) -> DataFrame:
     """keys, a, b, distance and extra_a, extra_b of all pairs a < b within the threshold that agree
-    in the keys, null with null; names other than a and b can be given. An equi-join on slices, so no bundle is
-    compared all against all; each pair is reported by the first slice it shares."""
+    in the keys, null with null; names other than a and b can be given.
+
+    An equi-join, so no bundle is compared all against all. At a threshold of 1 it is on a place and
+    the other bases, which two barcodes share exactly if they differ there alone: only results
+    meet. Beyond, it is on slices, and each pair is reported by the first slice it shares.
+    """
     columns = [F.col(barcode).alias("_x"), *[F.col(c).alias(f"_x_{c}") for c in extra]]
-    cut = df.select(*keys, *columns, F.explode(slices(F.col(barcode), threshold)).alias("_s"))
+    cut = df.select(*keys, *columns, F.explode(rests(F.col(barcode)) if threshold == 1 else slices(F.col(barcode), threshold)).alias("_s"))
     cut = cut.select(*keys, "_x", *[f"_x_{c}" for c in extra], F.col("_s.slice").alias("_slice"), F.col("_s.part").alias("_part"), F.length("_x").alias("_n"))
     one, two = (cut.withColumnsRenamed({"_x": x, **{f"_x_{c}": f"{c}_{x}" for c in extra}}) for x in names)
     shared_by = [*keys, "_slice", "_part", "_n"]
     two = two.withColumnsRenamed({k: f"_r_{k}" for k in shared_by})
     joined = one.join(two, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in shared_by]).where(F.col(names[0]) < F.col(names[1]))
+    if threshold == 1:
+        return joined.select(*keys, *names, *[f"{c}_{x}" for c in extra for x in names], F.lit(1).alias("distance"))
     first, second = (slices(F.col(x), threshold) for x in names)
     shared = F.array_position(F.zip_with(first, second, lambda x, y: x["part"] == y["part"]), True) - 1
     found = joined.withColumn("distance", hamming(F.col(names[0]), F.col(names[1]), length)).where(F.col("distance") <= threshold)

@@ -6,7 +6,7 @@ seq, qual, tags (map of text) and tag_types (map of the tags' type letters).
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import json
 import os
 import struct
@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,6 +232,11 @@ def bam_head(header: list[str]) -> bytes:
     return b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(sizes)) + refs
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path (local, or by the scheme of a URI) and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:")))
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     path: str
@@ -242,16 +248,19 @@ class _BamWriter(DataSourceWriter):
 
     def __init__(self, path: str, header: list[str], overwrite: bool) -> None:
         self.path, self.header = path, header
-        os.makedirs(path, exist_ok=True)
-        for old in glob.glob(os.path.join(path, "part-*.bam")) if overwrite else ():
-            os.remove(old)
+        store, folder = _store(path)
+        store.create_dir(folder)
+        for old in store.get_file_info(fs.FileSelector(folder)) if overwrite else ():
+            if old.base_name.startswith("part-") and old.base_name.endswith(".bam"):
+                store.delete_file(old.path)
 
     def write(self, iterator) -> WriterCommitMessage:
         context = TaskContext.get()
-        final = os.path.join(self.path, f"part-{context.partitionId():05d}.bam")
+        store, folder = _store(self.path)
+        final = f"{folder}/part-{context.partitionId():05d}.bam"
         scratch = f"{final}.{context.taskAttemptId()}"
         place = {c: i for i, c in enumerate(contigs(self.header))}
-        with open(scratch, "wb") as out:
+        with store.open_output_stream(scratch) as out:
             buffer = bytearray(bam_head(self.header))
             for row in iterator:
                 buffer += bam_record(row, place)
@@ -261,7 +270,7 @@ class _BamWriter(DataSourceWriter):
             if buffer:
                 out.write(bgzf_block(bytes(buffer)))
             out.write(bgzf_block(b""))
-        os.replace(scratch, final)
+        store.move(scratch, final)
         return _Written(final)
 
 
@@ -272,7 +281,11 @@ class _Part(InputPartition):
 
 class _BamReader(DataSourceReader):
     def __init__(self, path: str) -> None:
-        self.paths = sorted(glob.glob(os.path.join(path, "*.bam")) if os.path.isdir(path) else glob.glob(path))
+        self.path = path
+        store, at = _store(path)
+        folder, name = (at, "*.bam") if store.get_file_info(at).type == fs.FileType.Directory else os.path.split(at)
+        found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        self.paths = sorted(f.path for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, name))
         if not self.paths:
             raise FileNotFoundError(path)
 
@@ -280,7 +293,7 @@ class _BamReader(DataSourceReader):
         return [_Part(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.path, "rb") as file:
+        with _store(self.path)[0].open_input_stream(partition.path, buffer_size=1 << 20) as file:
             yield from bam_records(file)
 
 
@@ -308,7 +321,7 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
 
 def bam_header(path: str) -> list[str]:
     """The header lines of a BAM file, or of the first in a folder."""
-    with open(_BamReader(path).paths[0], "rb") as file:
+    with _store(path)[0].open_input_stream(_BamReader(path).paths[0], buffer_size=1 << 20) as file:
         stream = _Bytes(bgzf_blocks(file))
         stream.take(4)
         return stream.take(struct.unpack("<i", stream.take(4))[0]).decode().rstrip("\0\n").split("\n")
