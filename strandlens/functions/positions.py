@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def cigar_parts(cigar: Column) -> Column:
-    """array<struct<op, n>> of a CIGAR string."""
-    n, op = F.regexp_extract_all(cigar, F.lit(r"(\d+)"), F.lit(1)), F.regexp_extract_all(cigar, F.lit(r"([MIDNSHP=X])"), F.lit(1))
-    return F.zip_with(op, n, lambda o, k: F.struct(o.alias("op"), k.cast("int").alias("n")))
+    """array<struct<op, n>> of a CIGAR string; empty where it has no operations."""
+    op, n = F.split(_ops(cigar), ""), F.split(F.translate(cigar, "MIDNSHP=X", "," * 9), ",")
+    return F.filter(F.zip_with(op, F.slice(n, F.lit(1), F.size(op)), lambda o, k: F.struct(o.alias("op"), k.try_cast("int").alias("n"))), lambda p: p["n"].isNotNull())
+
+
+def _ops(cigar: Column) -> Column:
+    """The operations' letters."""
+    return F.translate(cigar, "0123456789", "")
 
 
 def _sum(parts: Column, ops: str) -> Column:
@@ -52,10 +57,12 @@ def read_position(pos: Column, reverse: Column, cigar: Column, soft_clip_thresho
     Most reads match in one piece or are clipped at an end: those take expressions of generated
     code alone, and only the others' operations are taken apart.
     """
-    first, last = _number(F.regexp_extract(cigar, r"^(\d+)S", 1)), _number(F.regexp_extract(cigar, r"(\d+)S$", 1))
-    plain = cigar.rlike(r"^(\d+S)?\d+M(\d+S)?$")
-    matched = _number(F.regexp_extract(cigar, r"(\d+)M", 1))
-    parts = cigar_parts(cigar)
+    ops, parts, none = _ops(cigar), cigar_parts(cigar), F.lit(0)
+    plain = ops.isin("M", "SM", "MS", "SMS")
+    matched = _number(F.substring_index(F.substring_index(cigar, "M", 1), "S", -1))
+    first = F.when(ops.startswith("S"), _number(F.substring_index(cigar, "S", 1))).otherwise(none)
+    after_match = _number(F.substring_index(F.substring_index(cigar, "M", -1), "S", 1))
+    last = F.when(ops.endswith("MS"), after_match).when(ops.endswith("S"), _clip(F.try_element_at(parts, F.lit(-1)))).otherwise(none)
     ahead = pos - first
     behind = F.when(plain, pos + matched).otherwise(reference_end(pos, parts)) + last
     end_clip = F.when(reverse, first).otherwise(last)
