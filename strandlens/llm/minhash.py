@@ -22,7 +22,7 @@ BANDS = COORDINATES // ROWS
 #: similarity 0.75 agrees in 96 on average, in fewer than 68 with probability under 1e-7.
 AGREE = 68
 #: Pairs with one text that are verified in one task; rows of a broadcast table; bytes hashed at once.
-PER_TASK, KEYS, BLOCK = 4096, 200_000, 1 << 20
+PER_TASK, KEYS, BLOCK = 256, 200_000, 1 << 20
 #: Shingles of the members of a tile, as a mean; a member's own apart.
 TILE_SHINGLES = 1 << 20
 
@@ -332,7 +332,7 @@ def _close_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _open_tiles(label: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
     """(TILE, side, fp, label) of (bucket, fp, label, n_shingles): what is to be compared in the buckets
-    of several components, and the written table of those buckets.
+    of several components (None if there are none), and the written table of those buckets.
 
     Members of a bucket's largest component need no comparison with each other, so they are dealt in
     chunks of about ``tile``, each of which meets each chunk of the other members (kind 0); those
@@ -343,7 +343,8 @@ def _open_tiles(label: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
     sizes = label.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), load.alias("load"))
     several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.sum("load").alias("total"), F.max(F.struct("n", "label", "load")).alias("top")).where("labels > 1")
     several = written(several.select("bucket", F.col("top.label").alias("major"), F.ceil("top.load").cast("int").alias("majors"), F.greatest(F.ceil(F.col("total") - F.col("top.load")), F.lit(1)).cast("int").alias("minors")), "open")
-    rows = label.drop("n_shingles").join(F.broadcast(several) if several.count() <= KEYS else several, "bucket").withColumn("side", (F.col("label") == F.col("major")).cast("int"))
+    many = several.count()
+    rows = label.drop("n_shingles").join(F.broadcast(several) if many <= KEYS else several, "bucket").withColumn("side", (F.col("label") == F.col("major")).cast("int"))
     parts = F.when(F.col("side") == 1, F.col("majors")).otherwise(F.col("minors"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), parts.cast("long")).cast("int"))
     chunks = lambda n: F.sequence(F.lit(0), n - 1)
@@ -352,7 +353,7 @@ def _open_tiles(label: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
     against = F.when(F.col("side") == 1, F.transform(chunks(F.col("minors")), lambda i: spot(0, i, part, F.lit(1)))).otherwise(
         F.concat(F.transform(chunks(F.col("majors")), lambda j: spot(0, part, j, F.lit(0))), F.transform(chunks(F.col("minors")), lambda j: spot(1, F.least(part, j), F.greatest(part, j), part)))
     )
-    return rows.select("bucket", "fp", "label", F.explode(against).alias("at")).select("bucket", "at.kind", "at.tile_a", "at.tile_b", "at.side", "fp", "label"), several
+    return rows.select("bucket", "fp", "label", F.explode(against).alias("at")).select("bucket", "at.kind", "at.tile_a", "at.tile_b", "at.side", "fp", "label") if many else None, several
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -362,22 +363,21 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     that no task gets a centre's pairs as a whole.
     """
     hot = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PER_TASK)
-    split = written(hot.select("fp", F.ceil(F.col("n") / PER_TASK).alias("parts")), "split")
-    many = split.count()
-    hot = F.broadcast(split) if many <= KEYS else split
+    many = hot.count()
+    split = [written(hot.select("fp", F.ceil(F.col("n") / PER_TASK).alias("parts")), "split")] if many else []
 
     def with_text(rows: DataFrame, side: str) -> DataFrame:
         own = texts.select(F.col("fp").alias(side), F.col("text").alias(f"text_{side}"))
         if not many:
             return rows.join(own, side)
-        parts = hot.select(F.col("fp").alias(side), "parts")
+        parts = (F.broadcast(split[0]) if many <= KEYS else split[0]).select(F.col("fp").alias(side), "parts")
         rows = rows.join(parts, side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)))).drop("parts")
         own = own.join(parts, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
         return rows.join(own, [side, "part"]).drop("part")
 
     both = with_text(with_text(pairs, "b"), "a").select("a", "b", "text_a", "text_b")
     done = written(both.mapInArrow(_verify, "a binary, b binary, link boolean"), "verified")
-    drop_written(split)
+    drop_written(*split)
     return done
 
 
@@ -433,19 +433,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = members.where("size > 2").join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("label"), "n_shingles")
     at, spread = ["bucket", "kind", "tile_a", "tile_b"], ["side", "fp", "label", "bands", "marks"]
     tiles, several = _open_tiles(label, tile)
-    tiles = written(tiles.join(classes.select("fp", "bands", "marks"), "fp").select(*at, *spread), "tiles")
     dealt = lambda df: df.repartition(*at).sortWithinPartitions(*at)
-    near = written(dealt(tiles).mapInArrow(_near_members, f"{TILE}, fp binary"), "near")
-    more = []
-    if near.limit(1).count():
-        close = tiles.join(near, [*at, "fp"], "left_semi").join(texts, "fp").select(*at, *spread, "text")
-        more = [written(dealt(close).mapInArrow(_close_links, "a binary, b binary"), "links")]
-        links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more[0]))
-
-    roots = classes.select("fp", "doc_id").join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = written(roots.join(smallest, "root").select("fp", "component_id"), "named")
-    drop_written(classes, members, pairs, texts, first, several, tiles, near, *more)
+    more: list[DataFrame] = []
+    if tiles:
+        tiles = written(tiles.join(classes.select("fp", "bands", "marks"), "fp").select(*at, *spread), "tiles")
+        near = written(dealt(tiles).mapInArrow(_near_members, f"{TILE}, fp binary"), "near")
+        more = [tiles, near]
+        if near.limit(1).count():
+            close = tiles.join(near, [*at, "fp"], "left_semi").join(texts, "fp").select(*at, *spread, "text")
+            more.append(written(dealt(close).mapInArrow(_close_links, "a binary, b binary"), "links"))
+            links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more[-1]))
+
+    own = classes.select("fp", "doc_id")
+    linked_to = links.select(F.col("node").alias("fp"), "root").unionByName(links.select(F.col("root").alias("fp"), "root").distinct())
+    smallest = written(own.join(linked_to, "fp").groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")  # a row for each component of several
+    few = F.broadcast(smallest) if smallest.count() <= KEYS else smallest
+    named = own.join(linked_to.join(few, "root"), "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = written(named, "named")
+    drop_written(classes, members, pairs, texts, first, several, smallest, *more)
     found = sketches.select("doc_id", "n_shingles", "fp", "text_key").join(named, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())
