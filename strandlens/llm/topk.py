@@ -8,6 +8,7 @@ dense score arrays, the k best are selected by partition, and the blocks' select
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -180,14 +181,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     spark = vectors.sparkSession
     usable = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("_q")).where("id is not null and v is not null")
     asked = usable.where("_q").groupBy("id").agg(F.min("v").alias("v"))
-    many, tasks = usable.count(), shuffle_width(spark)
+    many, asking = usable.agg(F.count(F.lit(1)), F.count_if("_q")).first()
+    tasks = shuffle_width(spark)
     packed = usable.select("id", "v").mapInArrow(_blocks(CANDIDATES), BLOCK).drop("part", "place")
-    size = min(QUERIES[1], max(QUERIES[0], -(-usable.where("_q").count() // tasks)))
+    size = min(QUERIES[1], max(QUERIES[0], -(-asking // tasks)))
     queries = written(asked.mapInArrow(_blocks(size), BLOCK).select("part", "place", *[F.col(c).alias(f"q_{c}") for c in ("ids", "offsets", "terms", "weights")]), "queries")
-    counts = queries.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each task
-    shifts = counts.select("part", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("shift"))
+    counts = sorted((r["part"], r["count"]) for r in queries.groupBy("part").count().collect())  # a row for each task
+    *before, n = accumulate((k for _, k in counts), initial=0)
+    shifts = spark.createDataFrame([(part, k) for (part, _), k in zip(counts, before, strict=True)], "part int, shift bigint")
     numbered = queries.join(F.broadcast(shifts), "part").withColumn("qb", F.col("shift") + F.col("place")).drop("part", "place", "shift")
-    n = queries.count()
     salts = max(1, min(tasks // max(1, n), many // CANDIDATES), -(-many // (CANDIDATES * SCORED)))
     ask = numbered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     deal = packed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1)) if n else F.array().cast("array<bigint>")))
