@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Largest side, in rows, that an operator broadcasts after counting it.
 BROADCAST_ROWS = 20_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests, notebooks in
-    local mode) a temporary folder of this machine is set for the context; on a cluster an unset
-    folder is an error, because executors would not see each other's files.
-    """
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    have = spark.sparkContext.getCheckpointDir()
-    if not have:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-        have = spark.sparkContext.getCheckpointDir()
-    return have.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: lineage ends here, and a
     lost executor costs only a reread. Operators drop tables that nothing reads any more; those that

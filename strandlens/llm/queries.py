@@ -32,7 +32,8 @@ def op3_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpegts.media_digest(table(spark, sf_dir, "documents"))
+    found = mpegts.media_digest(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("pts", "random_access")})
 
 
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +110,40 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+_CRC32 = """table_of(t) AS (SELECT list(c ORDER BY i) FROM (
+  SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) AS r(i)))"""
+
+
+def _crc32(hexes: str) -> str:
+    """SQL: the checksum of bytes in hexadecimal digits, by the table of _CRC32."""
+    return f"""CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(length({hexes}) // 2), lambda i: CAST('0x' || substr({hexes}, CAST(2 * i + 1 AS INT), 2) AS UBIGINT))),
+    lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INT) + 1])), 4294967295::UBIGINT) AS BIGINT)"""
+
+
+# Transport streams as hexadecimal digits: tables before every fourth unit, units of 32,768 bytes (179 packets if full) with
+# a clock of 8 bytes, packets of 184 bytes, stuffing in the last. The tables' sections with their checksums.
+_OP4 = f"""
+WITH {_CRC32},
+d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, doc_id, length(h) // 2 AS n, h || repeat('00', CAST(CASE WHEN h = '' THEN 64 ELSE (64 - length(h) // 2 % 64) % 64 END AS INT)) AS x FROM d),
+u AS (SELECT r, u, 90000 + 3600 * u AS pts, substr(x, CAST(u * 65536 + 1 AS INT), 65536) AS data FROM (SELECT r, x, unnest(range((length(x) // 2 + 32767) // 32768)) AS u FROM p)),
+e AS (SELECT *, '000001BD' || format('{{:04X}}', length(data) // 2 + 8) || '848005' || format('{{:02X}}{{:02X}}{{:02X}}{{:02X}}{{:02X}}', 33 | ((pts >> 30) << 1), (pts >> 22) & 255, 1 | ((pts >> 14) & 254), (pts >> 7) & 255, 1 | ((pts << 1) & 254)) || data AS pes FROM u),
+f AS (SELECT *, greatest(0, 176 - length(pes) // 2) AS stuff, greatest(0, length(pes) // 2 - 176) // 184 AS whole, greatest(0, length(pes) // 2 - 176) % 184 AS tail, u * 179 AS c FROM e),
+m AS (SELECT r, u, CASE WHEN u % 4 = 0 THEN '474000' || format('{{:02X}}', 16 | (u // 4 & 15)) || '00' || rpad('00B00D0001C100000001E100E8F95E7D', 366, 'F')
+    || '474100' || format('{{:02X}}', 16 | (u // 4 & 15)) || '00' || rpad('02B0120001C10000E101F00006E101F000E406D01F', 366, 'F') ELSE '' END
+  || '474101' || format('{{:02X}}', 48 | (c & 15)) || format('{{:02X}}{{:02X}}{{:012X}}', 7 + stuff, CASE WHEN u % 4 = 0 THEN 80 ELSE 16 END, (pts << 15) | 32256) || repeat('FF', CAST(stuff AS INT)) || substr(pes, 1, 352)
+  || array_to_string(list_transform(range(whole), lambda k: '470101' || format('{{:02X}}', 16 | ((c + 1 + k) & 15)) || substr(pes, CAST(353 + 368 * k AS INT), 368)), '')
+  || CASE WHEN tail > 0 THEN '470101' || format('{{:02X}}', 48 | ((c + 1 + whole) & 15)) || format('{{:02X}}', 183 - tail) || CASE WHEN tail < 183 THEN '00' || repeat('FF', CAST(182 - tail AS INT)) ELSE '' END || substr(pes, CAST(353 + 368 * whole AS INT)) ELSE '' END AS x FROM f),
+s AS (SELECT r, string_agg(x, '' ORDER BY u) AS media, count(*) AS units FROM m GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(length(x) // 2 AS BIGINT) AS payload_bytes, sha256(unhex(x)) AS payload_sha256, {_crc32("right(x, 128)")} AS tail_crc32,
+  CAST(length(media) // 2 AS BIGINT) AS media_bytes, sha256(unhex(media)) AS media_sha256,
+  format('packets={{}};pid=257,type=6,units={{}},pts=90000-{{}},rap={{}},cc=0', length(media) // 376, units, 86400 + 3600 * units, (units + 3) // 4) AS feature,
+  array_to_string(list_transform(range(units), lambda i: 90000 + 3600 * i), ',') AS pts, array_to_string(list_transform(range(0, units, 4), lambda i: 90000 + 3600 * i), ',') AS random_access,
+  CAST(0 AS INT) AS continuity_errors, CAST(0 AS INT) AS damaged_units
+FROM p JOIN s USING (r), table_of
+"""
+
+
 def _network(source: str, keys: list[int]) -> str:
     """SQL: rows (row, p, a) of source with p sent through a Feistel network over 0..a*a-1, one level of
     SELECT for each step, in 128-bit numbers modulo 2**64."""
@@ -124,12 +159,10 @@ def _network(source: str, keys: list[int]) -> str:
 
 _KEYS = [int(k) for k in sharding.round_keys(20)]
 _OP5 = f"""
-WITH RECURSIVE table_of(t) AS (SELECT list(c ORDER BY i) FROM (
-  SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+WITH RECURSIVE {_CRC32},
 b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 d AS (SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
-  CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INT), 2) AS UBIGINT))),
-    lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INT) + 1])), 4294967295::UBIGINT) AS BIGINT) AS text_crc32 FROM b, table_of),
+  {_crc32("h")} AS text_crc32 FROM b, table_of),
 n AS (SELECT *, CAST(row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS BIGINT) AS row_number FROM d),
 c AS (SELECT count(*)::UHUGEINT AS n, CAST(ceil(sqrt(count(*))) AS UHUGEINT) AS a FROM documents),
 walk AS (
@@ -162,4 +195,4 @@ t AS (SELECT page_id, url, list_filter(list_transform(x, lambda l: trim(regexp_r
 SELECT page_id, url, array_to_string(x, chr(10)) AS text, CAST(length(array_to_string(x, chr(10))) AS BIGINT) AS n_chars FROM t
 """
 
-ORACLES: dict[str, str] = {"op2_poisson_mixing": _OP2, "op3_minhash_components": _OP3, "op5_feistel_shards": _OP5, "op6_term_at_a_time_top_k": _OP6, "op8_run_length_index": _OP8, "op9_text_to_tag_pages": _OP9}
+ORACLES: dict[str, str] = {"op2_poisson_mixing": _OP2, "op3_minhash_components": _OP3, "op4_transport_stream": _OP4, "op5_feistel_shards": _OP5, "op6_term_at_a_time_top_k": _OP6, "op8_run_length_index": _OP8, "op9_text_to_tag_pages": _OP9}
