@@ -73,7 +73,7 @@ def group(reads: DataFrame, options: GroupingOptions, genes: DataFrame | None =
     (by ``umi_group_tag``) BX set. unique_id counts groups from 0 by contig, position and keys, in a
     bundle by the representatives' counts, ties by first occurrence if reads have ord."""
     kept, groups, keys = groups_of(reads, options, genes, seen)
-    groups = with_group_sizes(groups, keys)
+    groups = checkpointed(with_group_sizes(groups, keys))  # read for the numbers and for the labels
     heads = groups.where("umi = rep").select(*keys, "rep", F.col("n").alias("rep_n"), "group_n")
     ties: list[str] = ["rep"]
     if "ord" in kept.columns:
