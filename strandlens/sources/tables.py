@@ -38,11 +38,13 @@ def barcode_list(spark: SparkSession, path: str, path2: str | None = None) -> Da
 
 def products(one: DataFrame, two: DataFrame, limit: int = 20_000) -> DataFrame:
     """Barcodes put together from both lists. The second, of a checked size, goes to every row of
-    the first as an array."""
-    second = sorted({r[0] for r in two.limit(limit + 1).collect()})
-    if len(second) > limit:
+    the first as one broadcast array."""
+    second = two.select(F.col("barcode").alias("second")).distinct()
+    if second.limit(limit + 1).count() > limit:
         raise ValueError(f"the second list has more than {limit} barcodes")
-    return one.select(F.explode(F.transform(F.array(*[F.lit(x) for x in second]), lambda x: F.concat("barcode", x))).alias("barcode"))
+    listed = second.agg(F.collect_list("second").alias("_all")).withColumn("_key", F.lit(0))
+    both = one.withColumn("_key", F.lit(0)).join(F.broadcast(listed), "_key")
+    return both.select("barcode", F.explode("_all").alias("second")).select(F.concat("barcode", "second").alias("barcode"))
 
 
 def whitelist_fixes(spark: SparkSession, path: str) -> DataFrame:
