@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
+from strandlens.llm import components as components_module
 from strandlens.llm import minhash, pii, queries, quality
 from strandlens.llm.components import components
 
@@ -63,7 +64,9 @@ def test_query_runs(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("nodes", [200_000, 0])
+def test_components(spark, monkeypatch, nodes):
+    monkeypatch.setattr(components_module, "BROADCAST_NODES", nodes)
     pairs = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(5, 5), (100, 3), (None, 4)]
     out = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a int, b int").repartition(5)).collect()}
     assert out == {**{i: i // 10 * 10 for i in range(40) if i % 10}, 100: 0}
