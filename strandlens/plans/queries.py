@@ -614,7 +614,9 @@ p AS (SELECT qname, CASE WHEN flag & 64 <> 0 THEN {{'f': flag, 'c': rname, 'p':
 SELECT DISTINCT qname, one.f AS flag1, one.c AS contig1, one.p AS pos1, one.rn AS next1, one.pn AS next_pos1, two.f AS flag2, two.c AS contig2, two.p AS pos2, two.rn AS next2, two.pn AS next_pos2 FROM p""")
 def pair_templates(spark, sf_dir):
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    x = spark.sql(f"WITH {_TEMPLATES} SELECT * FROM t".replace("FROM lineitem", "FROM {lineitem}").replace("varchar", "string"), lineitem=line)
+    # numbers are compared inside a template only, so each template numbers its own reads; no task sees the others
+    own = _TEMPLATES.replace("OVER (ORDER BY l_orderkey, ", "OVER (PARTITION BY l_orderkey ORDER BY ")
+    x = spark.sql(f"WITH {own} SELECT * FROM t".replace("FROM lineitem", "FROM {lineitem}").replace("varchar", "string"), lineitem=line)
     found = pairs.template_pairs(x, tags=())
     cells = [F.col(f"read{i}.{c}").alias(f"{n}{i}") for i in (1, 2) for c, n in (("flag", "flag"), ("rname", "contig"), ("pos", "pos"), ("rnext", "next"), ("pnext", "next_pos"))]
     return found.select("read1.qname", *cells)

@@ -41,6 +41,12 @@ def test_query_without_sql_runs(spark, name):
     assert barcode.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_templates_are_numbered_apart(spark):
+    """No stage of pair_templates brings all reads into one task."""
+    plan = barcode.QUERIES["pair_templates"](spark, DATA)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and "hashpartitioning(l_orderkey" in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["gene", "count"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
