@@ -681,12 +681,21 @@ def bernoulli_subset(spark, sf_dir):
 # --- files: written, read back, compared with the view ------------------------------------------
 
 
+#: Records of a written file, about: files, and the tasks that sort and write them, grow in number and not in size.
+_A_FILE = 500_000
+
+
+def _files(spark, sf_dir) -> int:
+    """The number of files for the records: three at least. The count comes from the table's footers."""
+    return max(3, -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // _A_FILE))
+
+
 def _fastq(spark, sf_dir, mate: bool = False, **more) -> DataFrame:
     """The records in several files, in the order of their ids."""
     x = records(spark, sf_dir)
     x = x.withColumns({"seq": F.reverse("seq"), "quals": F.reverse("quals")}) if mate else x
     path = scratch(spark, "fastq")
-    fastq.write_fastq(x.repartitionByRange(3, "read_id").sortWithinPartitions("read_id"), path, **more)
+    fastq.write_fastq(x.repartitionByRange(_files(spark, sf_dir), "read_id").sortWithinPartitions("read_id"), path, **more)
     return fastq.read_fastq(spark, path)
 
 

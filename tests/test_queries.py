@@ -47,6 +47,17 @@ def test_templates_are_numbered_apart(spark):
     assert "SinglePartition" not in plan and "hashpartitioning(l_orderkey" in plan
 
 
+@pytest.mark.parametrize("name", ["fastq_round_trip", "fastq_gzip_round_trip", "first_n_reads", "whitelist_first_n_found"])
+def test_files_grow_in_number(spark, duck, monkeypatch, name):
+    """More records are more files, not larger ones, with the same rows."""
+    read, found = barcode.fastq.read_fastq, []
+    monkeypatch.setattr(barcode, "_A_FILE", 1000, raising=False)
+    monkeypatch.setattr(barcode.fastq, "read_fastq", lambda spark, path: found.append(len(spark.read.text(path).inputFiles())) or read(spark, path))
+    test_query_equals_sql(spark, duck, name)
+    records = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert found and all(n >= records / 1000 > 3 for n in found)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["gene", "count"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
