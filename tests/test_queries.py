@@ -47,7 +47,7 @@ def test_templates_are_numbered_apart(spark):
     assert "SinglePartition" not in plan and "hashpartitioning(l_orderkey" in plan
 
 
-@pytest.mark.parametrize("name", ["fastq_round_trip", "fastq_gzip_round_trip", "first_n_reads", "whitelist_first_n_found"])
+@pytest.mark.parametrize("name", ["fastq_round_trip", "fastq_gzip_round_trip", "first_n_reads", "strict_pairs", "whitelist_first_n_found"])
 def test_files_grow_in_number(spark, duck, monkeypatch, name):
     """More records are more files, not larger ones, with the same rows."""
     read, found = barcode.fastq.read_fastq, []
