@@ -1,14 +1,16 @@
 """Barcodes by regular expression, fuzzy ones included, in Arrow batches.
 
 Java's expressions have neither fuzzy matching nor the group names in use (umi_1, cell_1,
-discard_1), so the matching runs in Python workers; everything around it stays in Spark.
+discard_1), so the matching runs in Python workers; everything around it stays in Spark, and so does
+the matching where every group has a fixed width.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,26 +28,88 @@ def check_pattern(pattern: str) -> None:
         raise ValueError(f"unknown groups: {odd}")
 
 
-def _routed(match: regex.Match | None, seq: str, quals: str, retain_umi: bool) -> tuple:
-    if match is None:
-        return False, None, None, None, None, None
-    cell, umi, cut, umi_at = [], [], set(), set()
-    for name in sorted(match.re.groupindex):
-        begin, end = match.span(name)
-        if begin < 0:
-            continue
-        span = range(begin, end)
-        if name.startswith("cell_"):
-            cell.append(seq[begin:end])
-            cut.update(span)
-        elif name.startswith("umi_"):
-            umi.append(seq[begin:end])
-            umi_at.update(span)
-        else:
-            cut.update(span)
-    gone = cut if retain_umi else cut | umi_at
-    stay = [i for i in range(len(seq)) if i not in gone]
-    return True, "".join(cell), "".join(umi), "".join(quals[i] for i in sorted(umi_at)), "".join(seq[i] for i in stay), "".join(quals[i] for i in stay)
+def _joined(spans: list[tuple[int, int | None]]) -> Callable[[str], str]:
+    """A function that joins these parts of a text."""
+    parts = [slice(*x) for x in spans]
+    if not parts:
+        return lambda text: ""
+    get = itemgetter(*parts)
+    return get if len(parts) == 1 else lambda text: "".join(get(text))
+
+
+def _router(compiled: regex.Pattern, retain_umi: bool) -> Callable[[regex.Match, str, str], tuple]:
+    """A function (match, seq, quals) -> (cell, umi, umi_quals, seq, quals). What to cut where is
+    worked out once for all matches whose groups lie at the same places."""
+    names = sorted(compiled.groupindex)
+    groups = [compiled.groupindex[n] for n in names]
+    known: dict[tuple, tuple[Callable[[str], str], ...]] = {}
+
+    def plan(places: tuple[tuple[int, int], ...]) -> tuple[Callable[[str], str], ...]:
+        found = [(n.split("_")[0], x) for n, x in zip(names, places, strict=False) if x[0] >= 0]
+
+        def apart(kinds: tuple[str, ...]) -> list[tuple[int, int]]:
+            out: list[tuple[int, int]] = []
+            for begin, end in sorted(x for kind, x in found if kind in kinds):
+                begin = max(begin, out[-1][1]) if out else begin
+                if begin < end:
+                    out.append((begin, end))
+            return out
+
+        gone = apart(("cell", "discard") if retain_umi else ("cell", "discard", "umi"))
+        stay = _joined(list(zip([0, *[e for _, e in gone]], [*[b for b, _ in gone], None], strict=True)))
+        cell, umi = (_joined([x for kind, x in found if kind == k]) for k in ("cell", "umi"))
+        return cell, umi, _joined(apart(("umi",))), stay
+
+    def route(match: regex.Match, seq: str, quals: str) -> tuple:
+        if len(quals) != len(seq):
+            if len(quals) < len(seq):
+                raise ValueError(f"qualities of another length: {seq[:40]!r}")
+            quals = quals[: len(seq)]
+        places = match.span(*groups, groups[0])
+        if (parts := known.get(places)) is None:
+            parts = known[places] = plan(places)
+        cell, umi, umi_quals, stay = parts
+        return cell(seq), umi(seq), umi_quals(quals), stay(seq), stay(quals)
+
+    return route
+
+
+#: A group of letters, classes of letters and dots, each with a fixed number.
+_GROUP = regex.compile(r"\(\?P<(\w+)>((?:(?:\.|\[[A-Za-z]+\]|[A-Za-z])(?:\{\d+\})?)*)\)")
+_ATOM = regex.compile(r"(\.|\[[A-Za-z]+\]|[A-Za-z])(?:\{(\d+)\})?")
+
+
+def fixed_layout(pattern: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
+    """(the same in Java's syntax, where each group begins and ends) of an expression that is nothing
+    but named groups of fixed width, None of any other."""
+    java, places, at, end = r"\A", {}, 0, 0
+    while m := _GROUP.match(pattern, at):
+        begin, at = end, m.end()
+        for atom, many in _ATOM.findall(m[2]):
+            java += ("[^\n]" if atom == "." else atom) + f"{{{int(many or 1)}}}"
+            end += int(many or 1)
+        if m[1] in places:
+            return None
+        places[m[1]] = begin, end
+    return (java, places) if at == len(pattern) else None
+
+
+def _fixed_extract(java: str, places: dict[str, tuple[int, int]], retain_umi: bool) -> Callable[[Column, Column], Column]:
+    """regex_extract of a fixed layout, by Spark's own functions."""
+    part = lambda kind: [places[n] for n in sorted(places) if n.startswith(kind)]
+    width = max(end for _, end in places.values())
+    gone = sorted(x for kind in (("cell_", "discard_") if retain_umi else ("cell_", "discard_", "umi_")) for x in part(kind))
+    stay = [(a, b) for a, b in zip([0, *[e for _, e in gone]], [*[b for b, _ in gone], width], strict=True) if a < b]
+
+    def extract(seq: Column, quals: Column) -> Column:
+        cut = lambda text, spans: F.concat(F.lit(""), *[F.substring(text, a + 1, b - a) for a, b in spans])
+        rest = lambda text: F.concat(cut(text, stay), F.substring(text, F.lit(width + 1), F.length(seq)))
+        long = F.when(F.length(quals) >= F.length(seq), F.substring(quals, F.lit(1), F.length(seq))).otherwise(F.raise_error(F.concat(F.lit("qualities of another length: "), seq)).cast("string"))
+        values = {"matched": F.lit(True), "cell": cut(seq, part("cell_")), "umi": cut(seq, part("umi_")), "umi_quals": cut(long, sorted(part("umi_"))), "seq": rest(seq), "quals": rest(long)}
+        none = F.struct(*[F.lit(False if f.name == "matched" else None).cast(f.dataType).alias(f.name) for f in MATCH])
+        return F.when(seq.rlike(java), F.struct(*[c.alias(n) for n, c in values.items()])).otherwise(none)
+
+    return extract
 
 
 def regex_extract(pattern: str, retain_umi: bool = False) -> Callable[[Column, Column], Column]:
@@ -54,14 +118,23 @@ def regex_extract(pattern: str, retain_umi: bool = False) -> Callable[[Column, C
     The expression matches at the start of the read. Bases of cell, umi and discard groups leave
     it (umi bases stay with retain_umi); barcodes join their groups in the order of their names,
     qualities in the order of the read. Groups that took no part are skipped; no match: nulls.
+    Expressions of fixed width run in Spark's generated code, others in Python.
     """
     check_pattern(pattern)
+    if layout := fixed_layout(pattern):
+        return _fixed_extract(*layout, retain_umi)
 
-    @F.pandas_udf(MATCH)
-    def extract(seq: pd.Series, quals: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(MATCH)
+    def extract(seq: pa.Array, quals: pa.Array) -> pa.Array:
         compiled = regex.compile(pattern)
-        rows = [_routed(compiled.match(s), s, q, retain_umi) if s is not None else (False, *[None] * 5) for s, q in zip(seq, quals, strict=True)]
-        return pd.DataFrame(rows, columns=[f.name for f in MATCH])
+        match, route = compiled.match, _router(compiled, retain_umi)
+        none, matched, rows = (None,) * 5, [], []
+        for s, q in zip(seq.to_pylist(), quals.to_pylist(), strict=True):
+            m = match(s) if s is not None else None
+            matched.append(m is not None)
+            rows.append(none if m is None else route(m, s, q))
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.StructArray.from_arrays([pa.array(matched, pa.bool_()), *[pa.array(c, pa.string()) for c in columns]], names=[f.name for f in MATCH])
 
     return extract
 
