@@ -126,6 +126,12 @@ def test_bad_fastq(spark, tmp_path, text, packed):
         fastq.read_fastq(spark, str(tmp_path / "x.fastq*")).collect()
 
 
+def test_lines_need_no_expression_for_their_file(spark, tmp_path):
+    """The name of a file is rewritten once, not for each of its lines."""
+    (tmp_path / "a.fastq").write_text("@a\nA\n+\nI\n")
+    assert "regexp_replace" not in fastq.read_fastq(spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
 def sides(tmp_path, names1, names2):
     rng = random.Random(3)
     for side, files in (("r1", names1), ("r2", names2)):
