@@ -163,6 +163,15 @@ def test_pairs_that_do_not_match_raise(spark, tmp_path, names1, names2):
         assert extract.paired(one, two, names_differ=True).count() == 2
 
 
+def test_reconciled_by_name_in_one_shuffle(spark):
+    """The k-th of a name with the k-th, reads without a counterpart or a name left out."""
+    read = lambda side, names: spark.createDataFrame([(0, i, n, f"{side}{i}", "I") for i, n in enumerate(names)], "file_no int, ord long, identifier string, seq string, quals string")
+    one, two = read("A", ["a x", "b", "a y", "c", "a z", "", None]), read("C", ["d", "a", "b 2", "b 3", "a 2", None])
+    both = extract.paired(one, two, reconcile=True)
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.ord, r.identifier1, r.seq1, r.identifier2, r.seq2, r.quals2) for r in both.collect()) == [(0, "a x", "A0", "a", "C1", "I"), (1, "b", "A1", "b 2", "C2", "I"), (2, "a y", "A2", "a 2", "C4", "I")]
+
+
 def test_reads_without_operations(spark, sam):
     """A mapped read whose CIGAR is * is left out by position, with an event of its own."""
     reads, _ = sam
