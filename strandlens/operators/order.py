@@ -25,3 +25,14 @@ def numbered(df: DataFrame, order: list[Column], name: str, value: str | None =
         inside = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn(before, F.col("_sum") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return out.drop("_id", "_part", "_rows", "_sum")
+
+
+def numbered_lines(lines: DataFrame, name: str) -> DataFrame:
+    """lines (file, block, ...) plus a number from 0 by file and place in it, as they were read from text
+    files: a split's lines (file, and block, where it begins) lie in one task and in their order, so they
+    are numbered where they are and shifted by what the splits before hold (a row per split)."""
+    held = checkpointed(lines.withColumn("_id", F.monotonically_increasing_id()))
+    splits = held.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    up = Window.partitionBy(F.lit(0)).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = splits.select("file", "block", (F.coalesce(F.sum("_n").over(up), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return held.join(F.broadcast(shifts), ["file", "block"]).withColumn(name, F.col("_id") + F.col("_shift")).drop("_id", "_shift", "file", "block")

@@ -17,7 +17,7 @@ from ..functions import distance as ds
 from ..functions.positions import read_position
 from ..operators import bundles, extract, molecules, pairs, stats, whitelist
 from ..operators.cluster import UMIClusterer, cluster
-from ..operators.order import numbered
+from ..operators.order import numbered, numbered_lines
 from ..session import scratch
 from ..sources import alignments as al
 from ..sources import fastq, tables
@@ -772,9 +772,9 @@ SELECT CAST(row_number() OVER (ORDER BY place, pos) - 1 AS BIGINT) AS number, co
 def sam_coordinate_sort(spark, sf_dir):
     path = scratch(spark, "sam")
     al.write_sam(_sam_like(spark, sf_dir), path, _HEADER)
-    lines = spark.read.text(path).where("value not like '@%'").select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("i"))
-    x = lines.select("file", "i", F.split("value", "\t").alias("f")).select("file", "i", F.col("f")[2].alias("rname"), (F.col("f")[3].cast("int") - 1).alias("pos"))
-    return numbered(x, [F.col("file"), F.col("i")], "number").select("number", "rname", "pos")
+    lines = spark.read.text(path).where("value not like '@%'").select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.split("value", "\t", 5).alias("f"))
+    x = lines.select("file", "block", F.col("f")[2].alias("rname"), (F.col("f")[3].cast("int") - 1).alias("pos"))
+    return numbered_lines(x, "number").select("number", "rname", "pos")
 
 
 @query(f"WITH {_R} SELECT gene, CAST(count(*) AS BIGINT) AS n FROM r WHERE contig = 'chr2' GROUP BY gene")

@@ -75,6 +75,27 @@ def test_bam_equals_sam(spark, sam, tmp_path):
     assert [r.value for r in al.as_sam_lines(bam.orderBy("ord")).collect()] == body
 
 
+def test_lines_are_numbered_without_a_sort(spark, tmp_path):
+    """By file and place, over the edges of splits, however files are packed into tasks."""
+    from strandlens.operators.order import numbered_lines
+
+    sizes = [5, 900, 1, 300]
+    for k, n in enumerate(sizes):
+        (tmp_path / f"p{k}").write_text("@head\n" + "".join(f"{k}.{i}\n" for i in range(n)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        lines = spark.read.text(str(tmp_path)).where("value not like '@%'").select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        out = numbered_lines(lines, "number")
+        assert "Sort [file" not in out._jdf.queryExecution().executedPlan().toString().split("Window")[0]
+        rows = out.orderBy("number").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [(r.number, r.value) for r in rows] == list(enumerate(f"{k}.{i}" for k, n in enumerate(sizes) for i in range(n)))
+
+
 def test_fastq(spark, tmp_path):
     text = "@a 1\nACGT\n+\nIIII\n@b 1\nGG\n+b\n!!\n"
     (tmp_path / "a.fastq").write_text(text)
